@@ -19,6 +19,7 @@ dependencies STRUCT<imports_from: ARRAY<STRING>, imported_by_hint: STRING>,
 language_specific_notes STRING, side_effects STRING, complexity_notes STRING
 """
 FENCE = "```"
+TO_END = 2**31 - 1
 
 
 def fenced_or_whole(reply: Column) -> Column:
@@ -26,18 +27,16 @@ def fenced_or_whole(reply: Column) -> Column:
 
     A ``json`` tag stays in front of the content; it cannot contain a brace.
     """
-    parts = F.split(reply, FENCE, 3)
-    return F.when(
-        reply.contains(FENCE),
-        F.when(F.size(parts) == 3, parts[1]).otherwise(reply),
-    ).otherwise(reply)
+    to_second_fence = F.substring_index(reply, FENCE, 2)
+    closed = F.octet_length(to_second_fence) < F.octet_length(reply)
+    return F.when(closed, F.substring_index(to_second_fence, FENCE, -1)).otherwise(reply)
 
 
 def object_text(reply: Column) -> Column:
     """Text from the first opening brace on; null when there is none."""
     body = fenced_or_whole(reply)
-    start = F.instr(body, "{")
-    return F.when(start > 0, F.substring(body, start, F.length(body)))
+    first_brace = F.nullif(F.instr(body, "{"), F.lit(0))
+    return F.substring(body, first_brace, F.lit(TO_END))
 
 
 def parse_prefix(text: Column) -> Column:

@@ -250,20 +250,24 @@ def annotate(
         if not log.is_written(attempt, name) or not requests.select("path").isEmpty():
             log.append(attempt, name, call_model(requests, stages, client_factory, parallelism, sleep))
         written = log.read((attempt, name))
-        unanswered = written.filter(F.col("kind") == LOST).join(_answered(written), "path", "left_anti")
-        lost = lost or not unanswered.isEmpty()
+        if recorded is None:
+            cut_off = written.filter(F.col("kind") == LOST)
+            lost = lost or not cut_off.join(_answered(written), "path", "left_anti").isEmpty()
         return written
 
     todo = files
     for attempt in range(max_retries + 1):
         passes = step(attempt, "passes", with_analysis_prompt(todo), ("pass1", "pass2"))
         judged = step(attempt, "judge", with_judge_prompt(_both_passes(passes)), ("judge",))
-        replies = judged.unionByName(passes)
-        split = attempt_outcomes(_replies(replies), max_retries).filter(F.col("outcome") == "disagree")
-        if lost or split.isEmpty():
+        if lost or attempt == max_retries:
+            break
+        replies = _replies(judged.unionByName(passes))
+        split = attempt_outcomes(replies, max_retries).filter(F.col("outcome") == "disagree")
+        if split.isEmpty():
             break
         todo = files.join(split.select("path"), "path", "left_semi")
-    return Annotation(outcomes(log.everything(max_retries), max_retries), log.everything(max_retries), lost)
+    whole = log.everything(max_retries)
+    return Annotation(outcomes(whole, max_retries), whole, lost)
 
 
 def _both_passes(passes: DataFrame) -> DataFrame:

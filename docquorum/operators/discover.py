@@ -82,7 +82,9 @@ def discover(
         F.col("rejection").isNull().alias("selected"),
         F.coalesce("rejection", large).alias("skip_reason"),
     )
-    return found.orderBy("path") if ordered else found
+    # The small rows are shuffled once before the sort, whose sampling would else scan
+    # the content a second time.
+    return found.repartition("path").orderBy("path") if ordered else found
 
 
 def skip_ledger(found: DataFrame) -> DataFrame:

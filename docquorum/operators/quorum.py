@@ -33,10 +33,11 @@ def checked_replies(log: DataFrame, max_retries: int) -> DataFrame:
         & (F.col("call_no") <= CALLS_PER_STAGE)
         & F.col("stage").isin(*STAGES)
     )
+    # Columns in steps, so that a reply is cut and parsed once.
     cut = in_budget.withColumn("body", object_text(F.col("raw")))
-    parsed = parse_prefix(F.col("body"))
-    judge_ok = (F.col("stage") != "judge") | has_key(parsed, "agree")
-    usable = cut.withColumn("usable", parsed.isNotNull() & judge_ok)
+    parsed = cut.withColumn("parsed", parse_prefix(F.col("body")))
+    judge_ok = (F.col("stage") != "judge") | has_key(F.col("parsed"), "agree")
+    usable = parsed.withColumn("usable", F.col("parsed").isNotNull() & judge_ok)
     return usable.select(
         "path", "attempt", "stage", "call_no", "usable",
         F.when(F.col("usable"), F.col("body")).otherwise(F.col("raw")).alias("body"),

@@ -121,7 +121,7 @@ detected AS (SELECT name FROM hits UNION SELECT unnest(['config', 'devops', 'web
 
 @registered("detected_profiles", needs=("corpus",), sql=f"WITH {_DETECT_SQL} SELECT name FROM detected ORDER BY name")
 def _(spark, sf):
-    return prof.detect_profiles(views.corpus(spark, sf), prof.profiles_table(spark))
+    return prof.detect_profiles(views.corpus(spark, sf))
 
 
 _EXTS = ", ".join(f"('{x.name}', '{e}')" for x in prof.BUNDLED for e in x.extensions)

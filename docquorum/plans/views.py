@@ -160,8 +160,12 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(name).alias("stage"), F.lit(n).alias("sn"))
         for n, name in enumerate(("pass1", "pass2", "judge"))
     ])
+    # Spread the narrow rows before each becomes 36 replies.
+    spread = corpus(spark, sf_dir).select("doc_id", "path").repartition(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "path"
+    )
     return (
-        corpus(spark, sf_dir).select("doc_id", "path", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("attempt"))
+        spread.select("doc_id", "path", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("attempt"))
         .select("*", F.inline(stages))
         .select("*", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("call_no"))
         .withColumn("h", F.expr(HASH_SQL))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -21,18 +22,25 @@ from docquorum.session import posix_path
 HEAD_BYTES = 8192
 # Files of one wide directory per partition, rows and bytes per Arrow batch.
 FILES_PER_SLICE = 2_000
+PIECES_PER_PARTITION = 8
 BATCH_ROWS = 256
 BATCH_BYTES = 32 << 20
 # The driver opens at most this many directories while it looks for subtrees.
 MAX_EXPANDED = 10_000
 
 
-class Subtree(InputPartition):
+class Piece(NamedTuple):
     """A directory to read: everything below it, or one slice of the files directly in it."""
 
-    def __init__(self, folder: str, deep: bool, index: int = 0, slices: int = 1):
-        super().__init__((folder, deep, index, slices))
-        self.folder, self.deep, self.index, self.slices = folder, deep, index, slices
+    folder: str
+    deep: bool
+    index: int = 0
+    slices: int = 1
+
+
+class Pieces(InputPartition):
+    def __init__(self, pieces: list[Piece]):
+        super().__init__([tuple(piece) for piece in pieces])
 
 
 class _Settings(NamedTuple):
@@ -58,21 +66,27 @@ def _entries(folder: str, prune: frozenset[str]) -> tuple[list[str], list[str]]:
     return sorted(dirs), sorted(files)
 
 
-def _plan(settings: _Settings) -> list[Subtree]:
-    """Open directories breadth-first until there are enough subtrees to share out."""
-    waiting, parts = deque([settings.root]), []
+def _plan(settings: _Settings) -> list[Pieces]:
+    """Open directories breadth-first until there are enough pieces, then deal them out.
+
+    Several pieces per partition even out subtrees of unknown size.
+    """
+    waiting, pieces = deque([settings.root]), []
     opened = 0
-    while waiting and len(waiting) + len(parts) < settings.target and opened < MAX_EXPANDED:
+    wanted = PIECES_PER_PARTITION * settings.target
+    while waiting and len(waiting) + len(pieces) < wanted and opened < MAX_EXPANDED:
         folder = waiting.popleft()
         opened += 1
         dirs, files = _entries(folder, settings.prune)
         slices = -(-len(files) // FILES_PER_SLICE)
-        parts.extend(Subtree(folder, False, i, slices) for i in range(slices))
+        pieces.extend(Piece(folder, False, i, slices) for i in range(slices))
         waiting.extend(os.path.join(folder, name) for name in dirs)
-    return parts + [Subtree(folder, True) for folder in waiting]
+    pieces.extend(Piece(folder, True) for folder in waiting)
+    dealt = [pieces[i::settings.target] for i in range(min(settings.target, len(pieces)))]
+    return [Pieces(share) for share in dealt or [[Piece(settings.root, True)]]]
 
 
-def _files(part: Subtree, prune: frozenset[str]) -> Iterator[str]:
+def _files(part: Piece, prune: frozenset[str]) -> Iterator[str]:
     if not part.deep:
         yield from (os.path.join(part.folder, n) for n in _entries(part.folder, prune)[1][part.index::part.slices])
         return
@@ -105,12 +119,13 @@ class _Reader(DataSourceReader):
     def __init__(self, settings: _Settings):
         self.settings = settings
 
-    def partitions(self) -> list[Subtree]:
-        return _plan(self.settings) or [Subtree(self.settings.root, True)]
+    def partitions(self) -> list[Pieces]:
+        return _plan(self.settings)
 
-    def read(self, partition: Subtree) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
-        for full in _files(partition, self.settings.prune):
+        pieces = [Piece(*fields) for fields in partition.value]
+        for full in chain.from_iterable(_files(piece, self.settings.prune) for piece in pieces):
             content = _content(full, self.settings.content)
             relative = os.path.relpath(full, self.settings.root).replace(os.sep, "/")
             rows.append((relative, _size(full), content))
@@ -144,12 +159,13 @@ class FileTree(DataSource):
         prune = [name for name in self.options.get("pruneDirs", "").split(",") if name]
         return _Reader(_Settings(
             posix_path(self.options["path"]), content, frozenset(prune),
-            int(self.options.get("targetPartitions", "1000")),
+            int(self.options.get("targetPartitions", "200")),
         ))
 
 
 def read_tree(spark: SparkSession, path: str, **options: str):
     """(path, size, content) of a file tree."""
     spark.dataSource.register(FileTree)
-    reader = spark.read.format("file_tree").option("path", path)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    reader = spark.read.format("file_tree").option("path", path).option("targetPartitions", tasks)
     return reader.options(**options).load()

@@ -86,10 +86,11 @@ def _last_match(path: Column, rules: list[IgnoreRule]) -> Column:
 def ignored(path: Column, rules: list[IgnoreRule]) -> Column:
     """True when the file or any directory above it is ignored.
 
-    A rule cannot re-include a file below an ignored directory.
+    A rule cannot re-include a file below an ignored directory. Rule regexes cover all that
+    lies below a match, so directories need a look of their own only where a rule negates.
     """
-    if not rules:
-        return F.lit(False)
+    if not any(rule.negated for rule in rules):
+        return _last_match(path, rules)
     parts = F.split(path, "/")
     depth = F.size(parts) - 1
     parents = F.transform(
