@@ -60,15 +60,15 @@ def with_analysis_prompt(files: DataFrame, hints: dict[str, str] = HINTS) -> Dat
     )
 
 
-def _pretty(text: Column) -> Column:
-    return F.to_json(parse_prefix(text), {"pretty": "true"})
+def _clean(text: Column) -> Column:
+    return F.to_json(parse_prefix(text))
 
 
 def with_judge_prompt(pairs: DataFrame) -> DataFrame:
     """Add system_prompt and user_prompt to rows of (path, pass1, pass2) JSON texts."""
     user = F.concat(
         F.lit(PATH_LABEL), F.col("path"),
-        F.lit(FIRST_LABEL), _pretty(F.col("pass1")),
-        F.lit(SECOND_LABEL), _pretty(F.col("pass2")), F.lit(TEXT_END),
+        F.lit(FIRST_LABEL), _clean(F.col("pass1")),
+        F.lit(SECOND_LABEL), _clean(F.col("pass2")), F.lit(TEXT_END),
     )
     return pairs.withColumn("system_prompt", F.lit(JUDGE_SYSTEM)).withColumn("user_prompt", user)

@@ -90,10 +90,8 @@ def merge_chunk_records(records: DataFrame) -> DataFrame:
     texts = [*TEXT_FIELDS, "imported_by_hint"]
     entries = F.concat(F.array(*map(_text_entry, texts)), *map(_list_entries, lists))
     rows = typed.select("path", "chunk_no", F.explode(entries).alias("e"))
-    firsts = (
-        rows.groupBy("path", "e.field", "e.item")
-        .agg(F.min(F.struct("chunk_no", "e.at")).alias("place"))
-        .filter((F.col("item") != "") | F.col("field").isin(*lists))
+    firsts = rows.groupBy("path", "e.field", "e.item").agg(
+        F.min(F.struct("chunk_no", "e.at")).alias("place")
     )
     united = firsts.groupBy("path").agg(*map(_united, lists), *map(_first_text, texts))
     return united.select(
@@ -104,13 +102,14 @@ def merge_chunk_records(records: DataFrame) -> DataFrame:
 
 
 def _united(field: str) -> Column:
-    pair = F.when(F.col("field") == field, F.struct("place", "item"))
+    given = (F.col("field") == field) & F.col("item").isNotNull()
+    pair = F.when(given, F.struct("place", "item"))
     ordered = F.array_sort(F.collect_list(pair))
     return F.transform(ordered, lambda p: p["item"]).alias(field)
 
 
 def _first_text(field: str) -> Column:
-    pair = F.when(F.col("field") == field, F.struct("place", "item"))
+    pair = F.when((F.col("field") == field) & (F.col("item") != ""), F.struct("place", "item"))
     return F.coalesce(F.min(pair)["item"], F.lit("")).alias(field)
 
 

@@ -48,7 +48,7 @@ def percent(count: Column, total: Column) -> Column:
 
 
 def percent_text(count: Column, total: Column) -> Column:
-    return F.format_string("%.1f%%", percent(count, total))
+    return F.when(total > 0, F.format_string("%.1f%%", percent(count, total)))
 
 
 def status_table(jobs: DataFrame) -> DataFrame:

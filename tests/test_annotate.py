@@ -1,13 +1,18 @@
 """The live loop with small stand-in clients."""
 
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
 from docquorum.functions.prompts import JUDGE_SYSTEM
 from docquorum.operators import annotate as an
 from docquorum.operators import quorum as q
 
+# Workers cannot import this file, so its clients travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 AGREE = json.dumps({"agree": True, "merged_result": {"purpose": "m"}, "confidence": "high"})
 DISAGREE = json.dumps({"agree": False, "disagreements": ["x"]})
 

@@ -122,7 +122,7 @@ def test_prompts(spark):
     assert "a.py" in row["user_prompt"] and "print(1)" in row["user_prompt"]
     pair = spark.createDataFrame([("a.py", '{"x": 1}', '{"y": 2}')], "path string, pass1 string, pass2 string")
     judge = prompts.with_judge_prompt(pair).first()
-    assert '"x" : 1' in judge["user_prompt"] and '"y" : 2' in judge["user_prompt"] and "agree" in judge["system_prompt"]
+    assert '{"x":1}' in judge["user_prompt"] and '{"y":2}' in judge["user_prompt"] and "agree" in judge["system_prompt"]
 
 
 def rendered(spark, record):
