@@ -10,15 +10,14 @@ from docquorum.functions.jsonx import typed_analysis
 from docquorum.functions.language import EXTENSIONS_OF_LANGUAGE
 from docquorum.functions.paths import top_level
 from docquorum.operators.report import disagreement_summary
+from docquorum.operators.skew import HOT_ROWS, SALTS, hot_keys, spread_join
 from docquorum.session import checkpoint
 
 ROOT_MODULE = "."
 # Default number of files in a batch.
 BATCH_FILES = 50
-# A key with this many rows counts as hot; at most HOT_KEYS keys are treated so.
-HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000
-SALTS = 64
+# Trimming goes on while a pass leaves less than this share of the edges.
+TRIM_WHILE_ABOVE = 0.9
 # Rough size of a token in characters, for the per-batch estimate.
 CHARS_PER_TOKEN = 4
 TEXT_FIELDS = (
@@ -238,34 +237,18 @@ def dependency_edges(records: DataFrame, hot_rows: int = HOT_ROWS, salts: int =
     """Resolve (path, imports_from) into edges (src_path, target, dst_path, modules, cross_module).
 
     Names that match no file stay external, with a null dst_path. A large part of all files
-    may import the same name, so frequent names are spread over `salts` partitions; at most
-    `HOT_KEYS` of them are broadcast, and any beyond that join unsalted.
+    may import the same name, so frequent names are spread over many tasks.
     """
     edges = (
         records.select(F.col("path").alias("src_path"), F.explode("imports_from").alias("target"))
         .distinct()
         .withColumn("key", import_key(F.col("target")))
     )
-    uses = edges.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
-    hot = F.broadcast(
-        uses.filter(F.col("uses") >= hot_rows)
-        .orderBy(F.desc("uses"), "key").limit(HOT_KEYS)
-        .select("key", F.lit(True).alias("hot"))
-    )
     owners = (
         records.select(import_key(F.col("path")).alias("key"), F.col("path").alias("dst_path"))
         .groupBy("key").agg(F.min("dst_path").alias("dst_path"))
-        .join(hot, "key", "left")
-        .withColumn("salt", F.explode(
-            F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ))
-        .drop("hot")
-    )
-    spread = F.pmod(F.xxhash64("src_path"), F.lit(salts)).cast("int")
-    salted = edges.join(hot, "key", "left").withColumn(
-        "salt", F.when(F.col("hot"), spread).otherwise(F.lit(0))
     )
-    joined = salted.join(owners, ["key", "salt"], "left")
+    joined = spread_join(edges, owners, "key", "src_path", "left", hot_keys(edges, "key", hot_rows), salts)
     src, dst = module_of(F.col("src_path")), module_of(F.col("dst_path"))
     dst = F.when(F.col("dst_path").isNotNull(), dst)
     return joined.select(
@@ -282,41 +265,64 @@ def module_imports(edges: DataFrame) -> DataFrame:
     )
 
 
+def _checkpointed(df: DataFrame) -> tuple[DataFrame, int]:
+    kept = checkpoint(df)
+    return kept, kept.count()
+
+
 def _trim(edges: DataFrame) -> DataFrame:
-    """Drop edges that cannot lie on a cycle: their source has no way in or their target no way out."""
+    """Drop edges whose source has no way in or whose target has no way out."""
     entered = edges.select(F.col("dst").alias("src")).distinct()
     left = edges.select(F.col("src").alias("dst")).distinct()
-    return edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst")
+    kept = spread_join(edges, entered, "src", "dst")
+    return spread_join(kept, left, "dst", "src").select("src", "dst")
 
 
-def _checkpointed(df: DataFrame) -> tuple[DataFrame, int]:
-    kept = checkpoint(df)
-    return kept, kept.count()
+def _trim_while_useful(edges: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Trim as long as a pass removes a good part of the edges."""
+    while size:
+        edges, left = _checkpointed(_trim(edges))
+        if left > TRIM_WHILE_ABOVE * size:
+            return edges, left
+        size = left
+    return edges, size
 
 
-def _spread_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Carry the smallest label along the edges until nothing changes."""
+def _spread_labels(edges: DataFrame, hot: DataFrame) -> DataFrame:
+    """(node, root): per node the least label among the nodes that reach it.
+
+    Only changed labels travel on. Labels are ordered by a hash, so that few rounds are
+    needed whatever the names.
+    """
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
+    own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("root"))
+    changed = labels = checkpoint(ends.distinct().withColumn("label", own))
     while True:
-        arriving = edges.join(labels, edges["src"] == labels["node"]).select(
-            F.col("dst").alias("node"), "label"
+        travelling = changed.select(F.col("node").alias("src"), "label")
+        arriving = (
+            spread_join(edges, travelling, "src", "dst", hot=hot)
+            .groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("arriving"))
+        )
+        lower = labels.join(arriving, "node").filter(F.col("arriving") < F.col("label"))
+        changed = checkpoint(lower.select("node", F.col("arriving").alias("label")))
+        if changed.isEmpty():
+            return labels.select("node", "label.root")
+        newer = changed.withColumnRenamed("label", "newer")
+        labels = checkpoint(
+            labels.join(newer, "node", "left").select("node", F.coalesce("newer", "label").alias("label"))
         )
-        lower = labels.unionByName(arriving).groupBy("node").agg(F.min("label").alias("label"))
-        lower = checkpoint(lower)
-        moved = lower.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old")
-        if moved.isEmpty():
-            return lower
-        labels = lower
-
-
-def _reach_back(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes that reach their own label's root along edges within that label."""
-    reached = roots
-    frontier = roots
+
+
+def _reach_back(edges: DataFrame, roots: DataFrame, hot: DataFrame) -> DataFrame:
+    """Nodes that reach their own root along (src, dst, root) edges within its group."""
+    reached = frontier = checkpoint(roots)
     while True:
+        # A node has one root, so the node alone is the key.
+        ahead = frontier.select(F.col("node").alias("dst"))
         step = (
-            edges.join(frontier.select(F.col("node").alias("dst"), "label"), ["dst", "label"])
-            .select(F.col("src").alias("node"), "label").distinct()
-            .join(reached, ["node", "label"], "left_anti")
+            spread_join(edges, ahead, "dst", "src", hot=hot)
+            .select(F.col("src").alias("node"), "root").distinct()
+            .join(reached.select("node"), "node", "left_anti")
         )
         frontier = checkpoint(step)
         if frontier.isEmpty():
@@ -324,44 +330,47 @@ def _reach_back(edges: DataFrame, roots: DataFrame) -> DataFrame:
         reached = checkpoint(reached.unionByName(frontier))
 
 
+def _groups_of_roots(edges: DataFrame) -> DataFrame:
+    """(node, root): for every root, all nodes it reaches and that reach it back."""
+    hot_src, hot_dst = checkpoint(hot_keys(edges, "src")), checkpoint(hot_keys(edges, "dst"))
+    labels = _spread_labels(edges, hot_src)
+    source = labels.select(F.col("node").alias("src"), "root")
+    target = labels.select(F.col("node").alias("dst"), F.col("root").alias("dst_root"))
+    placed = spread_join(spread_join(edges, source, "src", "dst", hot=hot_src), target, "dst", "src", hot=hot_dst)
+    within = checkpoint(placed.filter("root = dst_root").select("src", "dst", "root"))
+    return _reach_back(within, labels.filter("node = root"), hot_dst)
+
+
 def circular_dependencies(edges: DataFrame) -> DataFrame:
     """(node, cycle_id) for nodes on a circular dependency; cycle_id is the least member.
 
-    Nodes that cannot lie on a cycle are trimmed first. Then the smallest node name spreads
-    forward; the nodes that reach it back form one strongly connected group, which leaves the
-    graph, and the rest goes round again. No list of reachable pairs is ever built.
+    Edges that cannot lie on a cycle are trimmed. Then labels spread forward, and the nodes
+    that reach their label's root back form one strongly connected group each; the groups
+    leave the graph and the rest goes round again. No list of reachable pairs is ever built.
     """
-    rest, size = _checkpointed(edges.select("src", "dst").distinct())
-    loops = rest.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("cycle_id"))
-    rest, size = _checkpointed(rest.filter("src <> dst"))
-    found = None
-    while size:
-        trimmed, left = _checkpointed(_trim(rest))
-        if left < size:
-            rest, size = trimmed, left
-            continue
-        nodes = rest.select(F.col("src").alias("node")).distinct()
-        labels = _spread_labels(rest, nodes.withColumn("label", F.col("node")))
-        roots = labels.filter("node = label")
-        source = labels.select(F.col("node").alias("src"), "label")
-        target = labels.select(F.col("node").alias("dst"), F.col("label").alias("dst_label"))
-        inner = rest.join(source, "src").join(target, "dst").filter("label = dst_label")
-        inner = checkpoint(inner.select("src", "dst", "label"))
-        group = _reach_back(inner, roots)
+    unique = checkpoint(edges.select("src", "dst").distinct())
+    groups = None
+    rest, size = _checkpointed(unique.filter("src <> dst"))
+    while True:
+        rest, size = _trim_while_useful(rest, size)
+        if not size:
+            break
+        found = _groups_of_roots(rest)
         # A root that nothing else reaches back is passed by, not part of a cycle.
-        shared = group.filter("node <> label").select("label").distinct()
-        done = group.join(shared, "label", "left_semi").select(
-            "node", F.col("label").alias("cycle_id")
-        )
-        found = done if found is None else checkpoint(found.unionByName(done))
-        gone = group.select("node")
+        shared = found.filter("node <> root").select("root").distinct()
+        cyclic = spread_join(found, shared, "root", "node").select("node", "root")
+        groups = cyclic if groups is None else checkpoint(groups.unionByName(cyclic))
+        done = found.select("node")
         rest, size = _checkpointed(
-            rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti")
-            .join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+            rest.join(done.withColumnRenamed("node", "src"), "src", "left_anti")
+            .join(done.withColumnRenamed("node", "dst"), "dst", "left_anti")
             .select("src", "dst")
         )
-    members = loops if found is None else found.unionByName(loops)
-    return members.groupBy("node").agg(F.min("cycle_id").alias("cycle_id"))
+    members = unique.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("root"))
+    if groups is not None:
+        members = groups.unionByName(members.join(groups.select("node"), "node", "left_anti"))
+    names = members.groupBy("root").agg(F.min("node").alias("cycle_id"))
+    return spread_join(members, names, "root", "node").select("node", "cycle_id")
 
 
 # -- changes and labels ---------------------------------------------------------------------

@@ -64,6 +64,13 @@ NDJSON_SQL = """CASE WHEN turn = 2 AND conv_id % 4 = 0 THEN '{"message": {"conte
   WHEN turn = 4 THEN concat('{"message": {"content": "', role, '-end"}, "done": true}')
   ELSE concat('{"message": {"content": "', role, '-', CAST(turn AS STRING), ' "}, "done": false}') END"""
 
+# Every document depends on its parent in a tree, and every seventh parent on its child.
+PARENT_SQL = "CAST((doc_id - doc_id % 10) / 10 AS BIGINT)"
+BACK_SQL = (
+    f"CASE WHEN doc_id % 7 = 3 THEN {PARENT_SQL} ELSE doc_id END",
+    f"CASE WHEN doc_id % 7 = 3 THEN doc_id ELSE {PARENT_SQL} END",
+)
+
 VIEWS = {
     "corpus": f"SELECT doc_id, lang, source, {PATH_SQL} AS path, {TEXT_SQL} AS text FROM documents",
     "responses": f"""SELECT path, attempt, stage, call_no, {RAW_SQL} AS raw
@@ -79,7 +86,8 @@ UNION ALL SELECT concat('pages/p', page_id, '.html') AS path FROM pages""",
     "meta": """SELECT concat('u', CAST(user_id AS STRING), '.', event_type) AS key, CAST(event_id AS STRING) AS value,
   ts AS updated_at FROM events""",
     "records": f"SELECT doc_id, path, text, {RECORD_SQL} AS result FROM corpus",
-    "deps": """SELECT doc_id AS src, (doc_id * doc_id + 7) % (SELECT count(*) FROM documents) AS dst FROM documents""",
+    "deps": f"""SELECT doc_id AS src, {PARENT_SQL} AS dst FROM documents
+UNION SELECT {BACK_SQL[0]} AS src, {BACK_SQL[1]} AS dst FROM documents""",
     # Replies cut to their JSON object, the way a reader of the log would: fence first, then braces.
     "replies": """SELECT path, attempt, stage, call_no, raw,
   CASE WHEN strpos(body, '{') > 0 THEN substr(body, strpos(body, '{'), length(body) - strpos(reverse(body), '}') - strpos(body, '{') + 2) END AS body
@@ -205,9 +213,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One edge out of every document: a graph of a few loops with long tails."""
     documents = table(spark, sf_dir, "documents")
-    n = documents.count()
-    return documents.select(
-        F.col("doc_id").alias("src"), ((F.col("doc_id") * F.col("doc_id") + 7) % n).alias("dst")
-    )
+    up = documents.select(F.col("doc_id").alias("src"), F.expr(PARENT_SQL).alias("dst"))
+    back = documents.select(*[F.expr(sql).alias(name) for sql, name in zip(BACK_SQL, ("src", "dst"))])
+    return up.unionByName(back)

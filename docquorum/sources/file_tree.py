@@ -14,9 +14,11 @@ from itertools import chain
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from docquorum.functions.paths import decode_text
 from docquorum.session import posix_path
 
 HEAD_BYTES = 8192
@@ -169,3 +171,47 @@ def read_tree(spark: SparkSession, path: str, **options: str):
     tasks = 4 * spark.sparkContext.defaultParallelism
     reader = spark.read.format("file_tree").option("path", path).option("targetPartitions", tasks)
     return reader.options(**options).load()
+
+
+def root_entries(spark: SparkSession, root: str, names: set[str]) -> DataFrame:
+    """The given names that stand at the root, as a path column; reads one directory."""
+    with os.scandir(posix_path(root)) as found:
+        present = [(entry.name,) for entry in found if entry.name in names]
+    return spark.createDataFrame(present, "path string")
+
+
+def read_texts(paths: DataFrame, root: str) -> DataFrame:
+    """(path, text, error) for the given relative paths; a failed read has an error instead.
+
+    Reads only what is asked for, spread over all tasks by path.
+    """
+    folder = posix_path(root)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "content", "error"]
+        types = [pa.string(), pa.binary(), pa.string()]
+
+        def flush(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(values, kind) for values, kind in zip(zip(*rows), types)], names=names
+            )
+
+        for batch in batches:
+            rows, held = [], 0
+            for path in batch.column("path").to_pylist():
+                try:
+                    with open(os.path.join(folder, path), "rb") as handle:
+                        rows.append((path, handle.read(), None))
+                except OSError as failure:
+                    rows.append((path, None, str(failure)))
+                held += len(rows[-1][1] or b"")
+                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                    yield flush(rows)
+                    rows, held = [], 0
+            if rows:
+                yield flush(rows)
+
+    tasks = 4 * paths.sparkSession.sparkContext.defaultParallelism
+    spread = paths.select("path").repartition(tasks, "path")
+    found = spread.mapInArrow(read, "path string, content binary, error string")
+    return found.select("path", decode_text(F.col("content")).alias("text"), "error")

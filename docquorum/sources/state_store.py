@@ -61,13 +61,9 @@ class StateStore:
         deltas = done[start + 1:]
         if not deltas:
             return base
-        numbered = [
-            self._read("jobs", JOB_DDL, [name]).withColumn("commit", F.lit(int(name.split("-")[1])))
-            for name in deltas
-        ]
-        stacked = numbered[0]
-        for delta in numbered[1:]:
-            stacked = stacked.unionByName(delta)
+        # One scan over all deltas; the commit number is part of the folder name.
+        number = F.regexp_extract("_metadata.file_path", r"/delta-(\d+)/", 1).cast("bigint")
+        stacked = self._read("jobs", JOB_DDL, deltas).withColumn("commit", number)
         columns = [c for c in stacked.columns if c not in ("file_path", "commit")]
         newest = stacked.groupBy("file_path").agg(F.max(F.struct("commit", *columns)).alias("last"))
         changed = newest.select("file_path", *[f"last.{c}" for c in columns])
