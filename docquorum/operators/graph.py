@@ -10,8 +10,8 @@ from docquorum.functions.jsonx import typed_analysis
 from docquorum.functions.language import EXTENSIONS_OF_LANGUAGE
 from docquorum.functions.paths import top_level
 from docquorum.operators.report import disagreement_summary
-from docquorum.operators.skew import HOT_ROWS, SALTS, hot_keys, spread_join
-from docquorum.session import checkpoint
+from docquorum.operators.skew import HOT_ROWS, SALTS, hot_keys, known_hot_keys, spread_join
+from docquorum.session import cut_lineage
 
 ROOT_MODULE = "."
 # Default number of files in a batch.
@@ -147,8 +147,8 @@ def ordered_position(rows: DataFrame, group: str, order: str) -> DataFrame:
     Each partition numbers its own rows; only per-partition counts are summed across.
     """
     spread = rows.repartitionByRange(group, order).sortWithinPartitions(group, order)
-    # Fixed on reliable storage: counts and rows must come from the same partitioning.
-    placed = checkpoint(
+    # Written down: counts and rows must come from the same partitioning.
+    placed = cut_lineage(
         spread.withColumn("slot", F.spark_partition_id())
         .withColumn("serial", F.monotonically_increasing_id())
     )
@@ -265,8 +265,8 @@ def module_imports(edges: DataFrame) -> DataFrame:
     )
 
 
-def _checkpointed(df: DataFrame) -> tuple[DataFrame, int]:
-    kept = checkpoint(df)
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    kept = cut_lineage(df)
     return kept, kept.count()
 
 
@@ -274,21 +274,21 @@ def _trim(edges: DataFrame) -> DataFrame:
     """Drop edges whose source has no way in or whose target has no way out."""
     entered = edges.select(F.col("dst").alias("src")).distinct()
     left = edges.select(F.col("src").alias("dst")).distinct()
-    kept = spread_join(edges, entered, "src", "dst")
-    return spread_join(kept, left, "dst", "src").select("src", "dst")
+    # Semi-joins keep the big side as it is; adaptive execution splits its hot partitions.
+    return edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst")
 
 
 def _trim_while_useful(edges: DataFrame, size: int) -> tuple[DataFrame, int]:
     """Trim as long as a pass removes a good part of the edges."""
     while size:
-        edges, left = _checkpointed(_trim(edges))
+        edges, left = _counted(_trim(edges))
         if left > TRIM_WHILE_ABOVE * size:
             return edges, left
         size = left
     return edges, size
 
 
-def _spread_labels(edges: DataFrame, hot: DataFrame) -> DataFrame:
+def _spread_labels(edges: DataFrame, hot: DataFrame | bool) -> DataFrame:
     """(node, root): per node the least label among the nodes that reach it.
 
     Only changed labels travel on. Labels are ordered by a hash, so that few rounds are
@@ -296,7 +296,7 @@ def _spread_labels(edges: DataFrame, hot: DataFrame) -> DataFrame:
     """
     ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
     own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("root"))
-    changed = labels = checkpoint(ends.distinct().withColumn("label", own))
+    changed = labels = cut_lineage(ends.distinct().withColumn("label", own))
     while True:
         travelling = changed.select(F.col("node").alias("src"), "label")
         arriving = (
@@ -304,18 +304,18 @@ def _spread_labels(edges: DataFrame, hot: DataFrame) -> DataFrame:
             .groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("arriving"))
         )
         lower = labels.join(arriving, "node").filter(F.col("arriving") < F.col("label"))
-        changed = checkpoint(lower.select("node", F.col("arriving").alias("label")))
+        changed = cut_lineage(lower.select("node", F.col("arriving").alias("label")))
         if changed.isEmpty():
             return labels.select("node", "label.root")
         newer = changed.withColumnRenamed("label", "newer")
-        labels = checkpoint(
+        labels = cut_lineage(
             labels.join(newer, "node", "left").select("node", F.coalesce("newer", "label").alias("label"))
         )
 
 
-def _reach_back(edges: DataFrame, roots: DataFrame, hot: DataFrame) -> DataFrame:
+def _reach_back(edges: DataFrame, roots: DataFrame, hot: DataFrame | bool) -> DataFrame:
     """Nodes that reach their own root along (src, dst, root) edges within its group."""
-    reached = frontier = checkpoint(roots)
+    reached = frontier = cut_lineage(roots)
     while True:
         # A node has one root, so the node alone is the key.
         ahead = frontier.select(F.col("node").alias("dst"))
@@ -324,44 +324,44 @@ def _reach_back(edges: DataFrame, roots: DataFrame, hot: DataFrame) -> DataFrame
             .select(F.col("src").alias("node"), "root").distinct()
             .join(reached.select("node"), "node", "left_anti")
         )
-        frontier = checkpoint(step)
+        frontier = cut_lineage(step)
         if frontier.isEmpty():
             return reached
-        reached = checkpoint(reached.unionByName(frontier))
+        reached = cut_lineage(reached.unionByName(frontier))
 
 
-def _groups_of_roots(edges: DataFrame) -> DataFrame:
+def _groups_of_roots(edges: DataFrame, hot_rows: int) -> DataFrame:
     """(node, root): for every root, all nodes it reaches and that reach it back."""
-    hot_src, hot_dst = checkpoint(hot_keys(edges, "src")), checkpoint(hot_keys(edges, "dst"))
+    hot_src, hot_dst = known_hot_keys(edges, "src", hot_rows), known_hot_keys(edges, "dst", hot_rows)
     labels = _spread_labels(edges, hot_src)
     source = labels.select(F.col("node").alias("src"), "root")
     target = labels.select(F.col("node").alias("dst"), F.col("root").alias("dst_root"))
     placed = spread_join(spread_join(edges, source, "src", "dst", hot=hot_src), target, "dst", "src", hot=hot_dst)
-    within = checkpoint(placed.filter("root = dst_root").select("src", "dst", "root"))
+    within = cut_lineage(placed.filter("root = dst_root").select("src", "dst", "root"))
     return _reach_back(within, labels.filter("node = root"), hot_dst)
 
 
-def circular_dependencies(edges: DataFrame) -> DataFrame:
+def circular_dependencies(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, cycle_id) for nodes on a circular dependency; cycle_id is the least member.
 
     Edges that cannot lie on a cycle are trimmed. Then labels spread forward, and the nodes
     that reach their label's root back form one strongly connected group each; the groups
     leave the graph and the rest goes round again. No list of reachable pairs is ever built.
     """
-    unique = checkpoint(edges.select("src", "dst").distinct())
+    unique = cut_lineage(edges.select("src", "dst").distinct())
     groups = None
-    rest, size = _checkpointed(unique.filter("src <> dst"))
+    rest, size = _counted(unique.filter("src <> dst"))
     while True:
         rest, size = _trim_while_useful(rest, size)
         if not size:
             break
-        found = _groups_of_roots(rest)
+        found = _groups_of_roots(rest, hot_rows)
         # A root that nothing else reaches back is passed by, not part of a cycle.
         shared = found.filter("node <> root").select("root").distinct()
         cyclic = spread_join(found, shared, "root", "node").select("node", "root")
-        groups = cyclic if groups is None else checkpoint(groups.unionByName(cyclic))
+        groups = cyclic if groups is None else cut_lineage(groups.unionByName(cyclic))
         done = found.select("node")
-        rest, size = _checkpointed(
+        rest, size = _counted(
             rest.join(done.withColumnRenamed("node", "src"), "src", "left_anti")
             .join(done.withColumnRenamed("node", "dst"), "dst", "left_anti")
             .select("src", "dst")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquorum.session import cut_lineage
+
 # A key with this many rows counts as hot; at most HOT_KEYS keys are treated so.
 HOT_ROWS = 1_000_000
 HOT_KEYS = 1_000
@@ -24,17 +26,26 @@ def spread_join(
     key: str,
     spread_by: str,
     how: str = "inner",
-    hot: DataFrame | None = None,
+    hot: DataFrame | bool = True,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join on `key`, unique in `keyed`, with the rows of hot keys spread over `salts` tasks.
 
     Only hot rows of `keyed` are copied. The hot list is small by its limit, so it is
-    broadcast; keys beyond the limit join unsalted, with the same result.
+    broadcast; keys beyond the limit join unsalted, with the same result. Pass False when
+    it is known that no key is hot.
     """
-    hot = F.broadcast(hot_keys(big, key) if hot is None else hot)
+    if hot is False:
+        return big.join(keyed, key, how)
+    hot = F.broadcast(hot_keys(big, key) if hot is True else hot)
     copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     copied = keyed.join(hot, key, "left").withColumn("salt", F.explode(copies)).drop("hot")
     spread = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
     salted = big.join(hot, key, "left").withColumn("salt", F.when(F.col("hot"), spread).otherwise(F.lit(0)))
     return salted.drop("hot").join(copied, [key, "salt"], how).drop("salt")
+
+
+def known_hot_keys(big: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | bool:
+    """The hot keys of a table that is joined repeatedly, or False when there are none."""
+    found = cut_lineage(hot_keys(big, key, hot_rows))
+    return False if found.isEmpty() else found

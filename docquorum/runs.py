@@ -16,7 +16,7 @@ from docquorum.operators import state as s
 from docquorum.operators.annotate import ChatFn, annotate
 from docquorum.operators.discover import MAX_FILE_SIZE, discover
 from docquorum.operators.report import detailed_status, run_report, status_table
-from docquorum.session import checkpoint, configure, posix_path
+from docquorum.session import configure, cut_lineage, posix_path
 from docquorum.sources.file_tree import read_texts, read_tree, root_entries
 from docquorum.sources.ignore import IgnoreRule, ignore_rules
 from docquorum.sources.profiles import Rules, bundled_profiles, profiles_from_yaml, resolve_profiles
@@ -91,22 +91,22 @@ def analyze(
     store.set_metadata(s.run_started(store.metadata(), root, model, now))
 
     files, rules = find_files(spark, root, **discovery)
-    found = checkpoint(files)
+    found = cut_lineage(files)
     walked = found.filter("selected").select("path")
     store.append(s.reconcile_changes(store.jobs(), walked))
 
     todo = s.jobs_by_status(store.jobs(), *s.ACTIVE).select(F.col("file_path").alias("path"))
-    texts = checkpoint(read_texts(todo, root))
+    texts = cut_lineage(read_texts(todo, root))
     readable = texts.filter("error IS NULL").select("path", "text")
     run = annotate(
         readable, f"{output_dir}/{log_name}", client_factory, max_retries=max_retries, parallelism=parallelism
     )
     unreadable = texts.filter("error IS NOT NULL").select("path", F.lit("error").alias("status"), "error")
     mine = run.outcomes.join(todo, "path", "left_semi")
-    outcomes = checkpoint(mine.unionByName(unreadable, allowMissingColumns=True))
+    outcomes = cut_lineage(mine.unionByName(unreadable, allowMissingColumns=True))
 
     before = store.jobs().join(outcomes.select(F.col("path").alias("file_path")), "file_path", "left_semi")
-    changed = checkpoint(s.apply_outcomes(before, outcomes))
+    changed = cut_lineage(s.apply_outcomes(before, outcomes))
     store.append(changed)
     write_markdown(
         changed.filter("status = 'complete'").select(F.col("file_path").alias("path"), "final_description"), output_dir

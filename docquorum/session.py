@@ -1,4 +1,4 @@
-"""Session helpers: shared scratch folders and reliable checkpoints."""
+"""Session helpers: shared scratch folders and tables that cut lineage."""
 
 from __future__ import annotations
 
@@ -53,13 +53,15 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/docquorum-{purpose}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage on reliable storage, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Unlike a checkpoint of an uncached table this computes it once, and a lost executor
+    costs no recomputation afterwards.
+    """
+    folder = scratch_dir(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def posix_path(path: str) -> str:
