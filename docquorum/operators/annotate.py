@@ -129,6 +129,7 @@ def call_model(
 ) -> DataFrame:
     """Log rows for requests of (path, attempt, system_prompt, user_prompt).
 
+    A request whose text could not be read says so in an `error` column and is not sent.
     `parallelism` is the number of partitions, hence of concurrent clients. Without a
     client, each request carries its replies in a `recorded` array.
     """
@@ -147,13 +148,16 @@ def call_model(
                         return caller(row.system_prompt, row.user_prompt)
                 else:
                     chat = _recorded_chat(row)
-                if lost is None:
+                unreadable = getattr(row, "error", None)
+                if unreadable is not None:
+                    rows.append((row.path, row.attempt, stages[0], 0, None, FAILED, unreadable))
+                elif lost is None:
                     try:
                         # Keep a path's rows only when all its calls went through.
                         rows.extend(list(_ask(row, stages, chat)))
                     except _ConnectionLost as failure:
                         lost = str(failure)
-                if lost is not None:
+                if lost is not None and unreadable is None:
                     rows.append((row.path, row.attempt, stages[0], 0, None, LOST, lost))
                 if len(rows) >= ROWS_PER_FLUSH:
                     yield pd.DataFrame(rows, columns=columns)
@@ -226,47 +230,69 @@ def annotate(
     max_retries: int = 3,
     parallelism: int | None = None,
     sleep: Callable[[float], None] = time.sleep,
+    reader: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Annotation:
     """Annotate (path, text) rows until every path agrees, fails or runs out of attempts.
 
     `client_factory` builds a ``chat(system, user) -> str`` on each executor partition;
-    `recorded` replays an earlier response log instead. Running again over the same
+    `recorded` replays an earlier response log instead. With a `reader`, `files` holds paths
+    only, and each attempt reads just the texts it needs. Running again over the same
     `log_dir` continues where the last run stopped.
     """
     if (client_factory is None) == (recorded is None):
         raise ValueError("give either client_factory or recorded")
     log = ResponseLog(files.sparkSession, log_dir)
+    earlier = log.is_written(0, "passes")
     lost = False
 
-    def step(attempt: int, name: str, requests: DataFrame, stages: tuple[str, ...]) -> DataFrame:
+    def mine(rows: DataFrame) -> DataFrame:
+        """Rows of the given files; an earlier run may have logged others."""
+        return rows.join(files.select("path"), "path", "left_semi") if earlier else rows
+
+    def step(attempt: int, name: str, paths: DataFrame, prompts: Callable, stages: tuple[str, ...]) -> DataFrame:
         nonlocal lost
+        missing = None
         if log.is_written(attempt, name):
-            requests = requests.join(_answered(log.read((attempt, name))), "path", "left_anti")
-        requests = requests.withColumn("attempt", F.lit(attempt))
-        if recorded is not None:
-            requests = _with_recorded(requests.select("path", "attempt"), recorded, attempt)
-        else:
-            requests = requests.select("path", "attempt", "system_prompt", "user_prompt")
-        if not log.is_written(attempt, name) or not requests.select("path").isEmpty():
+            missing = paths.join(_answered(log.read((attempt, name))), "path", "left_anti")
+        if missing is None or not missing.isEmpty():
+            if recorded is None:
+                requests = prompts(missing).withColumn("attempt", F.lit(attempt))
+                columns = ["path", "attempt", "system_prompt", "user_prompt"]
+                requests = requests.select(*columns, *(c for c in requests.columns if c == "error"))
+            else:
+                chosen = (paths if missing is None else missing).withColumn("attempt", F.lit(attempt))
+                requests = _with_recorded(chosen, recorded, attempt)
             log.append(attempt, name, call_model(requests, stages, client_factory, parallelism, sleep))
-        written = log.read((attempt, name))
+        written = mine(log.read((attempt, name)))
         if recorded is None:
             cut_off = written.filter(F.col("kind") == LOST)
             lost = lost or not cut_off.join(_answered(written), "path", "left_anti").isEmpty()
         return written
 
-    todo = files
+    split = None
     for attempt in range(max_retries + 1):
-        passes = step(attempt, "passes", with_analysis_prompt(todo), ("pass1", "pass2"))
-        judged = step(attempt, "judge", with_judge_prompt(_both_passes(passes)), ("judge",))
+        def analysis(missing: DataFrame | None, waiting: DataFrame | None = split) -> DataFrame:
+            chosen = waiting if missing is None else missing
+            if reader is not None:
+                return with_analysis_prompt(reader(files.select("path") if chosen is None else chosen))
+            return with_analysis_prompt(files if chosen is None else files.join(chosen, "path", "left_semi"))
+
+        paths = files.select("path") if split is None else split
+        passes = step(attempt, "passes", paths, analysis, ("pass1", "pass2"))
+        pairs = _both_passes(passes)
+
+        def judging(missing: DataFrame | None, pairs: DataFrame = pairs) -> DataFrame:
+            return with_judge_prompt(pairs if missing is None else pairs.join(missing, "path", "left_semi"))
+
+        judged = step(attempt, "judge", pairs.select("path"), judging, ("judge",))
         if lost or attempt == max_retries:
             break
         replies = _replies(judged.unionByName(passes))
-        split = attempt_outcomes(replies, max_retries).filter(F.col("outcome") == "disagree")
+        outcome = attempt_outcomes(replies, max_retries)
+        split = outcome.filter(F.col("outcome") == "disagree").select("path")
         if split.isEmpty():
             break
-        todo = files.join(split.select("path"), "path", "left_semi")
-    whole = log.everything(max_retries)
+    whole = mine(log.everything(max_retries))
     return Annotation(outcomes(whole, max_retries), whole, lost)
 
 

@@ -95,15 +95,12 @@ def analyze(
     walked = found.filter("selected").select("path")
     store.append(s.reconcile_changes(store.jobs(), walked))
 
-    todo = s.jobs_by_status(store.jobs(), *s.ACTIVE).select(F.col("file_path").alias("path"))
-    texts = cut_lineage(read_texts(todo, root))
-    readable = texts.filter("error IS NULL").select("path", "text")
+    todo = cut_lineage(s.jobs_by_status(store.jobs(), *s.ACTIVE).select(F.col("file_path").alias("path")))
     run = annotate(
-        readable, f"{output_dir}/{log_name}", client_factory, max_retries=max_retries, parallelism=parallelism
+        todo, f"{output_dir}/{log_name}", client_factory, max_retries=max_retries, parallelism=parallelism,
+        reader=lambda paths: read_texts(paths, root),
     )
-    unreadable = texts.filter("error IS NOT NULL").select("path", F.lit("error").alias("status"), "error")
-    mine = run.outcomes.join(todo, "path", "left_semi")
-    outcomes = cut_lineage(mine.unionByName(unreadable, allowMissingColumns=True))
+    outcomes = cut_lineage(run.outcomes)
 
     before = store.jobs().join(outcomes.select(F.col("path").alias("file_path")), "file_path", "left_semi")
     changed = cut_lineage(s.apply_outcomes(before, outcomes))

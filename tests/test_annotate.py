@@ -67,6 +67,13 @@ def test_finished_log_is_not_asked_again(spark, tmp_path):
     assert set(by_path(more)) == {"a", "b", "c"} and more.log.count() == 9
 
 
+def test_other_files_of_the_log_are_left_alone(spark, tmp_path):
+    an.annotate(files(spark, "split.py"), str(tmp_path / "log"), picky, max_retries=0)
+    later = an.annotate(files(spark, "fine.py"), str(tmp_path / "log"), picky, max_retries=2)
+    assert set(by_path(later)) == {"fine.py"} and later.log.count() == 3
+    assert an.ResponseLog(spark, str(tmp_path / "log")).everything(2).count() == 6
+
+
 def test_lost_connection_keeps_what_is_done(spark, tmp_path):
     def failing():
         def chat(system, user):

@@ -60,6 +60,24 @@ def test_run_resume_and_changes(spark, tmp_path):
     }
 
 
+def test_unreadable_file_is_an_error(spark, tmp_path, monkeypatch):
+    root, out = tmp_path / "repo", tmp_path / "out"
+    root.mkdir()
+    (root / "a.py").write_text("x\n")
+    (root / "gone.py").write_text("x\n")
+    read = runs.read_texts
+
+    def read_late(paths, folder):
+        (root / "gone.py").unlink(missing_ok=True)
+        return read(paths, folder)
+
+    monkeypatch.setattr(runs, "read_texts", read_late)
+    result = runs.analyze(spark, str(root), str(out), client, all_text_files=True)
+    rows = {r["file_path"]: r for r in result.jobs.collect()}
+    assert rows["a.py"]["status"] == "complete" and rows["gone.py"]["status"] == "error"
+    assert "No such file" in rows["gone.py"]["error_log"]
+
+
 def test_status_needs_a_run(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         runs.status(spark, str(tmp_path))
