@@ -70,7 +70,7 @@ def note_section(title: str, note: Column) -> Column:
 
 
 def markdown(path: Column, record: Column) -> Column:
-    """Whole document; empty sections vanish."""
+    """Whole document; empty sections vanish. Section titles and their order are fixed values."""
     return F.concat_ws(
         "\n",
         header(path, record),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docquorum.functions.jsonx import member, parse_field
 from docquorum.operators.state import upsert_metadata
 
+# Fixed value: the summary of a flagged file that left no trace.
 NO_DETAILS = "No details available"
 REPORTED_KEYS = ("repo_path", "model", "started_at")
 
@@ -181,6 +182,7 @@ def _figure_lines(figures: DataFrame, completed_at: Column) -> DataFrame:
     def strong(label: str, value: Column) -> Column:
         return F.concat(F.lit(f"- **{label}:** "), value)
 
+    # The wording of the report, in order.
     lines = [
         F.lit("# Run Report"), F.lit(""),
         strong("Repository", F.coalesce("repo_path", F.lit("unknown"))),

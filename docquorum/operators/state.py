@@ -20,6 +20,7 @@ RESUME_ORDER = (
     "pending", "pass1_done", "pass2_done", "quorum_fail",
     "retry_1", "retry_2", "retry_3", "quorum_pass",
 )
+# Columns of the job table, and those an update may set.
 JOB_DDL = (
     "file_path string, status string, pass1_result string, pass2_result string, "
     "quorum_result string, retry_count int, final_description string, error_log string, "
@@ -81,10 +82,12 @@ def apply_updates(
     now: Column | None = None,
     order: str | None = None,
     check: bool = True,
+    unique: bool = False,
 ) -> DataFrame:
     """Set status and any given fields on matching jobs; absent fields keep their values.
 
-    Updates without a job are ignored. `order` names a column that ranks repeated updates.
+    Updates without a job are ignored. `order` names a column that ranks repeated updates;
+    `unique` says that there are none.
     """
     fields = [c for c in updates.columns if c not in ("file_path", "status", order)]
     unknown = sorted(set(fields) - set(UPDATABLE))
@@ -93,7 +96,7 @@ def apply_updates(
     if check and not invalid_updates(updates).isEmpty():
         raise ValueError("Invalid status in updates")
     now = F.current_timestamp() if now is None else now
-    new = latest_updates(updates, order)
+    new = updates if unique else latest_updates(updates, order)
     changed = new.select(
         "file_path", F.lit(True).alias("hit"), *[F.col(c).alias(f"new_{c}") for c in ["status", *fields]]
     )
@@ -147,8 +150,8 @@ def removed_files(jobs: DataFrame, walked: DataFrame) -> DataFrame:
 
 
 def mark_removed(jobs: DataFrame, paths: DataFrame, now: Column | None = None) -> DataFrame:
-    gone = paths.select(F.col(paths.columns[0]).alias("file_path"), F.lit("removed").alias("status"))
-    return apply_updates(jobs, gone, now, check=False)
+    gone = paths.select(F.col(paths.columns[0]).alias("file_path")).distinct()
+    return apply_updates(jobs, gone.withColumn("status", F.lit("removed")), now, check=False, unique=True)
 
 
 def reconcile_changes(
@@ -211,7 +214,7 @@ def outcome_updates(outcomes: DataFrame) -> DataFrame:
 
 def apply_outcomes(jobs: DataFrame, outcomes: DataFrame, now: Column | None = None) -> DataFrame:
     """Write a run's outcomes into the job table."""
-    return apply_updates(jobs, outcome_updates(outcomes), now, check=False)
+    return apply_updates(jobs, outcome_updates(outcomes), now, check=False, unique=True)
 
 
 def upsert_metadata(metadata: DataFrame, changes: DataFrame | None = None) -> DataFrame:

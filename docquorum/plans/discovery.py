@@ -143,9 +143,9 @@ SELECT path, CAST(strlen(text) AS BIGINT) AS size, NOT coalesce({BINARY_SQL} OR
   {_reason_sql(LIMIT)} AS skip_reason
 FROM corpus WHERE NOT {_pruned_sql(DETECTED)} AND NOT {IGNORED_SQL}
   AND ({BINARY_SQL} OR strlen(text) = 0 OR {_match_sql(DETECTED)})""")
-def discovered_files(spark, sf):
+def discovered_files(spark, sf, ordered=True):
     files = views.files(spark, sf)
-    return d.discover(files, prof.resolve_profiles(files), ignore_rules(IGNORE_LINES), LIMIT)
+    return d.discover(files, prof.resolve_profiles(files), ignore_rules(IGNORE_LINES), LIMIT, ordered=ordered)
 
 
 @registered("named_profiles_all_text", needs=("corpus",), sql=f"""
@@ -170,7 +170,7 @@ SELECT path, {_reason_sql(LIMIT)} AS skip_reason FROM corpus
 WHERE NOT {_pruned_sql(DETECTED)} AND NOT {IGNORED_SQL} AND {_reason_sql(LIMIT)} IS NOT NULL
   AND ({BINARY_SQL} OR strlen(text) = 0 OR {_match_sql(DETECTED)})""")
 def _(spark, sf):
-    return d.skip_ledger(discovered_files(spark, sf))
+    return d.skip_ledger(discovered_files(spark, sf, ordered=False))
 
 
 @registered("skip_count", needs=("corpus",), sql=f"""
@@ -178,7 +178,7 @@ SELECT count(*) AS skipped FROM corpus
 WHERE NOT {_pruned_sql(DETECTED)} AND NOT {IGNORED_SQL} AND {_reason_sql(LIMIT)} IS NOT NULL
   AND ({BINARY_SQL} OR strlen(text) = 0 OR {_match_sql(DETECTED)})""")
 def _(spark, sf):
-    return d.skip_count(discovered_files(spark, sf))
+    return d.skip_count(discovered_files(spark, sf, ordered=False))
 
 
 _LANG_OF_EXT = ", ".join(

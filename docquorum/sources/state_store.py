@@ -7,6 +7,8 @@ at a time.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from docquorum.operators.state import JOB_DDL, METADATA_DDL, upsert_metadata
 from docquorum.session import hadoop_path
 
 
+COMMIT_NAME = re.compile(r"(full|delta)-\d{8}")
+
+
 class StateStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -27,6 +32,8 @@ class StateStore:
         found = []
         for status in fs.listStatus(folder):
             name = status.getPath().getName()
+            if not COMMIT_NAME.fullmatch(name):
+                continue
             _, done = hadoop_path(self.spark, f"{self.root}/{table}/{name}/_SUCCESS")
             found.append((int(name.split("-")[1]), name, fs.exists(done)))
         return sorted(found)

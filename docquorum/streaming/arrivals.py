@@ -13,14 +13,19 @@ from docquorum.sources.state_store import StateStore
 TOKEN_DDL = "request_id bigint, seq bigint, token string, stop boolean"
 
 
-def track_arrivals(paths: DataFrame, store: StateStore, checkpoint_dir: str) -> StreamingQuery:
+def track_arrivals(
+    paths: DataFrame, store: StateStore, checkpoint_dir: str, compact_every: int = 100
+) -> StreamingQuery:
     """Add each batch of arriving paths to the job table, as a delta of the new rows.
 
-    Inserting only absent paths makes a repeated batch harmless.
+    Inserting only absent paths makes a repeated batch harmless. Every `compact_every`
+    batches the deltas are folded into a snapshot.
     """
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         fresh = jobs_to_add(store.jobs(), batch.select(F.col(batch.columns[0]).alias("file_path")))
         store.append(fresh)
+        if number and number % compact_every == 0:
+            store.compact()
 
     return (
         paths.writeStream.foreachBatch(add)

@@ -74,7 +74,7 @@ def test_arrivals_are_tracked_once(spark, tmp_path):
         spark.createDataFrame([(n,) for n in names], "path string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     for _ in range(2):
         stream = spark.readStream.schema("path string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-        arrivals.track_arrivals(stream, store, str(tmp_path / "progress")).awaitTermination()
+        arrivals.track_arrivals(stream, store, str(tmp_path / "progress"), compact_every=1).awaitTermination()
     assert sorted(column(store.jobs(), "file_path")) == ["a", "b", "c"]
 
 
@@ -161,11 +161,13 @@ def test_cycles(spark, edges):
     assert {r["node"]: r["cycle_id"] for r in found.collect()} == on_cycles(edges)
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_cycles_of_random_graphs(spark, seed):
+@pytest.mark.parametrize("seed, hot_rows", [(0, 10**6), (1, 3)])
+def test_cycles_of_random_graphs(spark, seed, hot_rows):
+    """The second graph has a hub with a third of all edges, treated as hot."""
     rng = random.Random(seed)
-    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(48)]
-    found = g.circular_dependencies(spark.createDataFrame(edges, "src long, dst long"))
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(40)]
+    edges += [(7, rng.randrange(40)) for _ in range(20 * seed)]
+    found = g.circular_dependencies(spark.createDataFrame(edges, "src long, dst long"), hot_rows)
     assert {r["node"]: r["cycle_id"] for r in found.collect()} == on_cycles(edges)
 
 
