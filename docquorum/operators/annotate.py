@@ -231,13 +231,15 @@ def annotate(
     parallelism: int | None = None,
     sleep: Callable[[float], None] = time.sleep,
     reader: Callable[[DataFrame], DataFrame] | None = None,
+    slices: int = 1,
 ) -> Annotation:
     """Annotate (path, text) rows until every path agrees, fails or runs out of attempts.
 
     `client_factory` builds a ``chat(system, user) -> str`` on each executor partition;
     `recorded` replays an earlier response log instead. With a `reader`, `files` holds paths
     only, and each attempt reads just the texts it needs. Running again over the same
-    `log_dir` continues where the last run stopped.
+    `log_dir` continues where the last run stopped; with `slices`, each step is logged in that
+    many parts, so that a stopped driver loses at most one part's calls.
     """
     if (client_factory is None) == (recorded is None):
         raise ValueError("give either client_factory or recorded")
@@ -254,14 +256,18 @@ def annotate(
         missing = None
         if log.is_written(attempt, name):
             missing = paths.join(_answered(log.read((attempt, name))), "path", "left_anti")
-        if missing is None or not missing.isEmpty():
+        for part in range(slices if missing is None or not missing.isEmpty() else 0):
+            chosen = missing
+            if slices > 1:
+                here = F.pmod(F.xxhash64("path"), F.lit(slices)) == part
+                chosen = (paths if missing is None else missing).filter(here)
             if recorded is None:
-                requests = prompts(missing).withColumn("attempt", F.lit(attempt))
+                requests = prompts(chosen).withColumn("attempt", F.lit(attempt))
                 columns = ["path", "attempt", "system_prompt", "user_prompt"]
                 requests = requests.select(*columns, *(c for c in requests.columns if c == "error"))
             else:
-                chosen = (paths if missing is None else missing).withColumn("attempt", F.lit(attempt))
-                requests = _with_recorded(chosen, recorded, attempt)
+                numbered = (paths if chosen is None else chosen).withColumn("attempt", F.lit(attempt))
+                requests = _with_recorded(numbered, recorded, attempt)
             log.append(attempt, name, call_model(requests, stages, client_factory, parallelism, sleep))
         written = mine(log.read((attempt, name)))
         if recorded is None:

@@ -77,6 +77,7 @@ def analyze(
     model: str = "unknown",
     max_retries: int = 3,
     parallelism: int | None = None,
+    slices: int = 1,
     log_name: str = "log",
     **discovery,
 ) -> RunResult:
@@ -98,7 +99,7 @@ def analyze(
     todo = cut_lineage(s.jobs_by_status(store.jobs(), *s.ACTIVE).select(F.col("file_path").alias("path")))
     run = annotate(
         todo, f"{output_dir}/{log_name}", client_factory, max_retries=max_retries, parallelism=parallelism,
-        reader=lambda paths: read_texts(paths, root),
+        reader=lambda paths: read_texts(paths, root), slices=slices,
     )
     outcomes = cut_lineage(run.outcomes)
 

@@ -67,6 +67,20 @@ def test_finished_log_is_not_asked_again(spark, tmp_path):
     assert set(by_path(more)) == {"a", "b", "c"} and more.log.count() == 9
 
 
+def test_sliced_steps(spark, tmp_path):
+    """Slicing changes no outcome, and a resumed step asks only for the part it lost."""
+    names = [f"f{i}.py" for i in range(9)] + ["split.py"]
+    whole = by_path(an.annotate(files(spark, *names), str(tmp_path / "one"), picky, max_retries=1))
+    run = an.annotate(files(spark, *names), str(tmp_path / "log"), picky, max_retries=1, slices=3)
+    assert by_path(run) == whole and run.log.count() == 9 * 3 + 6
+    parts = sorted(p.name for p in (tmp_path / "log" / "attempt=0" / "passes").iterdir())
+    assert len(parts) == 3
+    # As after a driver that stopped before the last part was finished.
+    (tmp_path / "log" / "attempt=0" / "passes" / parts[2] / "_SUCCESS").unlink()
+    again = an.annotate(files(spark, *names), str(tmp_path / "log"), picky, max_retries=1, slices=3)
+    assert by_path(again) == whole and again.log.count() == 9 * 3 + 6
+
+
 def test_other_files_of_the_log_are_left_alone(spark, tmp_path):
     an.annotate(files(spark, "split.py"), str(tmp_path / "log"), picky, max_retries=0)
     later = an.annotate(files(spark, "fine.py"), str(tmp_path / "log"), picky, max_retries=2)
