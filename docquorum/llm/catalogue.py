@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality_rules, url_filter
+from . import line_dedup, mixing, ngram_join, quality_rules, url_filter
 from .registry import QUERIES, SQL, registered, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -145,3 +145,9 @@ def op9_quality_rules(spark, sf_dir):
         "doc_id", *(f"quality.{c}" for c in (
             "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
             "n_lines", "kept_words")))
+
+
+@registered("op1_ngram_join")
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"), n=3, percent=90).select(
+        "doc_id", F.col("n_shingles"), "component_id")
