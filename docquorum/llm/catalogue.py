@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, quality_rules, url_filter
+from . import decontaminate, line_dedup, mixing, ngram_join, quality_rules, toxicity, url_filter
 from .registry import QUERIES, SQL, registered, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -151,3 +151,19 @@ def op9_quality_rules(spark, sf_dir):
 def op1_ngram_join(spark, sf_dir):
     return ngram_join.near_groups(table(spark, sf_dir, "documents"), n=3, percent=90).select(
         "doc_id", F.col("n_shingles"), "component_id")
+
+
+@registered("op4_decontamination")
+def op4_decontamination(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "overlap", "answer_found", "cosine", "at")
+
+
+@registered("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels.filter(~out), "doc_id"))
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id", out.alias("held_out"), F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
