@@ -70,10 +70,11 @@ def _growing_left(rows: Column, enough: int) -> Column:
 
 def _windows(docs: DataFrame, min_words: int, shingle_words: int, text: str, doc_id: str) -> DataFrame:
     """One row per window: document, first line and number of lines (lines with words count), hash, fingerprint."""
-    cut = docs.select(
+    # Written first: the folds below look into the array once for each line, and must find it made.
+    cut = cut_lineage(docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
         _line_table(F.coalesce(F.col(text), F.lit(""))).alias("rows"),
-    )
+    ))
     rows = F.col("rows")
     held = cut_lineage(cut.select(
         "doc_id", "text_hash", F.transform(rows, lambda x: x["line"]).alias("lines"),
