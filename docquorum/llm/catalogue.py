@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, ngram_join, quality_rules, toxicity, url_filter
+from . import (
+    decontaminate, language_id, line_dedup, mixing, ngram_join, quality_mil, quality_rules, toxicity, url_filter,
+)
 from .registry import QUERIES, SQL, registered, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -167,3 +170,33 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(docs, model).select(
         "doc_id", out.alias("held_out"), F.col("toxic_score").alias("score"),
         (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
+@registered("op6_quality_classifier")
+def op6_quality_classifier(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.held_out(F.col("doc_id"), 3, 1)
+    model = quality_mil.fit(docs.select("doc_id", "text").join(labels.filter(~out), "doc_id"))
+    return quality_mil.score_quality(docs, model).select(
+        "doc_id", out.alias("held_out"), F.col("quality_mil.score").alias("score"),
+        (F.col("quality_mil.score") >= 0.5).cast("int").alias("predicted"))
+
+
+@registered("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    """Pages by text, markup and address; documents by text and source. ``page_id`` or ``doc_id`` is null."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+
+    @F.pandas_udf("string")
+    def shown(html: pd.Series) -> pd.Series:
+        return html.map(language_id.visible)
+
+    rows = pages.select(
+        F.lit(None).cast("long").alias("doc_id"), "page_id", shown("html").alias("text"),
+        F.nullif(url_filter.host(F.col("url")), F.lit("")).alias("host"),
+        language_id.declared_language(F.col("html")).alias("declared"),
+    ).union(docs.select(
+        "doc_id", F.lit(None).cast("long"), "text", F.concat(F.col("source"), F.lit(".source")),
+        F.lit(None).cast("string")))
+    found = language_id.identify(rows, language_id.fit_text(docs))
+    return found.select("doc_id", "page_id", "lang", "probability", "text_lang", "declared")
