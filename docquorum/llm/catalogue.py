@@ -200,3 +200,10 @@ def op10_language_id(spark, sf_dir):
         F.lit(None).cast("string")))
     found = language_id.identify(rows, language_id.fit_text(docs))
     return found.select("doc_id", "page_id", "lang", "probability", "text_lang", "declared")
+
+
+@registered("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
