@@ -235,7 +235,9 @@ def link_nodes(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) ->
 
 def _sets(docs: DataFrame, chosen: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
     """``node, size, grams`` of chosen nodes, made anew from one text of each."""
-    picked = chosen.select("node", "size", F.col("row.text_hash").alias("h"), F.col("row.doc_id").alias("i"))
+    # Written, so that Spark knows its size: a small selection is broadcast and no text is shuffled.
+    picked = cut_lineage(
+        chosen.select("node", "size", F.col("row.text_hash").alias("h"), F.col("row.doc_id").alias("i")))
     texts = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"))
     return texts.join(
         picked, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("i"))
