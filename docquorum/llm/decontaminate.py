@@ -17,12 +17,12 @@ Only fixed-size tables are sent around: slots by columns, and blocks of items. T
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,33 +31,23 @@ from docquorum.session import cut_lineage
 from .words import byte_words
 
 SLOTS = 2048
-RANK = 32
+RANK = 48
 SPARE = 8
-PASSAGE = 128
+PASSAGE = 256
 STEP = 8
 WIDTHS = (16, 32, 64)
 MAX_ITEMS = 50_000
-_CACHE = 200_000
 
 
-class _Slots(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = slot = xxhash.xxh3_64_intdigest(word) % SLOTS
-        return slot
-
-
-def slots_of(tokens: list[bytes], cache: _Slots) -> np.ndarray:
-    if len(cache) > _CACHE:
-        cache.clear()
-    return np.array([cache[w] for w in tokens], np.int16)
+def slots_of(tokens: list[bytes]) -> np.ndarray:
+    return (np.fromiter(map(zlib.crc32, tokens), np.uint32, len(tokens)) % SLOTS).astype(np.int16)
 
 
 def _slot_rows(texts: DataFrame) -> DataFrame:
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache = _Slots()
         for batch in batches:
-            yield pd.Series([slots_of(byte_words(t), cache).tobytes() for t in batch])
+            yield pd.Series([slots_of(byte_words(t)).tobytes() for t in batch])
 
     return texts.select(encode(F.col("text")).alias("slots"))
 
@@ -94,8 +84,10 @@ def _passages(frames: Iterator[pd.DataFrame], idf: np.ndarray) -> Iterator[np.nd
     def block(parts: list[np.ndarray]) -> np.ndarray:
         at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         counts = np.bincount(at * SLOTS + np.concatenate(parts), minlength=len(parts) * SLOTS)
-        dense = counts.reshape(len(parts), SLOTS).astype(np.float32) * idf
-        return dense / np.maximum(np.sqrt((dense * dense).sum(axis=1, keepdims=True)), 1e-12)
+        dense = counts.reshape(len(parts), SLOTS).astype(np.float32)
+        dense *= idf
+        dense /= np.maximum(np.sqrt(np.einsum("ij,ij->i", dense, dense)), 1e-12)[:, None]
+        return dense
 
     held: list[np.ndarray] = []
     for frame in frames:
@@ -169,13 +161,17 @@ class _Items:
         self.words = [byte_words(r[1]) for r in rows]
         self.counts = [Counter(w) for w in self.words]
         self.answers = [last_sentence(w) for w in self.words]
-        cache = _Slots()
+        # Which slots an item has words in; the last column stands for the blank behind a text.
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.holds = np.zeros((len(rows), SLOTS + 1), bool)
+        for n, tokens in enumerate(self.words):
+            self.holds[n, slots_of(tokens)] = True
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         made: dict[int, list] = {w: [] for w in WIDTHS}
         for n, tokens in enumerate(self.words):
             width = _width(len(tokens))
             for begin in range(0, max(1, len(tokens) - width // 2), width):
-                piece = slots_of(tokens[begin:begin + width], cache)
+                piece = slots_of(tokens[begin:begin + width])
                 if len(piece):
                     made[width].append((n, space[piece].sum(axis=0)))
         for width, parts in made.items():
@@ -187,14 +183,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def _candidates(tokens: list[list[bytes]], space: np.ndarray, items: _Items, min_cosine: float, cache: _Slots):
-    """(document, item, first word, width, cosine) of all passages of some documents that are near an item."""
+def _candidates(tokens: list[list[bytes]], space: np.ndarray, items: _Items, min_cosine: float, weak: float):
+    """(document, item, first word, width, cosine) of all passages of some documents that are near an item.
+
+    A near passage only counts if so many words around it fall on slots of the item as a leak must share with it.
+    """
     blank = len(space) - 1  # a row of zeros behind the slots fills up the last step of a text
     steps = [-(-len(t) // STEP) for t in tokens]
     flat = np.full(sum(steps) * STEP, blank, np.int32)
     begin = np.concatenate([[0], np.cumsum(steps)]) * STEP
     for t, at in zip(tokens, begin):
-        flat[at:at + len(t)] = slots_of(t, cache)
+        flat[at:at + len(t)] = slots_of(t)
     owner = np.repeat(np.arange(len(tokens)), steps)
     first = np.repeat(begin[:-1] // STEP, steps)
     sums = space[flat].reshape(-1, STEP, space.shape[1]).sum(axis=1)
@@ -208,12 +207,22 @@ def _candidates(tokens: list[list[bytes]], space: np.ndarray, items: _Items, min
         reach = np.minimum(starts + many, last[starts] + 1)
         totals = np.vstack([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
         near = _unit((totals[reach] - totals[starts]).astype(np.float32)) @ vectors
-        for p, c in zip(*np.nonzero(near >= min_cosine)):
-            s = starts[p]
-            yield int(owner[s]), int(numbers[c]), int((s - first[s]) * STEP), width, float(near[p, c])
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.4, strong: float = 0.7,
+        p, c = np.nonzero(near >= min_cosine)
+        s, n = starts[p], numbers[c]
+        for part in range(0, len(p), 20_000):
+            at_once = slice(part, part + 20_000)
+            reach_out = int(items.sizes[n[at_once]].max())
+            offset = np.arange(-reach_out, width + reach_out)
+            place = s[at_once, None] * STEP + offset
+            lowest, highest = first[s[at_once], None] * STEP, (last[s[at_once], None] + 1) * STEP
+            inside = (place >= lowest) & (place < highest)
+            slots = np.where(inside, flat[np.clip(place, 0, len(flat) - 1)], blank)
+            shared = items.holds[n[at_once, None], slots].sum(axis=1)
+            for i in np.flatnonzero(shared >= weak * items.sizes[n[at_once]]) + part:
+                yield int(owner[s[i]]), int(n[i]), int((s[i] - first[s[i]]) * STEP), width, float(near[p[i], c[i]])
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.45, strong: float = 0.7,
                weak: float = 0.5, answer: float = 0.8, text: str = "text", doc_id: str = "doc_id",
                item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item it leaks: ``doc_id, text_hash, item_id, overlap, answer_found, cosine, at``.
@@ -241,14 +250,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.4, s
 
         def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ready, vectors = shared.value
-            cache = _Slots()
             for frame in frames:
                 out = []
                 for begin in range(0, len(frame), 200):
                     part = frame.iloc[begin:begin + 200]
                     tokens = [byte_words(t) for t in part["text"]]
                     best: dict[tuple[int, int], tuple] = {}
-                    for d, n, at, width, cosine in _candidates(tokens, vectors, ready, min_cosine, cache):
+                    for d, n, at, width, cosine in _candidates(tokens, vectors, ready, min_cosine, weak):
                         wanted = ready.words[n]
                         around = tokens[d][max(0, at - len(wanted)):at + width + len(wanted)]
                         common = (ready.counts[n] & Counter(around)).total()  # no subsequence is longer
