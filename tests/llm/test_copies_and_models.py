@@ -92,7 +92,7 @@ def prose(r, n, words):
 
 def test_leaks(docs, odd, nothing, spark):
     r = random.Random(4)
-    words = [f"{a}{b}" for a in "the of and to in is for on with as".split() for b in ["", "ra", "mo", "ti", "sel", "nor", "ka", "lu"]]
+    words = "the of and to in is for on with as".split() * 40 + [f"term{k}" for k in range(900)]
     items = [(i, prose(r, r.randint(15, 60), words)) for i in range(25)] + [(90, None), (91, "")]
     rows = [(i, prose(r, r.randint(30, 400), words)) for i in range(200)]
     leaks = set()
@@ -101,7 +101,7 @@ def test_leaks(docs, odd, nothing, spark):
         inside = item[1].split()
         if i % 8:  # a paraphrase: some words replaced
             for k in range(0, len(inside), 8):
-                inside[k] = "other"
+                inside[k] = f"other{r.randint(0, 300)}"
         own = rows[i][1].split()
         at = r.randrange(len(own))
         rows[i] = (i, " ".join(own[:at] + inside + own[at:]))
