@@ -80,9 +80,10 @@ def test_odd_rows(odd, nothing):
     assert ngram_join.near_groups(nothing).count() == 0 and ngram_join.drop_near_copies(nothing).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 100), (7, 7), (200, 300), (300, 200)]
-    found = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 200: 200, 300: 200}
 
 
