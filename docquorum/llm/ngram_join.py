@@ -112,11 +112,20 @@ def tile_keys(grams: np.ndarray, percent: int, bands: dict[int, tuple[int, int]]
 
 
 def bitmap(grams: np.ndarray) -> np.ndarray:
-    """Parity of the number of hashes on each bit, as 64-bit numbers."""
-    odd = np.bincount((grams % np.uint64(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1
+    """Parity of the number of hashes on each bit, as 64-bit numbers; as many bits as elements, rounded up to a power
+    of two, since a narrow bitmap cannot tell large sets apart."""
+    width = max(BITS, 1 << max(0, len(grams) - 1).bit_length())
+    odd = np.bincount((grams % np.uint64(width)).astype(np.int64), minlength=width).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def folded(bits: np.ndarray, length: int) -> np.ndarray:
+    """The bitmap of the same set with fewer bits: halves of a parity bitmap add up."""
+    while len(bits) > length:
+        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits
+
+
 def _described(n: int, percent: int):
     @F.pandas_udf("size int, node long, keys array<long>, bits array<long>")
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -160,10 +169,19 @@ def reaches(common: Column | np.ndarray, total, percent: int):
     return 100 * common >= percent * (total - common)
 
 
+def _folded(bits: str, other: str) -> Column:
+    """Column form of ``folded``; sizes of candidates lie so close that one fold is enough."""
+    half = (F.size(bits) / 2).cast("int")
+    halves = F.zip_with(
+        F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bits) > F.size(other), halves).otherwise(F.col(bits))
+
+
 def _bound(percent: int) -> Column:
     """Whether the bitmaps leave the threshold within reach."""
     differ = F.aggregate(
-        F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        F.zip_with(_folded("a_bits", "b_bits"), _folded("b_bits", "a_bits"),
+                   lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     total = F.col("a_size") + F.col("b_size")
     return reaches((total - differ) / 2, total, percent)
 
@@ -212,7 +230,8 @@ def link_nodes(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) ->
 
     chosen = nodes.join(
         passing.select(F.col("a").alias("node")).union(passing.select("b")).distinct(), "node", "left_semi")
-    sets = cut_lineage(_sets(docs, chosen, n, text, doc_id))
+    # The nodes chosen here grow with the corpus, so their texts are joined by a shuffle at every size.
+    sets = cut_lineage(_sets(docs, chosen, n, text, doc_id, "merge"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = _with_ends(pairs, sets, "grams")
@@ -233,11 +252,13 @@ def link_nodes(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) ->
     return members, labels
 
 
-def _sets(docs: DataFrame, chosen: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
+def _sets(docs: DataFrame, chosen: DataFrame, n: int, text: str, doc_id: str, *hints: str) -> DataFrame:
     """``node, size, grams`` of chosen nodes, made anew from one text of each."""
     # Written, so that Spark knows its size: a small selection is broadcast and no text is shuffled.
     picked = cut_lineage(
         chosen.select("node", "size", F.col("row.text_hash").alias("h"), F.col("row.doc_id").alias("i")))
+    for hint in hints:
+        picked = picked.hint(hint)
     texts = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"))
     return texts.join(
         picked, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("i"))
@@ -264,7 +285,8 @@ def _remaining(docs, tiles, nodes, labels, n, percent, text, doc_id) -> DataFram
     grouped = ["key", "left", "right"]
 
     def by_bits(frame: pd.DataFrame) -> pd.DataFrame:
-        bits = np.stack(frame["bits"].to_numpy()).view(np.uint64)
+        length = min(map(len, frame["bits"]))
+        bits = np.stack([folded(x, length) for x in frame["bits"]]).view(np.uint64)
         size, inside = frame["size"].to_numpy(), frame["component"].to_numpy()
         marked = np.zeros(len(frame), bool)
         for i in range(len(frame)):
