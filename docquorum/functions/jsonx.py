@@ -49,14 +49,20 @@ def extract_json(reply: Column) -> Column:
     return parse_prefix(object_text(reply))
 
 
-def parse_field(text: Column) -> Column:
-    """VARIANT of a stored JSON field; null for null, empty, broken or trailing text.
+def strict_array(text: Column) -> Column:
+    """VARIANT of the array [value, 0] for a text that is one JSON value and nothing else, else null.
 
-    Wrapping the value in an array makes the parser look beyond its end.
+    The parser stops at the end of a value, so the value goes into an array with a sentinel behind it.
+    Text that closes the array early, or adds elements, moves the sentinel.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    single = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    return F.when(single, F.try_variant_get(wrapped, "$[0]", "variant"))
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(", 0]")))
+    sentinel = F.to_json(F.try_variant_get(wrapped, "$[1]", "variant")) == "0"
+    return F.when(sentinel & F.try_variant_get(wrapped, "$[2]", "variant").isNull(), wrapped)
+
+
+def parse_field(text: Column) -> Column:
+    """VARIANT of a stored JSON field; null for null, empty, broken or trailing text."""
+    return F.try_variant_get(strict_array(text), "$[0]", "variant")
 
 
 def member(value: Column, path: str, as_type: str = "variant") -> Column:

@@ -105,8 +105,10 @@ def name_or_path_match(path: Column, *patterns: str) -> Column:
 def under_directory(path: Column, *dir_globs: str) -> Column:
     """True when any directory on the way to the file matches one of the name globs.
 
-    One regex scan of the path; a file of that name does not count.
+    One regex scan of the path; a file of that name does not count. Globs are held against single
+    names, so one with a slash in it matches nothing.
     """
+    dir_globs = [g for g in dir_globs if "/" not in g]
     if not dir_globs:
         return F.lit(False)
     names = any_of(glob_body(g, cross_slash=False) for g in dir_globs)

@@ -29,7 +29,7 @@ BACKOFF_FIRST = 1
 BACKOFF_MAX = 60
 
 LOG_DDL = (
-    "path string, attempt int, stage string, call_no int, raw string, kind string, error string"
+    "path string, attempt int, stage string, call_no int, raw string, kind string, error string, content_hash string"
 )
 REPLY, FAILED, LOST = "reply", "error", "lost"
 ROWS_PER_FLUSH = 64
@@ -129,12 +129,14 @@ def call_model(
 ) -> DataFrame:
     """Log rows for requests of (path, attempt, system_prompt, user_prompt).
 
-    A request whose text could not be read says so in an `error` column and is not sent.
-    `parallelism` is the number of partitions, hence of concurrent clients. Without a
+    A request whose text could not be read says so in an `error` column and is not sent. A
+    `content_hash` is copied to the log.
+    `parallelism` is the number of partitions, hence of concurrent clients; by default the cluster's. Without a
     client, each request carries its replies in a `recorded` array.
     """
-    if parallelism:
-        requests = requests.repartition(parallelism, "path")
+    # Without a fixed number, adaptive execution would join the small partitions of the judge step into one client.
+    clients = parallelism or requests.sparkSession.sparkContext.defaultParallelism
+    requests = requests.repartition(clients, "path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         caller = _Caller(client_factory, sleep) if client_factory else None
@@ -148,17 +150,17 @@ def call_model(
                         return caller(row.system_prompt, row.user_prompt)
                 else:
                     chat = _recorded_chat(row)
-                unreadable = getattr(row, "error", None)
+                unreadable, content = getattr(row, "error", None), getattr(row, "content_hash", None)
                 if unreadable is not None:
-                    rows.append((row.path, row.attempt, stages[0], 0, None, FAILED, unreadable))
+                    rows.append((row.path, row.attempt, stages[0], 0, None, FAILED, unreadable, content))
                 elif lost is None:
                     try:
                         # Keep a path's rows only when all its calls went through.
-                        rows.extend(list(_ask(row, stages, chat)))
+                        rows.extend([(*logged, content) for logged in _ask(row, stages, chat)])
                     except _ConnectionLost as failure:
                         lost = str(failure)
                 if lost is not None and unreadable is None:
-                    rows.append((row.path, row.attempt, stages[0], 0, None, LOST, lost))
+                    rows.append((row.path, row.attempt, stages[0], 0, None, LOST, lost, content))
                 if len(rows) >= ROWS_PER_FLUSH:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
@@ -237,7 +239,8 @@ def annotate(
 
     `client_factory` builds a ``chat(system, user) -> str`` on each executor partition;
     `recorded` replays an earlier response log instead. With a `reader`, `files` holds paths
-    only, and each attempt reads just the texts it needs. Running again over the same
+    only, and each attempt reads just the texts it needs. With a `content_hash` column, only log
+    rows of the same hash count as answers, so a file that changed is asked about anew. Running again over the same
     `log_dir` continues where the last run stopped; with `slices`, each step is logged in that
     many parts, so that a stopped driver loses at most one part's calls.
     """
@@ -247,27 +250,41 @@ def annotate(
     earlier = log.is_written(0, "passes")
     lost = False
 
+    hashed = "content_hash" in files.columns
+
     def mine(rows: DataFrame) -> DataFrame:
-        """Rows of the given files; an earlier run may have logged others."""
+        """Rows of the given files and, where hashes are given, of their present content.
+
+        An earlier run may have logged other files, or another content of the same file.
+        """
+        if hashed:
+            same = F.col("content_hash").eqNullSafe(F.col("present"))
+            present = files.select(F.col("path").alias("file"), F.col("content_hash").alias("present"))
+            return rows.join(present, (F.col("path") == F.col("file")) & same, "left_semi")
         return rows.join(files.select("path"), "path", "left_semi") if earlier else rows
 
+    def with_hash(requests: DataFrame) -> DataFrame:
+        if not hashed:
+            return requests
+        return requests.drop("content_hash").join(files.select("path", "content_hash"), "path", "left")
+
     def step(attempt: int, name: str, paths: DataFrame, prompts: Callable, stages: tuple[str, ...]) -> DataFrame:
         nonlocal lost
         missing = None
         if log.is_written(attempt, name):
-            missing = paths.join(_answered(log.read((attempt, name))), "path", "left_anti")
+            missing = paths.join(_answered(mine(log.read((attempt, name)))), "path", "left_anti")
         for part in range(slices if missing is None or not missing.isEmpty() else 0):
             chosen = missing
             if slices > 1:
                 here = F.pmod(F.xxhash64("path"), F.lit(slices)) == part
                 chosen = (paths if missing is None else missing).filter(here)
             if recorded is None:
-                requests = prompts(chosen).withColumn("attempt", F.lit(attempt))
+                requests = with_hash(prompts(chosen)).withColumn("attempt", F.lit(attempt))
                 columns = ["path", "attempt", "system_prompt", "user_prompt"]
-                requests = requests.select(*columns, *(c for c in requests.columns if c == "error"))
+                requests = requests.select(*columns, *(c for c in requests.columns if c in ("error", "content_hash")))
             else:
                 numbered = (paths if chosen is None else chosen).withColumn("attempt", F.lit(attempt))
-                requests = _with_recorded(numbered, recorded, attempt)
+                requests = with_hash(_with_recorded(numbered, recorded, attempt))
             log.append(attempt, name, call_model(requests, stages, client_factory, parallelism, sleep))
         written = mine(log.read((attempt, name)))
         if recorded is None:

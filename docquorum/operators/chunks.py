@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquorum.functions.jsonx import member, truthy
+from docquorum.functions.jsonx import member, strict_array, truthy
 
 # The two line formats.
 DATA_PREFIX = "data: "
@@ -22,12 +22,6 @@ STYLES = tuple(WHOLE_REPLY)
 BLOCK = 4096
 
 
-def _strict(text: Column) -> Column:
-    """The line as a one-element VARIANT array; null when broken or followed by more text."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(member(wrapped, "$[1]").isNull(), wrapped)
-
-
 def parse_chunks(lines: DataFrame, style: str) -> DataFrame:
     """Stateless part: (request_id, seq, token, stop) per line.
 
@@ -38,9 +32,9 @@ def parse_chunks(lines: DataFrame, style: str) -> DataFrame:
     if style == "data":
         payload = F.when(line.startswith(DATA_PREFIX), F.substring(line, len(DATA_PREFIX) + 1, F.length(line)))
         stop = F.coalesce(F.trim(payload) == DATA_END, F.lit(False))
-        token = F.when(~stop, member(_strict(payload), DATA_TOKEN, "string"))
+        token = F.when(~stop, member(strict_array(payload), DATA_TOKEN, "string"))
     elif style == "lines":
-        parsed = _strict(line)
+        parsed = strict_array(line)
         stop = truthy(member(parsed, LINES_END))
         token = member(parsed, LINES_TOKEN, "string")
     else:

@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docquorum.functions.jsonx import typed_analysis
-from docquorum.functions.language import EXTENSIONS_OF_LANGUAGE
+from docquorum.functions.language import LANGUAGE_OF_EXTENSION
 from docquorum.functions.paths import top_level
 from docquorum.operators.report import disagreement_summary
-from docquorum.operators.skew import HOT_ROWS, SALTS, hot_keys, known_hot_keys, spread_join
+from docquorum.operators.skew import HOT_ROWS, hot_keys, known_hot_keys, spread_join
 from docquorum.session import cut_lineage
 
 ROOT_MODULE = "."
@@ -227,13 +227,13 @@ def flagged_prompts(jobs: DataFrame) -> DataFrame:
 
 def import_key(name: Column) -> Column:
     """Common form of a path and of an import name: dots, no extension, no package marker."""
-    source = sorted({ext for exts in EXTENSIONS_OF_LANGUAGE.values() for ext in exts.split()})
+    source = sorted(ext.removeprefix(".") for ext in LANGUAGE_OF_EXTENSION)
     bare = F.regexp_replace(name, r"\A(\./)+", "")
     bare = F.regexp_replace(bare, rf"\.(?:{'|'.join(source)})\z", "")
     return F.regexp_replace(F.translate(bare, "/", "."), r"\.__init__\z", "")
 
 
-def dependency_edges(records: DataFrame, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+def dependency_edges(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Resolve (path, imports_from) into edges (src_path, target, dst_path, modules, cross_module).
 
     Names that match no file stay external, with a null dst_path. A large part of all files
@@ -248,7 +248,7 @@ def dependency_edges(records: DataFrame, hot_rows: int = HOT_ROWS, salts: int =
         records.select(import_key(F.col("path")).alias("key"), F.col("path").alias("dst_path"))
         .groupBy("key").agg(F.min("dst_path").alias("dst_path"))
     )
-    joined = spread_join(edges, owners, "key", "src_path", "left", hot_keys(edges, "key", hot_rows), salts)
+    joined = spread_join(edges, owners, "key", "src_path", "left", hot_keys(edges, "key", hot_rows))
     src, dst = module_of(F.col("src_path")), module_of(F.col("dst_path"))
     dst = F.when(F.col("dst_path").isNotNull(), dst)
     return joined.select(

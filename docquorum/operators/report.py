@@ -149,12 +149,14 @@ def _retry_counts() -> list[Column]:
 
 
 def run_report(
-    jobs: DataFrame, metadata: DataFrame, found: DataFrame | None = None, completed_at: Column | None = None
+    jobs: DataFrame, metadata: DataFrame, found: DataFrame | None = None, completed_at: Column | None = None,
+    started_at: Column | None = None,
 ) -> DataFrame:
     """Report lines as (section, position, line), to be read in that order.
 
     Section 0 holds the figures and has a fixed number of lines. Section 1 holds one line per
     flagged file, positioned by path. `found` is the discovery result behind the skip count.
+    `started_at` is the start of this run as ISO text; without it the first start in the metadata counts.
     """
     if completed_at is None:
         completed_at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
@@ -169,6 +171,8 @@ def run_report(
     figures = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
     if found is None:
         figures = figures.withColumn("skipped", F.lit(0).cast("bigint"))
+    if started_at is not None:
+        figures = figures.withColumn("started_at", started_at)
     return _figure_lines(figures, completed_at).unionByName(_flagged_lines(jobs))
 
 

@@ -7,42 +7,33 @@ from pyspark.sql import functions as F
 
 from docquorum.session import cut_lineage
 
-# A key with this many rows counts as hot; at most HOT_KEYS keys are treated so.
+# Rows of one key that one task may get; a key with more is hot and spread over as many tasks as it fills.
 HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000
-SALTS = 64
 
 
 def hot_keys(big: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The most frequent keys, at most HOT_KEYS rows of (key, hot)."""
+    """(key, salts) of every key above `hot_rows` rows, with the number of tasks it is spread over."""
     counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= hot_rows)
-    top = counts.orderBy(F.desc("rows"), key).limit(HOT_KEYS)
-    return top.select(key, F.lit(True).alias("hot"))
+    return counts.select(key, F.ceil(F.col("rows") / F.lit(hot_rows) + 1).cast("int").alias("salts"))
 
 
 def spread_join(
-    big: DataFrame,
-    keyed: DataFrame,
-    key: str,
-    spread_by: str,
-    how: str = "inner",
-    hot: DataFrame | bool = True,
-    salts: int = SALTS,
+    big: DataFrame, keyed: DataFrame, key: str, spread_by: str, how: str = "inner", hot: DataFrame | bool = True,
 ) -> DataFrame:
-    """Join on `key`, unique in `keyed`, with the rows of hot keys spread over `salts` tasks.
+    """Join on `key`, unique in `keyed`, with the rows of hot keys spread over tasks.
 
-    Only hot rows of `keyed` are copied. The hot list is small by its limit, so it is
-    broadcast; keys beyond the limit join unsalted, with the same result. Pass False when
-    it is known that no key is hot.
+    Only hot rows of `keyed` are copied, once per salt. Spark broadcasts the list of hot keys if it is small, which
+    it is by nature: there are at most as many as the table has rows over `hot_rows`. Pass False when it is known
+    that no key is hot.
     """
     if hot is False:
         return big.join(keyed, key, how)
-    hot = F.broadcast(hot_keys(big, key) if hot is True else hot)
-    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    copied = keyed.join(hot, key, "left").withColumn("salt", F.explode(copies)).drop("hot")
-    spread = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
-    salted = big.join(hot, key, "left").withColumn("salt", F.when(F.col("hot"), spread).otherwise(F.lit(0)))
-    return salted.drop("hot").join(copied, [key, "salt"], how).drop("salt")
+    hot = hot_keys(big, key) if hot is True else hot
+    last = F.coalesce("salts", F.lit(1)) - 1
+    copied = keyed.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("salts")
+    spread = F.pmod(F.xxhash64(spread_by), F.coalesce("salts", F.lit(1))).cast("int")
+    salted = big.join(hot, key, "left").withColumn("salt", spread)
+    return salted.drop("salts").join(copied, [key, "salt"], how).drop("salt")
 
 
 def known_hot_keys(big: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | bool:

@@ -24,11 +24,11 @@ RESUME_ORDER = (
 JOB_DDL = (
     "file_path string, status string, pass1_result string, pass2_result string, "
     "quorum_result string, retry_count int, final_description string, error_log string, "
-    "created_at timestamp, updated_at timestamp"
+    "created_at timestamp, updated_at timestamp, content_hash string"
 )
 UPDATABLE = (
     "pass1_result", "pass2_result", "quorum_result",
-    "retry_count", "final_description", "error_log",
+    "retry_count", "final_description", "error_log", "content_hash",
 )
 METADATA_DDL = "key string, value string, updated_at timestamp"
 
@@ -64,7 +64,7 @@ def jobs_to_add(jobs: DataFrame, paths: DataFrame, now: Column | None = None) ->
 
 def add_jobs(jobs: DataFrame, paths: DataFrame, now: Column | None = None) -> DataFrame:
     """Insert-if-absent."""
-    return jobs.unionByName(jobs_to_add(jobs, paths, now), allowMissingColumns=True)
+    return jobs.unionByName(jobs_to_add(jobs, paths, now), allowMissingColumns=True).select(*jobs.columns)
 
 
 def latest_updates(updates: DataFrame, order: str | None = None) -> DataFrame:
@@ -93,8 +93,9 @@ def apply_updates(
     unknown = sorted(set(fields) - set(UPDATABLE))
     if unknown:
         raise ValueError(f"Unknown field: {unknown[0]!r}")
-    if check and not invalid_updates(updates).isEmpty():
-        raise ValueError("Invalid status in updates")
+    if check:  # inside the plan, so that the updates are computed once
+        bad = F.raise_error(F.concat(F.lit("Invalid status in updates: "), F.coalesce("status", F.lit("null"))))
+        updates = updates.withColumn("status", F.when(valid_status(F.col("status")), F.col("status")).otherwise(bad))
     now = F.current_timestamp() if now is None else now
     new = updates if unique else latest_updates(updates, order)
     changed = new.select(
@@ -170,13 +171,27 @@ def reconcile_changes(
     )
     changes = fresh.unionByName(gone, allowMissingColumns=True)
     if not revive_removed:
-        return changes
+        return changes.select(*jobs.columns)
     back = (
         jobs_by_status(jobs, "removed")
         .join(_walked_paths(walked), "file_path", "left_semi")
         .withColumns({"status": F.lit("pending"), "updated_at": now})
     )
-    return changes.unionByName(back, allowMissingColumns=True)
+    return changes.unionByName(back, allowMissingColumns=True).select(*jobs.columns)
+
+
+def reopen_changed(jobs: DataFrame, hashes: DataFrame, now: Column | None = None) -> DataFrame:
+    """Pending rows for finished jobs whose file has another content now.
+
+    `hashes` is (path, content_hash) of the present files. A job or file without a hash stays as it is.
+    """
+    now = F.current_timestamp() if now is None else now
+    seen = hashes.select(F.col("path").alias("file_path"), F.col("content_hash").alias("present"))
+    finished = jobs_by_status(jobs, *(status for status in TERMINAL if status != "removed"))
+    changed = finished.join(seen, "file_path").filter(F.col("content_hash") != F.col("present"))
+    fresh = {name: F.lit(None).cast(kind) for name, kind in jobs.dtypes if name in UPDATABLE}
+    fresh |= {"status": F.lit("pending"), "retry_count": F.lit(0), "updated_at": now, "content_hash": F.col("present")}
+    return changed.withColumns(fresh).select(*jobs.columns)
 
 
 def reconcile(
@@ -203,12 +218,12 @@ def reconcile(
 
 
 def outcome_updates(outcomes: DataFrame) -> DataFrame:
-    """Run outcomes as job updates."""
+    """Run outcomes as job updates, with the content hash if they carry one."""
     return outcomes.select(
         F.col("path").alias("file_path"), "status", "pass1_result", "pass2_result",
         "quorum_result", "retry_count",
         F.col("merged_result").alias("final_description"),
-        F.col("error").alias("error_log"),
+        F.col("error").alias("error_log"), *(c for c in outcomes.columns if c == "content_hash"),
     )
 
 

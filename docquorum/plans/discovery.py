@@ -42,7 +42,7 @@ def _match_sql(profiles) -> str:
 
 
 def _pruned_sql(profiles) -> str:
-    globs = [".git", *(glob for profile in profiles for glob in profile.exclude_dirs)]
+    globs = [".git", *(glob for profile in profiles for glob in profile.exclude_dirs if "/" not in glob)]
     tests = " OR ".join(f"g GLOB '{glob}'" for glob in globs)
     return f"(len(list_filter({DIRS_SQL}, lambda g: {tests})) > 0)"
 
@@ -94,11 +94,19 @@ def _(spark, sf):
     return views.corpus(spark, sf).select("doc_id", p.decode_text(content).alias("decoded"))
 
 
-@registered("pruned_directories", needs=("corpus",), sql=f"SELECT path FROM corpus WHERE {_pruned_sql(DETECTED)}")
+RUBY = "'vendor/bundle/' || path"
+
+
+@registered("pruned_directories", needs=("corpus",), sql=f"""
+SELECT path FROM corpus WHERE {_pruned_sql(DETECTED)}
+UNION ALL SELECT {RUBY} FROM corpus WHERE len(list_filter({DIRS_SQL}, lambda g: g IN ('.git', '.bundle'))) > 0""")
 def _(spark, sf):
-    dirs = prof.merge_profiles([x.name for x in DETECTED], prof.bundled_profiles()).exclude_dirs
-    pruned = p.under_directory(F.col("path"), d.ALWAYS_PRUNED, *dirs)
-    return views.corpus(spark, sf).filter(pruned).select("path")
+    """A rule with a slash in it names no single directory, so files below ``vendor/bundle`` stay."""
+    corpus, known = views.corpus(spark, sf).select("path"), prof.bundled_profiles()
+    dirs = prof.merge_profiles([x.name for x in DETECTED], known).exclude_dirs
+    plain = corpus.filter(p.under_directory(F.col("path"), d.ALWAYS_PRUNED, *dirs))
+    below = corpus.select(F.concat(F.lit("vendor/bundle/"), "path").alias("path"))
+    return plain.union(below.filter(p.under_directory(F.col("path"), d.ALWAYS_PRUNED, *known["ruby"].exclude_dirs)))
 
 
 @registered("ignored_paths", needs=("corpus",), sql=f"SELECT path, {IGNORED_SQL} AS ignored FROM corpus")
@@ -181,10 +189,26 @@ def _(spark, sf):
     return d.skip_count(discovered_files(spark, sf, ordered=False))
 
 
-_LANG_OF_EXT = ", ".join(
-    f"('.{e}', '{name}')" for name, exts in lang.EXTENSIONS_OF_LANGUAGE.items() for e in exts.split()
-)
-_LANG_OF_NAME = ", ".join(f"('{k}', '{v}')" for k, v in lang.LANGUAGE_OF_NAME.items())
+# The expected values are written out, so that a wrong entry of the code under test shows.
+_LANG_OF_EXT = """
+('.py', 'Python'), ('.pyx', 'Python'), ('.pxd', 'Python'), ('.js', 'JavaScript'), ('.jsx', 'JavaScript'),
+('.mjs', 'JavaScript'), ('.cjs', 'JavaScript'), ('.ts', 'TypeScript'), ('.tsx', 'TypeScript'), ('.java',
+'Java'), ('.kt', 'Kotlin'), ('.kts', 'Kotlin'), ('.go', 'Go'), ('.rb', 'Ruby'), ('.rake', 'Ruby'),
+('.gemspec', 'Ruby'), ('.rs', 'Rust'), ('.php', 'PHP'), ('.c', 'C'), ('.h', 'C'), ('.cpp', 'C++'), ('.cxx',
+'C++'), ('.cc', 'C++'), ('.hpp', 'C++'), ('.cs', 'C#'), ('.swift', 'Swift'), ('.scala', 'Scala'), ('.r', 'R'),
+('.lua', 'Lua'), ('.pl', 'Perl'), ('.pm', 'Perl'), ('.ex', 'Elixir'), ('.exs', 'Elixir'), ('.erl', 'Erlang'),
+('.hrl', 'Erlang'), ('.hs', 'Haskell'), ('.clj', 'Clojure'), ('.cljs', 'Clojure'), ('.dart', 'Dart'), ('.vue',
+'Vue'), ('.svelte', 'Svelte'), ('.sh', 'Shell'), ('.bash', 'Shell'), ('.zsh', 'Shell'), ('.sql', 'SQL'),
+('.yaml', 'YAML'), ('.yml', 'YAML'), ('.json', 'JSON'), ('.toml', 'TOML'), ('.ini', 'INI'), ('.cfg', 'INI'),
+('.conf', 'INI'), ('.xml', 'XML'), ('.html', 'HTML'), ('.htm', 'HTML'), ('.css', 'CSS'), ('.scss', 'SCSS'),
+('.sass', 'SASS'), ('.less', 'LESS'), ('.md', 'Markdown'), ('.rst', 'reStructuredText'), ('.dockerfile',
+'Dockerfile'), ('.tf', 'Terraform'), ('.jinja', 'Jinja'), ('.jinja2', 'Jinja'), ('.mako', 'Mako'), ('.ejs',
+'EJS'), ('.hbs', 'Handlebars'), ('.pug', 'Pug'), ('.erb', 'ERB')
+"""
+_LANG_OF_NAME = """
+('Dockerfile', 'Dockerfile'), ('Makefile', 'Shell'), ('Jenkinsfile', 'Groovy'), ('Gemfile', 'Ruby'),
+('Rakefile', 'Ruby'), ('Vagrantfile', 'Ruby')
+"""
 _SHEBANG = " ".join(f"WHEN contains(first, '{w}') THEN '{v}'" for w, v in lang.SHEBANG_ORDER)
 LANGUAGES_SQL = f"""languages AS (
 SELECT c.path, e.language AS by_extension, n.language AS by_name,

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docquorum.functions.language import EXTENSIONS_OF_LANGUAGE, detect_language
+from docquorum.functions.language import detect_language
 from docquorum.functions.render import render_markdown
 from docquorum.operators import graph as g
+from docquorum.operators import state
 from docquorum.plans import views
 from docquorum.plans.annotation import MARKDOWN_SQL
 from docquorum.plans.discovery import LANGUAGES_SQL
@@ -16,7 +17,12 @@ from docquorum.plans.state import SUMMARY_SQL
 MODULE_SQL = "CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '.' END"
 BATCH = 20
 LINES, OVERLAP = 10, 3
-_SOURCE = "|".join(sorted({e for exts in EXTENSIONS_OF_LANGUAGE.values() for e in exts.split()}))
+_SOURCE = (
+    "bash|c|cc|cfg|cjs|clj|cljs|conf|cpp|cs|css|cxx|dart|dockerfile|ejs|erb|erl|ex|exs|"
+    "gemspec|go|h|hbs|hpp|hrl|hs|htm|html|ini|java|jinja|jinja2|js|json|jsx|kt|kts|"
+    "less|lua|mako|md|mjs|php|pl|pm|pug|pxd|py|pyx|r|rake|rb|rs|rst|sass|scala|scss|"
+    "sh|sql|svelte|swift|tf|toml|ts|tsx|vue|xml|yaml|yml|zsh"
+)
 
 
 def _key_sql(name: str) -> str:
@@ -146,3 +152,17 @@ def _(spark, sf):
     old_text = F.when(F.col("quality") == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text"))
     previous = corpus.join(labels, "doc_id").select("path", F.sha2(old_text, 256).alias("content_hash"))
     return g.changed_files(previous, corpus.select("path", F.col("text").cast("binary").alias("content")))
+
+
+@registered("reannotated_files", needs=("corpus",), sql="""
+SELECT c.path AS file_path, 'pending' AS status, sha256(c.text) AS content_hash
+FROM corpus c JOIN labels l ON l.doc_id = c.doc_id WHERE l.quality = 0""")
+def _(spark, sf):
+    """Labelled documents are finished jobs; those of low quality were annotated with another text."""
+    corpus, labels = views.corpus(spark, sf), views.table(spark, sf, "labels")
+    old_text = F.when(F.col("quality") == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text"))
+    done = state.add_jobs(state.empty_jobs(spark), corpus.join(labels, "doc_id", "left_semi").select("path"))
+    hashed = corpus.join(labels, "doc_id").select(F.col("path").alias("file_path"), F.sha2(old_text, 256).alias("old"))
+    done = done.join(hashed, "file_path").withColumns({"status": F.lit("complete"), "content_hash": F.col("old")})
+    present = corpus.select("path", F.sha2("text", 256).alias("content_hash"))
+    return state.reopen_changed(done.drop("old"), present).select("file_path", "status", "content_hash")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable
+from datetime import UTC, datetime
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,10 @@ from docquorum.sources.state_store import StateStore
 from docquorum.sources.text_tree import write_flagged, write_markdown, write_report
 
 
+# A stopped driver loses the calls of one part of a step at most.
+FILES_PER_PART = 5_000
+
+
 class RunResult(NamedTuple):
     jobs: DataFrame
     outcomes: DataFrame
@@ -66,7 +71,12 @@ def find_files(
     rules = _rules(spark, root, profiles, profile_file, all_text_files)
     whole_names = [glob for glob in rules.exclude_dirs if not set(glob) & set("*?[/")]
     heads = read_tree(spark, root, withContent="head", pruneDirs=",".join([".git", *whole_names]))
-    return discover(heads, rules, root_ignore_rules(root), max_file_size, extra_excludes), rules
+    return discover(heads, rules, root_ignore_rules(root), max_file_size, extra_excludes, ordered=False), rules
+
+
+def _hashes(paths: DataFrame, root: str) -> DataFrame:
+    """(path, content_hash) of files; a file that cannot be read has no hash."""
+    return read_texts(paths, root).select("path", F.sha2("text", 256).alias("content_hash"))
 
 
 def analyze(
@@ -77,31 +87,41 @@ def analyze(
     model: str = "unknown",
     max_retries: int = 3,
     parallelism: int | None = None,
-    slices: int = 1,
+    slices: int | None = None,
     log_name: str = "log",
+    reannotate: bool = True,
     **discovery,
 ) -> RunResult:
     """Annotate a tree, or continue where the last run into `output_dir` stopped.
 
     New files are added, vanished ones marked removed, and every unfinished job is annotated.
     Each run commits only the job rows it changed. A new `log_name` asks the model afresh.
+    Finished files are read again and annotated anew if their content changed; `reannotate=False`
+    saves that reading. By default a step is logged in parts of about FILES_PER_PART files.
     """
     configure(spark)
     store = StateStore(spark, f"{output_dir}/state")
     now = F.current_timestamp()
+    started = datetime.now(UTC).isoformat(timespec="seconds")
     store.set_metadata(s.run_started(store.metadata(), root, model, now))
 
     files, rules = find_files(spark, root, **discovery)
     found = cut_lineage(files)
     walked = found.filter("selected").select("path")
     store.append(s.reconcile_changes(store.jobs(), walked))
-
-    todo = cut_lineage(s.jobs_by_status(store.jobs(), *s.ACTIVE).select(F.col("file_path").alias("path")))
+    if reannotate:
+        hashes = cut_lineage(_hashes(walked, root))
+        store.append(s.reopen_changed(store.jobs(), hashes))
+
+    todo = s.jobs_by_status(store.jobs(), *s.ACTIVE).select(F.col("file_path").alias("path"))
+    todo = cut_lineage(todo.join(hashes if reannotate else _hashes(todo, root), "path", "left"))
+    if slices is None:
+        slices = max(1, -(-todo.count() // FILES_PER_PART))
     run = annotate(
         todo, f"{output_dir}/{log_name}", client_factory, max_retries=max_retries, parallelism=parallelism,
         reader=lambda paths: read_texts(paths, root), slices=slices,
     )
-    outcomes = cut_lineage(run.outcomes)
+    outcomes = cut_lineage(run.outcomes.join(todo, "path", "left"))
 
     before = store.jobs().join(outcomes.select(F.col("path").alias("file_path")), "file_path", "left_semi")
     changed = cut_lineage(s.apply_outcomes(before, outcomes))
@@ -110,7 +130,7 @@ def analyze(
         changed.filter("status = 'complete'").select(F.col("file_path").alias("path"), "final_description"), output_dir
     )
     write_flagged(changed, output_dir)
-    report = run_report(store.jobs(), store.metadata(), found)
+    report = run_report(store.jobs(), store.metadata(), found, started_at=F.lit(started))
     write_report(report, f"{output_dir}/run_report")
     return RunResult(store.jobs(), outcomes, report, rules.names, run.connection_lost)
 

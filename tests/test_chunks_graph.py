@@ -125,7 +125,7 @@ def test_relationship_prompts(spark):
 @pytest.mark.parametrize("hot_rows", [10, 10**9])
 def test_edges_with_a_popular_import(spark, hot_rows):
     rows = [("lib/util.py", []), ("pkg/__init__.py", ["./lib/util.py"])] + [(f"m{i % 7}/f{i}.py", ["lib.util", "numpy", "pkg"]) for i in range(300)]
-    edges = g.dependency_edges(spark.createDataFrame(rows, "path string, imports_from array<string>"), hot_rows, salts=5).collect()
+    edges = g.dependency_edges(spark.createDataFrame(rows, "path string, imports_from array<string>"), hot_rows).collect()
     assert len(edges) == 1 + 900
     target = {"lib.util": "lib/util.py", "./lib/util.py": "lib/util.py", "pkg": "pkg/__init__.py", "numpy": None}
     assert all(e["dst_path"] == target[e["target"]] for e in edges)

@@ -26,14 +26,17 @@ def rows_of(columns, rows):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry_module.oracle_sql()) == set(entry_module.queries())
+    """Of the training-text operators some cannot be put in SQL; their own tests compare them with brute force."""
+    without = set(entry_module.queries()) - set(entry_module.oracle_sql())
+    assert without <= set(entry_module.TEXT_QUERIES)
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 def test_entry(spark):
     assert {r["status"] for r in entry_module.entry(spark).collect()} == {"complete", "flagged"}
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(entry_module.oracle_sql()))
 def test_query_matches_sql(spark, duck, name):
     found = entry_module.queries()[name](spark, SF_DIR)
     wanted = duck.sql(entry_module.oracle_sql()[name])

@@ -81,3 +81,40 @@ def test_unreadable_file_is_an_error(spark, tmp_path, monkeypatch):
 def test_status_needs_a_run(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         runs.status(spark, str(tmp_path))
+
+
+def lost_at_the_judge():
+    def chat(system, user):
+        if system == JUDGE_SYSTEM:
+            raise ConnectionError("gone")
+        return '{"purpose": "old"}' if "old text" in user else '{"purpose": "new"}'
+    return chat
+
+
+def echoing():
+    def chat(system, user):
+        purpose = "new" if "new text" in user or '"new"' in user else "old"
+        if system == JUDGE_SYSTEM:
+            return json.dumps({"agree": True, "merged_result": {"purpose": purpose}, "confidence": "high"})
+        return json.dumps({"purpose": purpose})
+    return chat
+
+
+def test_changed_file_is_asked_about_anew(spark, tmp_path, monkeypatch):
+    root, out = tmp_path / "repo", tmp_path / "out"
+    root.mkdir()
+    (root / "setup.py").write_text("old text\n")
+    monkeypatch.setattr("docquorum.operators.annotate.CONNECTION_TRIES", 1)
+    monkeypatch.setattr("docquorum.operators.annotate.BACKOFF_FIRST", 0)
+    first = runs.analyze(spark, str(root), str(out), lost_at_the_judge, parallelism=1)
+    assert first.connection_lost and statuses(first)["setup.py"] != "complete"
+
+    (root / "setup.py").write_text("new text\n")
+    resumed = runs.analyze(spark, str(root), str(out), echoing)
+    assert json.loads(resumed.jobs.first()["final_description"]) == {"purpose": "new"}
+
+    (root / "setup.py").write_text("old text\n")
+    again = runs.analyze(spark, str(root), str(out), echoing)
+    assert json.loads(again.jobs.first()["final_description"]) == {"purpose": "old"}
+    unchanged = runs.analyze(spark, str(root), str(out), forbidden)
+    assert statuses(unchanged) == {"setup.py": "complete"} and unchanged.outcomes.isEmpty()

@@ -46,8 +46,8 @@ def test_updates_keep_absent_fields(spark):
 
 def test_updates_are_validated(spark):
     start = jobs(spark, ("a", "pending"))
-    with pytest.raises(ValueError, match="Invalid status"):
-        s.apply_updates(start, spark.createDataFrame([("a", "bogus")], "file_path string, status string"))
+    with pytest.raises(Exception, match="Invalid status"):
+        s.apply_updates(start, spark.createDataFrame([("a", "bogus")], "file_path string, status string")).collect()
     with pytest.raises(ValueError, match="Unknown field"):
         s.apply_updates(start, spark.createDataFrame([("a", "error", 1)], "file_path string, status string, colour int"))
 
