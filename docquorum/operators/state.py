@@ -180,6 +180,17 @@ def reconcile_changes(
     return changes.unionByName(back, allowMissingColumns=True).select(*jobs.columns)
 
 
+def below_folders(jobs: DataFrame, folders: DataFrame) -> DataFrame:
+    """Paths of jobs below any of the folders, whose names end in a slash; joined by every folder on a path."""
+    parts = F.split("file_path", "/")
+    above = F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: n > 0),
+        lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")))
+    entered = jobs.select("file_path", F.explode(above).alias("folder"))
+    return entered.join(folders.select(F.col("path").alias("folder")).distinct(), "folder", "left_semi").select(
+        F.col("file_path").alias("path")).distinct()
+
+
 def reopen_changed(jobs: DataFrame, hashes: DataFrame, now: Column | None = None) -> DataFrame:
     """Pending rows for finished jobs whose file has another content now.
 

@@ -108,7 +108,9 @@ def analyze(
     files, rules = find_files(spark, root, **discovery)
     found = cut_lineage(files)
     walked = found.filter("selected").select("path")
-    store.append(s.reconcile_changes(store.jobs(), walked))
+    # Files below a folder that may not be read are unseen, not removed.
+    unseen = s.below_folders(store.jobs(), found.filter(F.endswith("path", F.lit("/"))))
+    store.append(s.reconcile_changes(store.jobs(), walked.union(unseen).distinct()))
     if reannotate:
         hashes = cut_lineage(_hashes(walked, root))
         store.append(s.reopen_changed(store.jobs(), hashes))

@@ -3,6 +3,7 @@
 Hidden names and dotfiles are included, links to directories are not followed. Options:
 ``path``; ``withContent`` (``none``, ``head`` for the sniffed bytes, ``full``, the default);
 ``pruneDirs``, a comma-separated list of directory names never entered; ``targetPartitions``.
+A directory without read permission is one row without a size, its path ending in a slash.
 """
 
 from __future__ import annotations
@@ -52,8 +53,12 @@ class _Settings(NamedTuple):
     target: int
 
 
-def _entries(folder: str, prune: frozenset[str]) -> tuple[list[str], list[str]]:
-    """(directories to enter, file names) of one folder, sorted; unreadable folders are empty."""
+def _entries(folder: str, prune: frozenset[str]) -> tuple[list[str], list[str]] | None:
+    """(directories to enter, file names) of one folder, sorted; None if it may not be read.
+
+    A folder that went away since its parent was listed is empty. Any other fault, such as one of a network
+    mount, is raised: its files must not look deleted.
+    """
     dirs, files = [], []
     try:
         with os.scandir(folder) as found:
@@ -63,7 +68,9 @@ def _entries(folder: str, prune: frozenset[str]) -> tuple[list[str], list[str]]:
                         dirs.append(entry.name)
                 elif not entry.is_dir():
                     files.append(entry.name)
-    except OSError:
+    except PermissionError:
+        return None
+    except FileNotFoundError:
         return [], []
     return sorted(dirs), sorted(files)
 
@@ -79,7 +86,11 @@ def _plan(settings: _Settings) -> list[Pieces]:
     while waiting and len(waiting) + len(pieces) < wanted and opened < MAX_EXPANDED:
         folder = waiting.popleft()
         opened += 1
-        dirs, files = _entries(folder, settings.prune)
+        listed = _entries(folder, settings.prune)
+        if listed is None:
+            pieces.append(Piece(folder, True))
+            continue
+        dirs, files = listed
         slices = -(-len(files) // FILES_PER_SLICE)
         pieces.extend(Piece(folder, False, i, slices) for i in range(slices))
         waiting.extend(os.path.join(folder, name) for name in dirs)
@@ -89,13 +100,22 @@ def _plan(settings: _Settings) -> list[Pieces]:
 
 
 def _files(part: Piece, prune: frozenset[str]) -> Iterator[str]:
+    """Files of a piece; a folder that may not be read stands for its files, with a slash at its end."""
     if not part.deep:
-        yield from (os.path.join(part.folder, n) for n in _entries(part.folder, prune)[1][part.index::part.slices])
+        listed = _entries(part.folder, prune)
+        if listed is None:
+            yield os.path.join(part.folder, "")
+            return
+        yield from (os.path.join(part.folder, n) for n in listed[1][part.index::part.slices])
         return
     pending = [part.folder]
     while pending:
         folder = pending.pop()
-        dirs, files = _entries(folder, prune)
+        listed = _entries(folder, prune)
+        if listed is None:
+            yield os.path.join(folder, "")
+            continue
+        dirs, files = listed
         yield from (os.path.join(folder, name) for name in files)
         pending.extend(os.path.join(folder, name) for name in dirs)
 
@@ -122,15 +142,20 @@ class _Reader(DataSourceReader):
         self.settings = settings
 
     def partitions(self) -> list[Pieces]:
+        os.scandir(self.settings.root).close()  # a root that cannot be read is an error, not an empty tree
         return _plan(self.settings)
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         pieces = [Piece(*fields) for fields in partition.value]
         for full in chain.from_iterable(_files(piece, self.settings.prune) for piece in pieces):
-            content = _content(full, self.settings.content)
             relative = os.path.relpath(full, self.settings.root).replace(os.sep, "/")
-            rows.append((relative, _size(full), content))
+            if full.endswith(os.sep):
+                content = b""
+                rows.append((f"{relative}/", None, content))
+            else:
+                content = _content(full, self.settings.content)
+                rows.append((relative, _size(full), content))
             held += len(content or b"")
             if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
                 yield _batch(rows)

@@ -7,6 +7,7 @@ import pytest
 from conftest import column
 from pyspark.sql import functions as F
 
+from docquorum.operators import state
 from docquorum.operators import discover as d
 from docquorum.sources import profiles as p
 from docquorum.sources import text_tree as tt
@@ -170,3 +171,31 @@ def test_written_trees(spark, tmp_path):
 def test_unsafe_targets(path):
     with pytest.raises(ValueError):
         tt.safe_target("/out", path)
+
+
+def test_unreadable_folders_are_told_and_faults_raised(monkeypatch, tmp_path):
+    import os
+
+    from docquorum.sources import file_tree
+
+    (tmp_path / "a/shut").mkdir(parents=True)
+    (tmp_path / "a/x.py").write_text("x")
+    real = os.scandir
+
+    def scandir(folder, fault=PermissionError):
+        if str(folder).endswith("shut"):
+            raise fault(str(folder))
+        return real(folder)
+
+    monkeypatch.setattr(file_tree.os, "scandir", scandir)
+    piece = file_tree.Piece(str(tmp_path), True)
+    assert sorted(file_tree._files(piece, frozenset())) == [f"{tmp_path}/a/shut/", f"{tmp_path}/a/x.py"]
+    monkeypatch.setattr(file_tree.os, "scandir", lambda folder: scandir(folder, OSError))
+    with pytest.raises(OSError):
+        list(file_tree._files(piece, frozenset()))
+
+
+def test_jobs_below_unreadable_folders_are_found(spark):
+    jobs = spark.createDataFrame([("a/shut/x.py",), ("a/shut/deep/y.py",), ("a/shutter/z.py",), ("top.py",)], "file_path string")
+    found = state.below_folders(jobs, spark.createDataFrame([("a/shut/",)], "path string"))
+    assert {r["path"] for r in found.collect()} == {"a/shut/x.py", "a/shut/deep/y.py"}
