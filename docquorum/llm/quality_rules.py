@@ -6,6 +6,7 @@ size costs no shuffle at all.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -149,7 +150,7 @@ def clean(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -
     )
     n, repeats, kept_words = F.col("quality_n_words"), F.col("quality_n_repeats"), F.col("quality_kept_words")
     base_failed = (n < 50) | (100 * repeats > 50 * n)
-    return staged.withColumn("quality", F.struct(
+    judged = staged.withColumn("quality", F.struct(
         n.alias("n_words"),
         F.char_length(F.array_join(tokens, "")).cast("long").alias("word_chars"),
         _total(F.transform(lines, lambda x: x["symbols"])).alias("n_symbols"),
@@ -164,6 +165,8 @@ def clean(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -
         kept_words.alias("kept_words"),
         (~base_failed & (100 * kept_words >= (100 - rules.lost_share) * n)).alias("kept"),
     )).drop(*(c for c in staged.columns if c.startswith("quality_") and c not in docs.columns))
+    # A filter on the findings must not be pushed into the steps above, which would repeat them inside its condition.
+    return judged.observe(f"quality-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("judged"))
 
 
 def _total(counts: Column) -> Column:
