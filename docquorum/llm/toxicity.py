@@ -100,7 +100,7 @@ class Features:
         # Equal subsequences of a string add up before its length is taken.
         key, where = np.unique(row * SLOTS + slot, return_inverse=True)
         weight = np.bincount(where, weights=weight).astype(np.float32)
-        row, slot = key // SLOTS, key % SLOTS
+        row, slot = (key // SLOTS).astype(np.int32), (key % SLOTS).astype(np.int32)
         length = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(many)))
         return row, slot, weight / length[row].astype(np.float32)
 
@@ -134,7 +134,7 @@ def sample(labelled: DataFrame, most: int, label: str = "toxic", text: str = "te
 
 
 def fit(labelled: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", most: int = 1_500,
-        landmarks: int = 400, rounds: int = 3, decay: float = 0.5, most_chars: int = 3_000_000) -> Model:
+        landmarks: int = 400, rounds: int = 3, decay: float = 0.5, most_chars: int = 1_000_000) -> Model:
     """Train on a bounded sample of labelled documents: ``most`` of either label, and of these in the order of their
     draw as many as fit into ``most_chars`` characters of either label, each text whole. With a single label, or
     without rows, the model knows that label's share alone.
@@ -164,8 +164,9 @@ def train(bags: list[set[str]], labels: np.ndarray, landmarks: int, rounds: int,
     members = [np.array(sorted(number[s] for s in bag), np.int64) for bag in bags]
     features = Features(decay)
     parts = [features(kinds[i:i + 50_000]) for i in range(0, len(kinds), 50_000)]
-    row = np.concatenate([p[0] + 50_000 * n for n, p in enumerate(parts)])
+    row = np.concatenate([p[0] + np.int32(50_000 * n) for n, p in enumerate(parts)])
     slot, weight = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    del parts
     totals = np.bincount(labels, minlength=2)
 
     def per_string(values: np.ndarray) -> np.ndarray:
