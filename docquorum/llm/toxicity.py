@@ -11,7 +11,7 @@ mapped to ``K(x, z) K(z, z)^(-1/2)``, where the kernel of all strings becomes a
 *Machine.* A document is as toxic as its worst string. Labels belong to documents, so training alternates: in every
 toxic document the strings that stand out from nearly all clean documents stand for it, from every other document come
 its highest ones; a
-linear machine with squared hinge loss learns to part them. A last logistic fit turns the highest score of a document
+linear machine with squared hinge loss learns to part them. A logistic slope turns the highest score of a document
 into a probability.
 
 *Scoring.* The decision is linear in the features, so landmarks and weights fold into one table of weights per
@@ -46,7 +46,7 @@ def strings(text: str | None) -> set[str]:
         if len(letters) > 2:
             found.add("^" + "".join(letters) + "$")
         letters = []
-        if len(plain) > 1:
+        if len(plain) > 2:
             found.add("^" + plain + "$")
     if len(letters) > 2:
         found.add("^" + "".join(letters) + "$")
@@ -134,7 +134,7 @@ def sample(labelled: DataFrame, most: int, label: str = "toxic", text: str = "te
 
 
 def fit(labelled: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", most: int = 1_500,
-        landmarks: int = 400, rounds: int = 3, decay: float = 0.5, most_chars: int = 1_000_000) -> Model:
+        landmarks: int = 400, rounds: int = 3, decay: float = 0.5, most_chars: int = 2_000_000) -> Model:
     """Train on a bounded sample of labelled documents: ``most`` of either label, and of these in the order of their
     draw as many as fit into ``most_chars`` characters of either label, each text whole. With a single label, or
     without rows, the model knows that label's share alone.
@@ -185,6 +185,8 @@ def train(bags: list[set[str]], labels: np.ndarray, landmarks: int, rounds: int,
     counts = np.array([[seen[v].get(s, 0) for s in kinds] for v in (0, 1)], float)
     score = per_string(apart(held)) / np.maximum(per_string(np.ones(SLOTS)), 1e-9) + apart(counts)
 
+    # A string that clean documents hold about as often is no insult, however much it looks like one.
+    telling = (counts[1] + 0.5) / totals[1] >= 4 * (counts[0] + 0.5) / totals[0]
     model = flat
     for turn in range(rounds):
         worst = [bag[np.argmax(score[bag])] if len(bag) else -1 for bag in members]
@@ -194,6 +196,7 @@ def train(bags: list[set[str]], labels: np.ndarray, landmarks: int, rounds: int,
             limit = min(limit, 0.5)
         above = [bag[score[bag] > limit] for bag, label in zip(members, labels) if label]
         positive = np.concatenate(above) if above else np.empty(0, np.int64)
+        positive = positive[telling[positive]]
         if not len(positive):  # no string stands out, so each toxic document is spoken for by its highest one
             positive = np.array([w for w, label in zip(worst, labels) if label and w >= 0], np.int64)
         negative = np.unique(np.concatenate([
@@ -228,7 +231,9 @@ def train(bags: list[set[str]], labels: np.ndarray, landmarks: int, rounds: int,
         score = per_string(folded.astype(np.float64)) + bias
         model = Model(folded.astype(np.float64), float(bias), 1.0, 0.0, decay)
     highest = np.array([score[bag].max() if len(bag) else model.bias for bag in members])
-    model.slope, model.shift = _logistic(highest, labels)
+    # A probability of a half stands at the machine's own boundary; documents whose insults nothing told apart would
+    # else pull it towards clean strings.
+    model.slope, model.shift = max(_logistic(highest, labels)[0], 1.0), 0.0
     return model
 
 
@@ -291,7 +296,7 @@ def scorer(spark, model: Model):
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All rows and columns, and ``toxic_score``.
 
-    A null or empty text, or one without a string of two characters, gets the score of no evidence. Repeated rows are
+    A null or empty text, or one without a word of three characters, gets the score of no evidence. Repeated rows are
     scored alike; an empty table gives an empty result; a column of the input named ``toxic_score`` is replaced.
     """
     return docs.withColumn("toxic_score", scorer(docs.sparkSession, model)(F.col(text)))
