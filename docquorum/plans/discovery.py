@@ -181,6 +181,19 @@ def _(spark, sf):
     return d.skip_ledger(discovered_files(spark, sf, ordered=False))
 
 
+@registered("unreadable_files", needs=("corpus",), sql=f"""
+SELECT c.path, CASE WHEN {BINARY_SQL.replace('path', 'c.path').replace('text', 'c.text')} THEN 'binary file'
+  ELSE 'unable to stat' END AS skip_reason
+FROM corpus c JOIN labels l ON l.doc_id = c.doc_id WHERE l.quality = 0 AND NOT list_contains({DIRS_SQL.replace('path', 'c.path')}, '.git')""")
+def _(spark, sf):
+    """Labelled documents of low quality stand for files whose size could not be read."""
+    low = views.table(spark, sf, "labels").filter("quality = 0").select("doc_id")
+    paths = views.corpus(spark, sf).join(low, "doc_id", "left_semi").select("path")
+    files = views.files(spark, sf).join(paths, "path", "left_semi").withColumn("size", F.lit(None).cast("bigint"))
+    rules = prof.resolve_profiles(files, all_text_files=True)
+    return d.skip_ledger(d.discover(files, rules, ordered=False))
+
+
 @registered("skip_count", needs=("corpus",), sql=f"""
 SELECT count(*) AS skipped FROM corpus
 WHERE NOT {_pruned_sql(DETECTED)} AND NOT {IGNORED_SQL} AND {_reason_sql(LIMIT)} IS NOT NULL

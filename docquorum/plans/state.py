@@ -293,7 +293,7 @@ def _(spark, sf):
     return spans.select("user_id", r.format_duration(F.col("first"), F.col("last")).alias("duration"))
 
 
-@registered("run_report", needs=("jobs",), sql=f"""
+REPORT_SQL = f"""
 WITH {COUNTS_SQL},
 retries AS (SELECT count(*) FILTER (WHERE retry_count = 0) AS r0, count(*) FILTER (WHERE retry_count = 1) AS r1,
   count(*) FILTER (WHERE retry_count = 2) AS r2, count(*) FILTER (WHERE retry_count = 3) AS r3 FROM jobs WHERE status = 'complete'),
@@ -309,7 +309,19 @@ lines AS (SELECT unnest(['# Run Report', '', '- **Repository:** /data/repo', '-
   '', '## Flagged Files', '', '| File | Disagreement Summary |', '|---|---|']) AS line, generate_subscripts(range(29), 1) AS n
   FROM counts, retries, skips)
 SELECT 0 AS section, printf('%02d', n - 1) AS position, line FROM lines
-UNION ALL SELECT 1, file_path, '| ' || file_path || ' | ' || {SUMMARY_SQL} || ' |' FROM jobs WHERE status = 'flagged'""")
+UNION ALL SELECT 1, file_path, '| ' || file_path || ' | ' || {SUMMARY_SQL} || ' |' FROM jobs WHERE status = 'flagged'"""
+
+
+@registered("run_report", needs=("jobs",), sql=REPORT_SQL)
 def run_report(spark, sf):
     started = s.run_started(s.upsert_metadata(spark.createDataFrame([], s.METADATA_DDL)), "/data/repo", "any", _at(FIRST_DAY))
     return r.run_report(views.jobs(spark, sf), started, discovered_files(spark, sf, ordered=False), F.lit("2024-06-01T14:30:00Z"))
+
+
+@registered("resumed_run_report", needs=("jobs",), sql=REPORT_SQL.replace("Started:** 2024-06-01T12:00:00Z", "Started:** 2024-06-01T14:10:00Z").replace("2h 30m", "20m"))
+def _(spark, sf):
+    """A run that was resumed reports its own start, not the first one."""
+    started = s.run_started(s.upsert_metadata(spark.createDataFrame([], s.METADATA_DDL)), "/data/repo", "any", _at(FIRST_DAY))
+    return r.run_report(
+        views.jobs(spark, sf), started, discovered_files(spark, sf, ordered=False), F.lit("2024-06-01T14:30:00Z"),
+        F.lit("2024-06-01T14:10:00Z"))
