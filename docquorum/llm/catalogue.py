@@ -169,7 +169,7 @@ def op4_decontamination(spark, sf_dir):
 def op8_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = toxicity.held_out(F.col("doc_id"), 5, 0)
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels.filter(~out), "doc_id"))
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels.filter(~out), "toxic"))
     return toxicity.score_toxicity(docs, model).select(
         "doc_id", out.alias("held_out"), F.col("toxic_score").alias("score"),
         (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
@@ -179,7 +179,7 @@ def op8_toxicity(spark, sf_dir):
 def op6_quality_classifier(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = toxicity.held_out(F.col("doc_id"), 3, 1)
-    model = quality_mil.fit(docs.select("doc_id", "text").join(labels.filter(~out), "doc_id"))
+    model = quality_mil.fit(toxicity.labelled_sample(docs, labels.filter(~out), "quality"))
     return quality_mil.score_quality(docs, model).select(
         "doc_id", out.alias("held_out"), F.col("quality_mil.score").alias("score"),
         (F.col("quality_mil.score") >= 0.5).cast("int").alias("predicted"))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 SPAN = 6
 SLOTS = 1 << 16
 LONGEST = 40
+MOST = 1_500
 _CACHE = 300_000
 _MARKS = {c: None for c in range(128) if not chr(c).isalnum()} | {ord(c): None for c in "…–—«»“”‘’¡¿·•­​"}
 
@@ -133,7 +134,20 @@ def sample(labelled: DataFrame, most: int, label: str = "toxic", text: str = "te
     return halves[0].union(halves[1]).select("text", "label")
 
 
-def fit(labelled: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", most: int = 1_500,
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST, text: str = "text",
+                    doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, text`` and label of at most ``most`` labelled ids of either label, drawn by a hash of the id.
+
+    The ids are drawn before their texts are looked up. There are at most two times ``most``, so they are broadcast and
+    no text is shuffled.
+    """
+    known = labels.filter(F.col(label).isin(0, 1)).select(doc_id, label)
+    draw = F.xxhash64(F.col(doc_id).cast("string"))
+    halves = [known.filter(F.col(label) == v).orderBy(draw, doc_id).limit(most) for v in (0, 1)]
+    return docs.select(doc_id, text).join(F.broadcast(halves[0].union(halves[1])), doc_id)
+
+
+def fit(labelled: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", most: int = MOST,
         landmarks: int = 400, rounds: int = 3, decay: float = 0.5, most_chars: int = 2_000_000) -> Model:
     """Train on a bounded sample of labelled documents: ``most`` of either label, and of these in the order of their
     draw as many as fit into ``most_chars`` characters of either label, each text whole. With a single label, or
