@@ -215,11 +215,9 @@ def pipeline(spark, sf_dir):
 @registered("op2_secret_scan")
 def op2_secret_scan(spark, sf_dir):
     """Candidates of all documents. The tables hold no labelled findings, so those of one part of the documents are
-    labelled by the name they are assigned to; the forest then judges all."""
+    labelled by what tells them; the forest then judges all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("path"))
     found = cut_lineage(secrets.candidates(docs))
     learnt = ~toxicity.held_out(F.col("doc_id"), 3, 1)
-    named = F.col("name").rlike("token|passw|pwd|secret|api_?key|credential")
-    findings = found.filter(learnt).withColumn("label", named.cast("int"))
-    return secrets.scan(found, secrets.fit(findings)).select(
+    return secrets.scan(found, secrets.fit(secrets.evidence(found.filter(learnt)))).select(
         "doc_id", "begin", "end", "name", "value", "probability", "secret")
