@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 ASSIGNED = re.compile(
     r"""([A-Za-z][A-Za-z0-9_.-]{1,40})\\?["'`]?[ \t]{0,3}(?:[:=]=|=>|[=:])[ \t]{0,3}\\?(["'`]?)"""
-    r"""(?:(?:[Bb]earer|[Bb]asic|[Tt]oken)[ \t]+)?([^\s"'`]{6,512})""")
+    r"""(?:(?:[Bb]earer|[Bb]asic|[Tt]oken)[ \t]+)?([^\s"'`]{6,})""")
 URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s"'`]+""")
 IN_URL = re.compile(r"""//[^\s/@:?#]*:([^\s/@]{6,})@|[?&;#]([A-Za-z][A-Za-z0-9_.-]{1,40})=([^&;#]{6,})""")
 #: Key formats that nothing else has. Java and Python read this pattern alike.

@@ -19,6 +19,12 @@ def test_secret_forms():
     assert values('{\\"password\\": \\"hunter2secret99\\"}') == [("password", "hunter2secret99")]
 
 
+def test_long_secret_is_whole():
+    secret = "aB3" * 300
+    for text in (f'token = "{secret}"', f"token={secret} end"):
+        assert values(text) == [("token", secret)]
+
+
 def test_secrets_without_a_name(docs):
     r = random.Random(3)
 
