@@ -8,6 +8,9 @@
 4. *Search.* Passages of about the length of an item, overlapping by half, are projected and scaled by the inverse
    singular values; all items with a cosine above ``min_cosine`` are candidates. All passages of all documents meet
    all items in blocks.
+   Beside them, every run of ``RUN`` words of every item (a shorter item whole) is looked up at every word of every
+   document. A passage that shares one is a candidate whatever its cosine, so no item that stands in a text word for
+   word is lost.
 5. *Check.* The words around a candidate are compared with the item. A document leaks an item if their longest common
    subsequence holds ``strong`` of the item's words, or ``weak`` of them and ``answer`` of the item's last sentence,
    which is where its answer stands.
@@ -20,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,10 +41,24 @@ PASSAGE = 256
 STEP = 8
 WIDTHS = (16, 32, 64)
 MAX_ITEMS = 50_000
+RUN = 4
+HIGH_BITS = 22
+
+
+def hashes_of(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, tokens), np.uint32, len(tokens))
 
 
 def slots_of(tokens: list[bytes]) -> np.ndarray:
-    return (np.fromiter(map(zlib.crc32, tokens), np.uint32, len(tokens)) % SLOTS).astype(np.int16)
+    return (hashes_of(tokens) % SLOTS).astype(np.int16)
+
+
+def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A number for every run of ``n`` words."""
+    total = np.zeros(max(len(hashes) - n + 1, 0), np.uint64)
+    for k in range(n if len(total) else 0):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[k:k + len(total)].astype(np.uint64) + np.uint64(1)
+    return total
 
 
 def _slot_rows(texts: DataFrame) -> DataFrame:
@@ -154,7 +172,7 @@ def _width(n: int) -> int:
 
 
 class _Items:
-    """A block of items: words, answer, and unit vectors by passage width (long items as several pieces)."""
+    """A block of items: words, answer, runs, and unit vectors by passage width (long items as several pieces)."""
 
     def __init__(self, rows: list[tuple[int, str]], space: np.ndarray):
         self.ids = [r[0] for r in rows]
@@ -166,6 +184,19 @@ class _Items:
         self.holds = np.zeros((len(rows), SLOTS + 1), bool)
         for n, tokens in enumerate(self.words):
             self.holds[n, slots_of(tokens)] = True
+        # By length of the run: sorted runs, their items, their places in them, and a table of their high bits.
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        chosen: dict[int, list] = {}
+        for n, tokens in enumerate(self.words):
+            if tokens:
+                long = min(RUN, len(tokens))
+                keys = _runs(hashes_of(tokens), long)
+                chosen.setdefault(long, []).append((keys, np.full(len(keys), n), np.arange(len(keys))))
+        for long, parts in chosen.items():
+            keys, numbers, places = (np.concatenate(x) for x in zip(*parts))
+            order, high = np.argsort(keys, kind="stable"), np.zeros(1 << HIGH_BITS, bool)
+            high[keys >> np.uint64(64 - HIGH_BITS)] = True
+            self.runs[long] = keys[order], numbers[order], places[order], high
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         made: dict[int, list] = {w: [] for w in WIDTHS}
         for n, tokens in enumerate(self.words):
@@ -183,7 +214,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def _candidates(tokens: list[list[bytes]], space: np.ndarray, items: _Items, min_cosine: float, weak: float):
+def _sharing(tokens: list[list[bytes]], hashes: list[np.ndarray], items: _Items) -> set[tuple[int, int, int]]:
+    """(document, item, first word the item would have) of all places where some documents share a run with an item."""
+    begin = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
+    flat, found = np.concatenate(hashes), set()
+    for long, (keys, numbers, places, high) in items.runs.items():
+        runs = _runs(flat, long)
+        hits = np.flatnonzero(high[runs >> np.uint64(64 - HIGH_BITS)])
+        low, up = (np.searchsorted(keys, runs[hits], side) for side in ("left", "right"))
+        many = up - low
+        hit = np.repeat(hits, many)
+        which = np.arange(len(hit)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        owner = np.searchsorted(begin, hit, "right") - 1
+        inside = hit + long <= begin[owner + 1]
+        at = hit - begin[owner] - places[which]
+        found.update(zip(owner[inside].tolist(), numbers[which[inside]].tolist(), at[inside].tolist()))
+    return found
+
+
+def _candidates(tokens: list[list[bytes]], hashes: list[np.ndarray], space: np.ndarray, items: _Items,
+                min_cosine: float, weak: float):
     """(document, item, first word, width, cosine) of all passages of some documents that are near an item.
 
     A near passage only counts if so many words around it fall on slots of the item as a leak must share with it.
@@ -192,8 +242,8 @@ def _candidates(tokens: list[list[bytes]], space: np.ndarray, items: _Items, min
     steps = [-(-len(t) // STEP) for t in tokens]
     flat = np.full(sum(steps) * STEP, blank, np.int32)
     begin = np.concatenate([[0], np.cumsum(steps)]) * STEP
-    for t, at in zip(tokens, begin):
-        flat[at:at + len(t)] = slots_of(t)
+    for t, at in zip(hashes, begin):
+        flat[at:at + len(t)] = t % SLOTS
     owner = np.repeat(np.arange(len(tokens)), steps)
     first = np.repeat(begin[:-1] // STEP, steps)
     sums = space[flat].reshape(-1, STEP, space.shape[1]).sum(axis=1)
@@ -222,13 +272,13 @@ def _candidates(tokens: list[list[bytes]], space: np.ndarray, items: _Items, min
                 yield int(owner[s[i]]), int(n[i]), int((s[i] - first[s[i]]) * STEP), width, float(near[p[i], c[i]])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.45, strong: float = 0.7,
+def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.4, strong: float = 0.7,
                weak: float = 0.5, answer: float = 0.8, text: str = "text", doc_id: str = "doc_id",
                item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item it leaks: ``doc_id, text_hash, item_id, overlap, answer_found, cosine, at``.
 
     ``overlap`` is the best share of the item's words in a common subsequence, ``at`` the first word of the passage
-    where it was found, counted from 0. Null and empty texts or items match nothing. Rows with the same id and text
+    where it was found, counted from 0. An item that stands in a document word for word is always reported. Null and empty texts or items match nothing. Rows with the same id and text
     give equal rows. Empty tables give an empty result; columns of the same names in both tables do not clash, and
     other columns are not looked at. Items are handled in blocks of ``MAX_ITEMS``, one pass over the texts for each.
     """
@@ -255,9 +305,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.45,
                 for begin in range(0, len(frame), 200):
                     part = frame.iloc[begin:begin + 200]
                     tokens = [byte_words(t) for t in part["text"]]
+                    hashes = [hashes_of(t) for t in tokens]
                     best: dict[tuple[int, int], tuple] = {}
-                    for d, n, at, width, cosine in _candidates(tokens, vectors, ready, min_cosine, weak):
-                        wanted = ready.words[n]
+                    shared_runs = ((d, n, at, len(ready.words[n]), None) for d, n, at in sorted(
+                        _sharing(tokens, hashes, ready)))
+                    near = _candidates(tokens, hashes, vectors, ready, min_cosine, weak)
+                    for d, n, at, width, cosine in chain(shared_runs, near):
+                        wanted, known = ready.words[n], best.get((d, n))
+                        if known and known[:2] == (1.0, True):
+                            continue
+                        if cosine is None:
+                            at, width = max(0, at), width + min(0, at)
                         around = tokens[d][max(0, at - len(wanted)):at + width + len(wanted)]
                         common = (ready.counts[n] & Counter(around)).total()  # no subsequence is longer
                         if common < weak * len(wanted):
@@ -267,10 +325,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.45,
                             continue
                         told = lcs(ready.answers[n], around) >= answer * len(ready.answers[n])
                         if overlap >= strong or told:
+                            if cosine is None:
+                                here = vectors[hashes[d][at:at + width] % SLOTS].sum(axis=0)
+                                item = vectors[slots_of(wanted)].sum(axis=0)
+                                cosine = float((_unit(here[None]) * _unit(item[None])).sum())
                             row = (overlap, told, cosine, at)
                             best[d, n] = max(best.get((d, n), row), row)
-                    ids, hashes = part["doc_id"].tolist(), part["text_hash"].tolist()
-                    out += [(ids[d], hashes[d], ready.ids[n], *row) for (d, n), row in best.items()]
+                    ids, marks = part["doc_id"].tolist(), part["text_hash"].tolist()
+                    out += [(ids[d], marks[d], ready.ids[n], *row) for (d, n), row in best.items()]
                 yield pd.DataFrame(out, columns=[
                     "doc_id", "text_hash", "item_id", "overlap", "answer_found", "cosine", "at"])
 

@@ -2,7 +2,7 @@
 
 import random
 
-from docquorum.llm import secrets
+from docquorum.llm import decontaminate, secrets
 
 
 def values(text):
@@ -44,3 +44,35 @@ def test_secrets_without_a_name(docs):
     assert len(judged) == len(rows)
     assert all(judged[i] == (i % 4 == 0) for i in range(160))
     assert sum(judged[500 + i] for i in range(20)) >= 19 and judged[900]
+
+
+def test_leaks_of_frequent_words(docs, spark):
+    """The vocabulary of the leak test before it was eased: few words, all equally frequent."""
+    r = random.Random(4)
+    words = [f"{a}{b}" for a in "the of and to in is for on with as".split()
+             for b in ["", "ra", "mo", "ti", "sel", "nor", "ka", "lu"]]
+
+    def prose(n):
+        return " ".join(r.choice(words) + ("." if k % 9 == 8 else "") for k in range(n))
+
+    items = [(i, prose(r.randint(15, 60))) for i in range(25)] + [(90, None), (91, ""), (92, "ra tith.")]
+    rows, leaks, whole = [(i, prose(r.randint(30, 400))) for i in range(200)], set(), set()
+    for i in range(0, 200, 4):
+        item = r.choice(items[:25])
+        inside = item[1].split()
+        if i % 8:
+            for k in range(0, len(inside), 8):
+                inside[k] = "other"
+        own = rows[i][1].split()
+        at = r.randrange(len(own))
+        rows[i] = (i, " ".join(own[:at] + inside + own[at:]))
+        (leaks if i % 8 else whole).add((i, item[0]))
+    rows.append((300, "Ra\ttith."))
+    whole.add((300, 92))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs(rows), bench).collect()}
+    assert whole <= found
+    assert len(found & leaks) >= 0.95 * len(leaks) and len(found - leaks - whole) <= 2
+    # Word for word, even where no passage is near enough to be a candidate.
+    sure = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs(rows), bench, min_cosine=1.1).collect()}
+    assert whole <= sure
