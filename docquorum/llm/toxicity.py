@@ -1,7 +1,8 @@
 """Toxic documents by a subsequence string kernel and a support vector machine on Nyström landmarks.
 
-*Kernel.* A string is a word without the marks inside it (``i-d.i_o.t`` is ``idiot``), or a run of single characters
-put together (``i d i o t``). Its features are subsequences of three characters, weighted by ``decay`` to the power of
+*Kernel.* A string is a word without the marks inside it (``i-d.i_o.t`` is ``idiot``), a run of single characters put
+together (``i d i o t``), or up to ``PIECES`` adjoining words of one or two characters put together (``id i ot``). No
+string crosses longer words, so sentences are not compared as such. Its features are subsequences of three characters, weighted by ``decay`` to the power of
 the length they span (Lodhi et al., 2002), up to ``SPAN`` characters, so inserted characters cost weight, not the
 match. Strings are marked at both ends and compared by the cosine of their features.
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 SPAN = 6
 SLOTS = 1 << 16
 LONGEST = 40
+PIECES = 6
 MOST = 1_500
 _CACHE = 300_000
 _MARKS = {c: None for c in range(128) if not chr(c).isalnum()} | {ord(c): None for c in "…–—«»“”‘’¡¿·•­​"}
@@ -38,19 +40,33 @@ _MARKS = {c: None for c in range(128) if not chr(c).isalnum()} | {ord(c): None f
 
 def strings(text: str | None) -> set[str]:
     """The distinct strings of a whole text, marked at both ends."""
-    found, letters = set(), []
+    found, letters, short = set(), [], []
+
+    def put_together() -> None:
+        if len(letters) > 2:
+            found.add("^" + "".join(letters) + "$")
+        for i in range(len(short) - 1):
+            window = short[i]
+            for piece in short[i + 1:i + PIECES]:
+                window += piece
+                if len(window) > 2:
+                    found.add("^" + window + "$")
+
     for word in (text or "").lower().split():
         plain = word.translate(_MARKS)
         if len(plain) == 1:
             letters.append(plain)
-            continue
-        if len(letters) > 2:
-            found.add("^" + "".join(letters) + "$")
-        letters = []
-        if len(plain) > 2:
+        elif plain:
+            if len(letters) > 2:
+                found.add("^" + "".join(letters) + "$")
+            letters = []
+        if 0 < len(plain) < 3:
+            short.append(plain)
+        elif plain:
+            put_together()
+            short = []
             found.add("^" + plain + "$")
-    if len(letters) > 2:
-        found.add("^" + "".join(letters) + "$")
+    put_together()
     return found
 
 

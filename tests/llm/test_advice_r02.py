@@ -2,7 +2,7 @@
 
 import random
 
-from docquorum.llm import decontaminate, secrets
+from docquorum.llm import decontaminate, secrets, toxicity
 
 
 def values(text):
@@ -76,3 +76,10 @@ def test_leaks_of_frequent_words(docs, spark):
     # Word for word, even where no passage is near enough to be a candidate.
     sure = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs(rows), bench, min_cosine=1.1).collect()}
     assert whole <= sure
+
+
+def test_insults_gapped_unevenly():
+    for text in ("you id i ot there", "he is an id i ot to me", "an id - i ot", "ID, i ot!"):
+        assert "^idiot$" in toxicity.strings(text)
+    assert {"^idiot$", "^idioten$"} <= toxicity.strings("i d i o t idioten")
+    assert toxicity.strings("to words") == {"^words$"}
