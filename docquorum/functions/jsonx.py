@@ -50,14 +50,14 @@ def extract_json(reply: Column) -> Column:
 
 
 def strict_array(text: Column) -> Column:
-    """VARIANT of the array [value, 0] for a text that is one JSON value and nothing else, else null.
+    """VARIANT of the array [value, sentinel] for a text that is one JSON value and nothing else, else null.
 
-    The parser stops at the end of a value, so the value goes into an array with a sentinel behind it.
-    Text that closes the array early, or adds elements, moves the sentinel.
+    The parser stops at the end of a value, so the value goes into an array with a sentinel behind it: the hash of
+    the text, which no text can hold. Text that closes the array early, or adds elements, moves the sentinel away.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(", 0]")))
-    sentinel = F.to_json(F.try_variant_get(wrapped, "$[1]", "variant")) == "0"
-    return F.when(sentinel & F.try_variant_get(wrapped, "$[2]", "variant").isNull(), wrapped)
+    sentinel = F.sha2(text, 256)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(', "'), sentinel, F.lit('"]')))
+    return F.when(F.try_variant_get(wrapped, "$[1]", "string") == sentinel, wrapped)
 
 
 def parse_field(text: Column) -> Column:

@@ -78,11 +78,12 @@ def _(spark, sf):
 
 @registered("parsed_job_fields", needs=("jobs",), sql=f"""
 SELECT file_path, coalesce(json_valid(quorum_result), false) AS has_verdict, coalesce(json_valid(error_log), false) AS log_is_json,
-  {_js('pass1_result', 'purpose')} AS purpose FROM jobs""")
+  coalesce(json_valid(pass1_result || ', 0] junk'), false) AS junk_is_json, {_js('pass1_result', 'purpose')} AS purpose FROM jobs""")
 def _(spark, sf):
     return views.jobs(spark, sf).select(
         "file_path", j.parse_field(F.col("quorum_result")).isNotNull().alias("has_verdict"),
         j.parse_field(F.col("error_log")).isNotNull().alias("log_is_json"),
+        j.parse_field(F.concat("pass1_result", F.lit(", 0] junk"))).isNotNull().alias("junk_is_json"),
         j.member(j.parse_field(F.col("pass1_result")), "$.purpose", "string").alias("purpose"),
     )
 

@@ -133,6 +133,7 @@ def _full(jobs):
     """The job view with every column of the stored table."""
     return jobs.withColumns({
         "final_description": F.lit(None).cast("string"), "created_at": _at(FIRST_DAY), "updated_at": _at(FIRST_DAY),
+        "content_hash": F.lit(None).cast("string"),
     })
 
 

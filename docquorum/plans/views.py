@@ -59,8 +59,10 @@ RECORD_SQL = """concat('{"purpose": "', CASE WHEN doc_id % 9 = 2 THEN '' ELSE co
 
 CHUNK_SQL = """CASE WHEN turn = 5 THEN 'data: [DONE]' WHEN turn = 2 AND conv_id % 4 = 0 THEN ': keep-alive'
   WHEN turn = 3 AND conv_id % 5 = 0 THEN 'data: {"choices": [{"delta": {"content": "cut off'
+  WHEN turn = 1 AND conv_id % 7 = 0 THEN 'data: {"choices": [{"delta": {"content": "x"}}]}, 0] junk'
   ELSE concat('data: {"choices": [{"delta": {"content": "', role, '-', CAST(turn AS STRING), ' "}}]}') END"""
 NDJSON_SQL = """CASE WHEN turn = 2 AND conv_id % 4 = 0 THEN '{"message": {"content": '
+  WHEN turn = 3 AND conv_id % 5 = 0 THEN '{"message": {"content": "x"}}, 0] junk'
   WHEN turn = 4 THEN concat('{"message": {"content": "', role, '-end"}, "done": true}')
   ELSE concat('{"message": {"content": "', role, '-', CAST(turn AS STRING), ' "}, "done": false}') END"""
 

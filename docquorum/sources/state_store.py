@@ -79,12 +79,12 @@ class StateStore:
         return base.join(changed.select("file_path"), "file_path", "left_anti").unionByName(changed)
 
     def commit(self, jobs: DataFrame) -> int:
-        """Write a full snapshot."""
-        return self._write("jobs", jobs.select(*_names(JOB_DDL)), "full")
+        """Write a full snapshot; columns the caller does not have are null."""
+        return self._write("jobs", _completed(jobs, JOB_DDL), "full")
 
     def append(self, changed: DataFrame) -> int:
-        """Write only added or changed rows."""
-        return self._write("jobs", changed.select(*_names(JOB_DDL)), "delta")
+        """Write only added or changed rows; columns the caller does not have are null."""
+        return self._write("jobs", _completed(changed, JOB_DDL), "delta")
 
     def compact(self) -> int:
         """Fold all deltas into a new snapshot."""
@@ -95,8 +95,15 @@ class StateStore:
         return upsert_metadata(self._read("metadata", METADATA_DDL, done))
 
     def set_metadata(self, changes: DataFrame) -> int:
-        return self._write("metadata", changes.select(*_names(METADATA_DDL)), "delta")
+        return self._write("metadata", _completed(changes, METADATA_DDL), "delta")
 
 
-def _names(ddl: str) -> list[str]:
-    return [field.strip().split(" ")[0] for field in ddl.split(",")]
+def _fields(ddl: str) -> list[tuple[str, str]]:
+    return [tuple(field.strip().split(" ")) for field in ddl.split(",")]
+
+
+def _completed(rows: DataFrame, ddl: str) -> DataFrame:
+    """The rows with exactly the stored columns, so that tables of before a column was added can be stored."""
+    return rows.select(*[
+        (F.col(name) if name in rows.columns else F.lit(None)).cast(kind).alias(name) for name, kind in _fields(ddl)
+    ])

@@ -24,7 +24,3 @@ def spark(tmp_path_factory):
         session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield configure(session)
     session.stop()
-
-
-def column(df, name):
-    return [row[name] for row in df.collect()]

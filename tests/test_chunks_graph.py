@@ -4,7 +4,7 @@ import json
 import random
 
 import pytest
-from conftest import column
+from rows import column
 from pyspark.sql import functions as F
 
 from docquorum.operators import chunks as ch

@@ -102,9 +102,10 @@ def test_extract_json(spark, text, expected):
 
 
 def test_parse_field(spark):
-    values = ['{"a": 1}', "", None, "nope", '{"a": 1} x', '{"a": 1},{"b": 2}', "[1]", "3"]
+    values = ['{"a": 1}', "", None, "nope", '{"a": 1} x', '{"a": 1},{"b": 2}', "[1]", "3", '{"a": 1}, 0] junk',
+              '{"a": 1}, "0"]', "1]", '"a", "b"', '"b"']
     found = evaluate(spark, values, lambda c: F.to_json(jsonx.parse_field(c)))
-    assert found == ['{"a":1}', None, None, None, None, None, "[1]", "3"]
+    assert found == ['{"a":1}', None, None, None, None, None, "[1]", "3", None, None, None, None, '"b"']
 
 
 def test_truthiness_and_keys(spark):

@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import column
+from rows import column
 from pyspark.sql import functions as F
 
 from docquorum.operators import report as r
@@ -174,3 +174,14 @@ def test_run_report(spark):
     empty = column(r.run_report(table.limit(0), meta.limit(0)).orderBy("section", "position"), "line")
     assert "- Total files: 0" in empty and "- Completed (quorum pass): 0" in empty and "- **Model:** unknown" in empty
     assert "## Flagged Files" not in empty
+
+
+def test_store_fills_columns_its_caller_does_not_have(spark, tmp_path):
+    """Job tables of before a column was added can still be stored and read."""
+    store = StateStore(spark, str(tmp_path / "old"))
+    old = jobs(spark, ("a", "complete"), ("b", "pending")).drop("content_hash")
+    store.commit(old)
+    store.append(old.filter("file_path = 'b'").withColumn("status", F.lit("error")).drop("final_description"))
+    assert statuses(store.jobs()) == {"a": "complete", "b": "error"}
+    assert store.jobs().columns == [f.strip().split(" ")[0] for f in s.JOB_DDL.split(",")]
+    assert {r["content_hash"] for r in store.jobs().collect()} == {None}
