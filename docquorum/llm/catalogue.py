@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docquorum.session import cut_lineage
 
 from . import (
-    decontaminate, language_id, line_dedup, mixing, ngram_join, quality_mil, quality_rules, secrets, toxicity,
+    decontaminate, html_text, language_id, line_dedup, mixing, ngram_join, quality_mil, quality_rules, secrets, toxicity,
     url_filter,
 )
 from .registry import QUERIES, SQL, registered, table
@@ -221,3 +221,9 @@ def op2_secret_scan(spark, sf_dir):
     learnt = ~toxicity.held_out(F.col("doc_id"), 3, 1)
     return secrets.scan(found, secrets.fit(secrets.evidence(found.filter(learnt)))).select(
         "doc_id", "begin", "end", "name", "value", "probability", "secret")
+
+
+@registered("op13_html_extraction")
+def op13_html_extraction(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
