@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docquorum.session import cut_lineage
 
 from . import (
-    decontaminate, html_text, language_id, line_dedup, mixing, ngram_join, quality_mil, quality_rules, secrets, toxicity,
+    decontaminate, html_text, language_id, line_dedup, merkle, mixing, ngram_join, quality_mil, quality_rules, secrets, toxicity,
     url_filter,
 )
 from .registry import QUERIES, SQL, registered, table
@@ -128,6 +128,65 @@ FROM base
 """
 
 
+# Trees by levels, then every leaf climbs: through its group's nodes, then through those over the groups' roots.
+OP12_SQL = r"""
+WITH RECURSIVE
+table256 AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+shown AS (
+  SELECT *, CASE WHEN xor(list_reduce(
+      list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0
+    THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS tampered
+  FROM documents, table256),
+hashed AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS key,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(tampered) || ':' || tampered, '-') AS other
+  FROM shown),
+leaves AS (
+  SELECT doc_id, key, digest, presented, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, digest) - 1 AS rank,
+    count(*) OVER (PARTITION BY key) AS n
+  FROM (SELECT *, sha256(head || body) AS digest, sha256(head || other) AS presented FROM hashed) h),
+nodes AS (
+  SELECT key, 0 AS level, rank AS idx, digest, n FROM leaves
+  UNION ALL
+  SELECT key, level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (n + 15) // 16
+  FROM nodes WHERE n > 1 GROUP BY key, level, idx // 16, n),
+subroots AS (
+  SELECT key, digest, row_number() OVER (ORDER BY key) - 1 AS number, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT '' AS key, 0 AS level, number AS idx, digest, n FROM subroots
+  UNION ALL
+  SELECT key, level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (n + 15) // 16
+  FROM tops WHERE n > 1 GROUP BY key, level, idx // 16, n),
+beside AS (
+  SELECT key, level, idx, n, coalesce(string_agg(digest, '') OVER below, '') AS lefts,
+    coalesce(string_agg(digest, '') OVER above, '') AS rights
+  FROM (SELECT * FROM nodes UNION ALL SELECT * FROM tops) a
+  WINDOW below AS (PARTITION BY key, level, idx // 16 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    above AS (PARTITION BY key, level, idx // 16 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+climb AS (
+  SELECT key AS grp, rank, key, 0 AS level, rank AS idx, presented AS digest, '' AS proof FROM leaves
+  UNION ALL
+  SELECT c.grp, c.rank, CASE WHEN b.n > 1 THEN c.key ELSE '' END, CASE WHEN b.n > 1 THEN c.level + 1 ELSE 0 END,
+    CASE WHEN b.n > 1 THEN c.idx // 16 ELSE s.number END,
+    CASE WHEN b.n > 1 THEN sha256(b.lefts || c.digest || b.rights) ELSE c.digest END,
+    CASE WHEN b.n > 1 THEN c.proof || b.lefts || b.rights ELSE c.proof END
+  FROM climb c JOIN beside b ON b.key = c.key AND b.level = c.level AND b.idx = c.idx
+  LEFT JOIN subroots s ON s.key = c.key
+  WHERE b.n > 1 OR c.key <> ''),
+ended AS (
+  SELECT c.* FROM climb c JOIN tops t ON t.key = c.key AND t.level = c.level AND t.idx = c.idx AND t.n = 1)
+SELECT l.doc_id, l.digest AS leaf, s.digest AS subroot, t.digest AS root, sha256(e.proof) AS proof_sha256,
+  e.digest AS folded_root, e.digest = t.digest AS verified
+FROM ended e JOIN leaves l ON l.key = e.grp AND l.rank = e.rank JOIN subroots s ON s.key = l.key
+JOIN tops t ON t.n = 1
+"""
+
+
 @registered("op3_mixing", OP3_SQL)
 def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select(
@@ -227,3 +286,11 @@ def op2_secret_scan(spark, sf_dir):
 def op13_html_extraction(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages")).select(
         "page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
+@registered("op12_merkle_manifest", OP12_SQL)
+def op12_merkle_manifest(spark, sf_dir):
+    text = F.col("text")
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(toxicity.held_out(F.col("doc_id"), 5, 0), lowered).otherwise(text)
+    return merkle.verify(table(spark, sf_dir, "documents"), tampered)
