@@ -9,7 +9,7 @@ from docquorum.session import cut_lineage
 
 from . import (
     decontaminate, html_text, language_id, line_dedup, merkle, mixing, ngram_join, quality_mil, quality_rules, secrets, toxicity,
-    url_filter,
+    url_filter, whitening,
 )
 from .registry import QUERIES, SQL, registered, table
 
@@ -294,3 +294,14 @@ def op12_merkle_manifest(spark, sf_dir):
     lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tampered = F.when(toxicity.held_out(F.col("doc_id"), 5, 0), lowered).otherwise(text)
     return merkle.verify(table(spark, sf_dir, "documents"), tampered)
+
+
+@registered("op11_embedding_whitening")
+def op11_embedding_whitening(spark, sf_dir):
+    whitened = whitening.whiten(table(spark, sf_dir, "embeddings"), "embedding", 16)
+    return whitened.select(
+        "vec_id", "whitening.*").select(
+        "vec_id", "n", "deviation", "identity_error",
+        F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")).select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"),
+        F.col("c.explained").alias("explained"), "identity_error")
