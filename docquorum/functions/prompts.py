@@ -24,8 +24,9 @@ using these fields:
 - side_effects: anything that happens on load
 - complexity_notes: fragile or intricate parts
 """
-JUDGE_SYSTEM = """Two reviewers described one file without seeing each other's work. Decide whether they
-describe the same thing. Wording may differ; purpose, type, main functionality and dependencies may not.
+JUDGE_SYSTEM = """Below are two descriptions of one file, written independently. Would readers of either one come
+away with the same picture: what the file is there for, what kind of file it is, what it does and what it relies on?
+Pay no heed to style, order or level of detail, only to statements that cannot both be true or that one lacks altogether.
 Answer with a single JSON object and nothing else, using these fields:
 - agree: true or false
 - merged_result: when they agree, one description keeping the most specific statements of both
@@ -33,12 +34,23 @@ Answer with a single JSON object and nothing else, using these fields:
 - confidence: high, medium or low
 """
 PATH_LABEL = "Path: "
+PART_LABEL = " (part %d of %d)"
+# Rough size of a token in characters, for estimates.
+CHARS_PER_TOKEN = 4
 TEXT_LABEL = "\nContent:\n```\n"
 TEXT_END = "\n```"
 FIRST_LABEL = "\nFirst description:\n```json\n"
 SECOND_LABEL = "\n```\nSecond description:\n```json\n"
 
 
+def estimated_tokens(*texts: Column) -> Column:
+    """Tokens of texts that are sent together, by their length."""
+    length = F.length(texts[0])
+    for text in texts[1:]:
+        length = length + F.length(text)
+    return F.ceil(length / F.lit(CHARS_PER_TOKEN))
+
+
 def analysis_system(language: Column, hints: dict[str, str] = HINTS) -> Column:
     return F.concat(
         F.lit(SYSTEM_BEFORE_LANGUAGE), language, F.lit("\n"), hint_text(language, hints),

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquorum.functions.prompts import with_analysis_prompt, with_judge_prompt
+from docquorum.operators.long_files import bounded_requests, is_part, merge_part_replies, refuse_over_bound
 from docquorum.operators.quorum import (
     CALLS_PER_STAGE, STAGES, attempt_outcomes, first_usable_replies, resolve_quorum,
 )
@@ -29,10 +30,12 @@ BACKOFF_FIRST = 1
 BACKOFF_MAX = 60
 
 LOG_DDL = (
-    "path string, attempt int, stage string, call_no int, raw string, kind string, error string, content_hash string"
+    "path string, attempt int, stage string, call_no int, raw string, kind string, error string, content_hash string, "
+    "chunk_no int, n_chunks int"
 )
 REPLY, FAILED, LOST = "reply", "error", "lost"
 ROWS_PER_FLUSH = 64
+ANY = 2**30  # of attempts
 
 ChatFn = Callable[[str, str], str]
 
@@ -130,7 +133,7 @@ def call_model(
     """Log rows for requests of (path, attempt, system_prompt, user_prompt).
 
     A request whose text could not be read says so in an `error` column and is not sent. A
-    `content_hash` is copied to the log.
+    `content_hash` is copied to the log, as are `chunk_no` and `n_chunks` of a request about a part of a file.
     `parallelism` is the number of partitions, hence of concurrent clients; by default the cluster's. Without a
     client, each request carries its replies in a `recorded` array.
     """
@@ -150,17 +153,18 @@ def call_model(
                         return caller(row.system_prompt, row.user_prompt)
                 else:
                     chat = _recorded_chat(row)
-                unreadable, content = getattr(row, "error", None), getattr(row, "content_hash", None)
+                unreadable = getattr(row, "error", None)
+                more = (getattr(row, "content_hash", None), getattr(row, "chunk_no", 0), getattr(row, "n_chunks", 1))
                 if unreadable is not None:
-                    rows.append((row.path, row.attempt, stages[0], 0, None, FAILED, unreadable, content))
+                    rows.append((row.path, row.attempt, stages[0], 0, None, FAILED, unreadable, *more))
                 elif lost is None:
                     try:
                         # Keep a path's rows only when all its calls went through.
-                        rows.extend([(*logged, content) for logged in _ask(row, stages, chat)])
+                        rows.extend([(*logged, *more) for logged in _ask(row, stages, chat)])
                     except _ConnectionLost as failure:
                         lost = str(failure)
                 if lost is not None and unreadable is None:
-                    rows.append((row.path, row.attempt, stages[0], 0, None, LOST, lost, content))
+                    rows.append((row.path, row.attempt, stages[0], 0, None, LOST, lost, *more))
                 if len(rows) >= ROWS_PER_FLUSH:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
@@ -208,7 +212,17 @@ class ResponseLog:
 
 
 def _answered(log: DataFrame) -> DataFrame:
-    return log.filter(F.col("kind") != LOST).select("path").distinct()
+    """Paths of which every part is answered."""
+    return _answered_parts(log).groupBy("path", "n_chunks").agg(F.count(F.lit(1)).alias("answered")).filter(
+        "answered = n_chunks"
+    ).select("path").distinct()
+
+
+def _answered_parts(log: DataFrame) -> DataFrame:
+    """(path, n_chunks, chunk_no) of answers; rows of logs that knew no parts are about whole files."""
+    return log.filter(F.col("kind") != LOST).select(
+        "path", F.coalesce("n_chunks", F.lit(1)).alias("n_chunks"), F.coalesce("chunk_no", F.lit(0)).alias("chunk_no")
+    ).distinct()
 
 
 def _with_recorded(requests: DataFrame, recorded: DataFrame, attempt: int) -> DataFrame:
@@ -234,6 +248,7 @@ def annotate(
     sleep: Callable[[float], None] = time.sleep,
     reader: Callable[[DataFrame], DataFrame] | None = None,
     slices: int = 1,
+    max_tokens: int | None = None,
 ) -> Annotation:
     """Annotate (path, text) rows until every path agrees, fails or runs out of attempts.
 
@@ -243,14 +258,20 @@ def annotate(
     rows of the same hash count as answers, so a file that changed is asked about anew. Running again over the same
     `log_dir` continues where the last run stopped; with `slices`, each step is logged in that
     many parts, so that a stopped driver loses at most one part's calls.
+
+    No prompt above an estimated `max_tokens` is sent: a longer file is cut at line ends, its parts are asked one by
+    one, and their records are merged before the judge sees them. A continued run asks only for parts it lacks.
     """
     if (client_factory is None) == (recorded is None):
         raise ValueError("give either client_factory or recorded")
+    if max_tokens is not None and client_factory is None:
+        raise ValueError("a bound on prompts needs a client")
     log = ResponseLog(files.sparkSession, log_dir)
     earlier = log.is_written(0, "passes")
     lost = False
 
     hashed = "content_hash" in files.columns
+    in_parts = max_tokens is not None or earlier and not log.everything(max_retries).filter(is_part()).isEmpty()
 
     def mine(rows: DataFrame) -> DataFrame:
         """Rows of the given files and, where hashes are given, of their present content.
@@ -281,7 +302,11 @@ def annotate(
             if recorded is None:
                 requests = with_hash(prompts(chosen)).withColumn("attempt", F.lit(attempt))
                 columns = ["path", "attempt", "system_prompt", "user_prompt"]
-                requests = requests.select(*columns, *(c for c in requests.columns if c in ("error", "content_hash")))
+                requests = requests.select(*columns, *(
+                    c for c in requests.columns if c in ("error", "content_hash", "chunk_no", "n_chunks")))
+                if missing is not None and "n_chunks" in requests.columns:  # some parts of a file may be answered
+                    done = _answered_parts(mine(log.read((attempt, name))))
+                    requests = requests.join(done, ["path", "n_chunks", "chunk_no"], "left_anti")
             else:
                 numbered = (paths if chosen is None else chosen).withColumn("attempt", F.lit(attempt))
                 requests = with_hash(_with_recorded(numbered, recorded, attempt))
@@ -297,31 +322,41 @@ def annotate(
         def analysis(missing: DataFrame | None, waiting: DataFrame | None = split) -> DataFrame:
             chosen = waiting if missing is None else missing
             if reader is not None:
-                return with_analysis_prompt(reader(files.select("path") if chosen is None else chosen))
-            return with_analysis_prompt(files if chosen is None else files.join(chosen, "path", "left_semi"))
+                texts = reader(files.select("path") if chosen is None else chosen)
+            else:
+                texts = files if chosen is None else files.join(chosen, "path", "left_semi")
+            return with_analysis_prompt(texts) if max_tokens is None else bounded_requests(texts, max_tokens)
 
         paths = files.select("path") if split is None else split
         passes = step(attempt, "passes", paths, analysis, ("pass1", "pass2"))
-        pairs = _both_passes(passes)
+        whole = _whole_files(_replies(passes), in_parts)
+        pairs = _both_passes(whole)
 
         def judging(missing: DataFrame | None, pairs: DataFrame = pairs) -> DataFrame:
-            return with_judge_prompt(pairs if missing is None else pairs.join(missing, "path", "left_semi"))
+            asked = with_judge_prompt(pairs if missing is None else pairs.join(missing, "path", "left_semi"))
+            return asked if max_tokens is None else refuse_over_bound(asked, max_tokens)
 
         judged = step(attempt, "judge", pairs.select("path"), judging, ("judge",))
         if lost or attempt == max_retries:
             break
-        replies = _replies(judged.unionByName(passes))
-        outcome = attempt_outcomes(replies, max_retries)
+        outcome = attempt_outcomes(whole.unionByName(_replies(judged).select(*whole.columns)), max_retries)
         split = outcome.filter(F.col("outcome") == "disagree").select("path")
         if split.isEmpty():
             break
-    whole = mine(log.everything(max_retries))
-    return Annotation(outcomes(whole, max_retries), whole, lost)
+    everything = mine(log.everything(max_retries))
+    return Annotation(outcomes(everything, max_retries, in_parts), everything, lost)
 
 
-def _both_passes(passes: DataFrame) -> DataFrame:
+def _whole_files(replies: DataFrame, in_parts: bool) -> DataFrame:
+    """(path, attempt, stage, call_no, raw) with the replies about a file's parts merged."""
+    if in_parts:
+        return merge_part_replies(replies, max_retries=ANY)
+    return replies.select("path", "attempt", "stage", "call_no", "raw")
+
+
+def _both_passes(replies: DataFrame) -> DataFrame:
     """(path, pass1, pass2) where both passes of the attempt gave a usable reply."""
-    usable = first_usable_replies(_replies(passes), max_retries=2**30)
+    usable = first_usable_replies(replies, max_retries=ANY)
     return (
         usable.groupBy("path")
         .agg(*[F.max(F.when(F.col("stage") == s, F.col("result"))).alias(s) for s in ("pass1", "pass2")])
@@ -333,15 +368,18 @@ def _replies(log: DataFrame) -> DataFrame:
     return log.filter(F.col("kind") == REPLY)
 
 
-def outcomes(log: DataFrame, max_retries: int = 3) -> DataFrame:
-    """Resolve a live log: failed calls give status ``error``, unanswered paths no row."""
+def outcomes(log: DataFrame, max_retries: int = 3, in_parts: bool = True) -> DataFrame:
+    """Resolve a live log: failed calls give status ``error``, unanswered paths no row.
+
+    `in_parts` may be False when it is known that no file was asked in parts.
+    """
     failed = (
         log.filter(F.col("kind") == FAILED)
         .groupBy("path")
         .agg(F.min(F.struct("attempt", "stage", "call_no", "error")).alias("first"))
         .select("path", F.col("first.error").alias("call_error"))
     )
-    finished = _replies(log).join(failed, "path", "left_anti")
+    finished = _whole_files(_replies(log).join(failed, "path", "left_anti"), in_parts)
     resolved = resolve_quorum(finished, max_retries, still_open=True)
     errors = failed.select(
         "path", F.lit("error").alias("status"), F.lit(0).alias("retry_count"),

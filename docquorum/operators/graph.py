@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docquorum.functions.jsonx import typed_analysis
 from docquorum.functions.language import LANGUAGE_OF_EXTENSION
 from docquorum.functions.paths import top_level
+from docquorum.functions.prompts import estimated_tokens
 from docquorum.operators.report import disagreement_summary
 from docquorum.operators.skew import HOT_ROWS, hot_keys, known_hot_keys, spread_join
 from docquorum.session import cut_lineage
@@ -18,8 +19,6 @@ ROOT_MODULE = "."
 BATCH_FILES = 50
 # Trimming goes on while a pass leaves less than this share of the edges.
 TRIM_WHILE_ABOVE = 0.9
-# Rough size of a token in characters, for the per-batch estimate.
-CHARS_PER_TOKEN = 4
 TEXT_FIELDS = (
     "purpose", "type", "language", "language_specific_notes", "side_effects", "complexity_notes",
 )
@@ -78,23 +77,24 @@ def _text_entry(field: str) -> Column:
     return F.struct(F.lit(field).alias("field"), value.alias("item"), F.lit(0).alias("at"))
 
 
-def merge_chunk_records(records: DataFrame) -> DataFrame:
-    """Merge per-chunk analysis JSON (path, chunk_no, result) into one record per path.
+def merge_chunk_records(records: DataFrame, *keys: str) -> DataFrame:
+    """Merge per-chunk analysis JSON (path, chunk_no, result) into one record per path, or per other `keys`.
 
     List fields are united in order of first appearance, text fields take the first
     non-empty value. Repeated values are folded before a path's values meet.
     """
-    typed = records.select("path", "chunk_no", typed_analysis(F.col("result")).alias("r"))
+    keys = keys or ("path",)
+    typed = records.select(*keys, "chunk_no", typed_analysis(F.col("result")).alias("r"))
     lists = [*PLAIN_LISTS, *OBJECT_LISTS]
     texts = [*TEXT_FIELDS, "imported_by_hint"]
     entries = F.concat(F.array(*map(_text_entry, texts)), *map(_list_entries, lists))
-    rows = typed.select("path", "chunk_no", F.explode(entries).alias("e"))
-    firsts = rows.groupBy("path", "e.field", "e.item").agg(
+    rows = typed.select(*keys, "chunk_no", F.explode(entries).alias("e"))
+    firsts = rows.groupBy(*keys, "e.field", "e.item").agg(
         F.min(F.struct("chunk_no", "e.at")).alias("place")
     )
-    united = firsts.groupBy("path").agg(*map(_united, lists), *map(_first_text, texts))
+    united = firsts.groupBy(*keys).agg(*map(_united, lists), *map(_first_text, texts))
     return united.select(
-        "path", *TEXT_FIELDS, "imports", "exports",
+        *keys, *TEXT_FIELDS, "imports", "exports",
         *[_objects(field, ddl) for field, ddl in OBJECT_LISTS.items()],
         F.struct("imports_from", "imported_by_hint").alias("dependencies"),
     )
@@ -123,10 +123,6 @@ def module_of(path: Column) -> Column:
     return F.when(path.contains("/"), top_level(path)).otherwise(ROOT_MODULE)
 
 
-def estimated_tokens(text: Column) -> Column:
-    return F.ceil(F.length(text) / F.lit(CHARS_PER_TOKEN))
-
-
 def module_rollup(records: DataFrame) -> DataFrame:
     """Per module: files, languages and estimated tokens of (path, language, text) rows."""
     rows = records.select(

@@ -6,6 +6,8 @@ call_no (from 1) and the raw reply.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +25,11 @@ JUDGE_ERROR = f"Quorum judge JSON failure after {CALLS_PER_STAGE} attempts"
 DISAGREEMENT = "Quorum disagreement after %d attempts"
 
 
-def checked_replies(log: DataFrame, max_retries: int) -> DataFrame:
-    """Replies within budget, cut to their JSON text, with a usability flag.
+def checked_replies(log: DataFrame, max_retries: int, *more: str) -> DataFrame:
+    """Replies within budget with a usability flag, as JSON text where they are usable.
 
-    An unusable reply keeps its raw text, which is reported if its stage fails.
+    An unusable reply keeps its raw text, which is reported if its stage fails. A judge's verdict and merged record
+    are taken out here, so that no reply is parsed again later. `more` names further columns to keep.
     """
     in_budget = log.filter(
         (F.col("attempt") <= max_retries)
@@ -36,21 +39,27 @@ def checked_replies(log: DataFrame, max_retries: int) -> DataFrame:
     # Columns in steps, so that a reply is cut and parsed once.
     cut = in_budget.withColumn("body", object_text(F.col("raw")))
     parsed = cut.withColumn("parsed", parse_prefix(F.col("body")))
-    judge_ok = (F.col("stage") != "judge") | has_key(F.col("parsed"), "agree")
-    usable = parsed.withColumn("usable", F.col("parsed").isNotNull() & judge_ok)
+    judged = F.col("stage") == "judge"
+    usable = parsed.withColumn(
+        "usable", F.col("parsed").isNotNull() & (~judged | has_key(F.col("parsed"), "agree"))
+    )
+    verdict = judged & F.col("usable")
+    merged = json_null_as_missing(member(F.col("parsed"), "$.merged_result"))
     return usable.select(
-        "path", "attempt", "stage", "call_no", "usable",
-        F.when(F.col("usable"), F.col("body")).otherwise(F.col("raw")).alias("body"),
+        "path", "attempt", "stage", "call_no", *more, "usable",
+        F.when(F.col("usable"), store_json(F.col("parsed"))).otherwise(F.col("raw")).alias("body"),
+        F.when(verdict, truthy(member(F.col("parsed"), "$.agree"))).alias("agrees"),
+        F.when(verdict, store_json(merged)).alias("merged"),
     )
 
 
-def _stage_reply(stage: str | None = None) -> Column:
+def stage_reply(chosen: Column | None = None) -> Column:
     """First usable reply, else the last unusable one: both are the minimum of one struct."""
     rank = F.when(F.col("usable"), F.col("call_no")).otherwise(
         2 * CALLS_PER_STAGE + 1 - F.col("call_no")
     )
-    reply = F.struct(rank.alias("rank"), "body", "usable", "call_no")
-    return F.min(reply if stage is None else F.when(F.col("stage") == stage, reply))
+    reply = F.struct(rank.alias("rank"), "body", "usable", "call_no", "agrees", "merged")
+    return F.min(reply if chosen is None else F.when(chosen, reply))
 
 
 def first_usable_replies(log: DataFrame, max_retries: int = 3) -> DataFrame:
@@ -58,18 +67,26 @@ def first_usable_replies(log: DataFrame, max_retries: int = 3) -> DataFrame:
     best = (
         checked_replies(log, max_retries)
         .groupBy("path", "attempt", "stage")
-        .agg(_stage_reply().alias("reply"))
+        .agg(stage_reply().alias("reply"))
         .filter("reply.usable")
     )
     return best.select(
         "path", "attempt", "stage",
-        F.col("reply.call_no").alias("call_no"),
-        store_json(parse_prefix(F.col("reply.body"))).alias("result"),
+        F.col("reply.call_no").alias("call_no"), F.col("reply.body").alias("result"),
     )
 
 
-def _judge_agrees() -> Column:
-    return truthy(member(parse_prefix(F.col("judge.body")), "$.agree"))
+def _failed_stage(reply: Callable[[str], Column]) -> Column:
+    """First stage without a usable reply, null when all have one."""
+    return F.coalesce(*[
+        F.when(~F.coalesce(reply(stage)["usable"], F.lit(False)), stage) for stage in STAGES
+    ])
+
+
+def _outcome(failed_stage: Column, judge: Column) -> Column:
+    return (
+        F.when(failed_stage.isNotNull(), "error").when(judge["agrees"], "agree").otherwise("disagree")
+    )
 
 
 def attempt_outcomes(log: DataFrame, max_retries: int = 3) -> DataFrame:
@@ -78,19 +95,23 @@ def attempt_outcomes(log: DataFrame, max_retries: int = 3) -> DataFrame:
     Conditional minima pivot the stages inside the aggregate, so repeated log rows are
     folded before the shuffle, however many one path has.
     """
-    per_stage = [_stage_reply(stage).alias(stage) for stage in STAGES]
+    per_stage = [stage_reply(F.col("stage") == stage).alias(stage) for stage in STAGES]
     attempts = checked_replies(log, max_retries).groupBy("path", "attempt").agg(*per_stage)
+    return attempts.withColumn("failed_stage", _failed_stage(F.col)).withColumn(
+        "outcome", _outcome(F.col("failed_stage"), F.col("judge"))
+    )
 
-    def failed(stage: str) -> Column:
-        return ~F.coalesce(F.col(f"{stage}.usable"), F.lit(False))
 
-    failing = F.coalesce(*[F.when(failed(stage), stage) for stage in STAGES])
-    return attempts.withColumn("failed_stage", failing).withColumn(
-        "outcome",
-        F.when(F.col("failed_stage").isNotNull(), "error")
-        .when(_judge_agrees(), "agree")
-        .otherwise("disagree"),
-    )
+def _attempts(max_retries: int) -> list[Column]:
+    """Per attempt a struct of the stages' replies, null where nothing was asked: one aggregate by path has them all."""
+    attempts = []
+    for number in range(max_retries + 1):
+        here = F.col("attempt") == number
+        replies = [stage_reply(here & (F.col("stage") == stage)) for stage in STAGES]
+        asked = F.coalesce(*replies).isNotNull()
+        fields = [reply.alias(stage) for stage, reply in zip(STAGES, replies)]
+        attempts.append(F.when(asked, F.struct(F.lit(number).alias("attempt"), *fields)))
+    return attempts
 
 
 def resolve_quorum(log: DataFrame, max_retries: int = 3, still_open: bool = False) -> DataFrame:
@@ -98,19 +119,24 @@ def resolve_quorum(log: DataFrame, max_retries: int = 3, still_open: bool = Fals
 
     Results are JSON texts. A failed stage clears the results and keeps the last raw reply.
     With `still_open` the log may stop early: paths that wait for a stage or a further
-    attempt get no outcome yet.
+    attempt get no outcome yet. Every reply is parsed once, repeated rows are folded where they
+    lie, and texts are shuffled once, by path.
     """
-    attempts = attempt_outcomes(log, max_retries)
-    # Deciding attempts in ascending order, then undecided ones from the last backwards.
-    order = F.when(F.col("outcome") != "disagree", F.col("attempt")).otherwise(
-        2 * (max_retries + 1) - F.col("attempt")
-    )
-    kept = ("attempt", "outcome", "failed_stage", *STAGES)
-    chosen = (
-        attempts.groupBy("path")
-        .agg(F.min_by(F.struct(*kept), order).alias("deciding"))
-        .select("path", "deciding.*")
-    )
+    replies = checked_replies(log, max_retries)
+    asked = replies.groupBy("path").agg(F.array_compact(F.array(*_attempts(max_retries))).alias("attempts"))
+
+    def judged(a: Column) -> Column:
+        failed = _failed_stage(lambda stage: a[stage])
+        return F.struct(
+            a["attempt"].alias("attempt"), failed.alias("failed_stage"), _outcome(failed, a["judge"]).alias("outcome"),
+            *[a[stage].alias(stage) for stage in STAGES],
+        )
+
+    known = asked.select("path", F.transform("attempts", judged).alias("attempts"))
+    decided = F.filter("attempts", lambda a: a["outcome"] != "disagree")
+    chosen = known.select(
+        "path", F.coalesce(F.get(decided, F.lit(0)), F.try_element_at("attempts", F.lit(-1))).alias("deciding")
+    ).select("path", "deciding.*")
     if still_open:
         waiting = (F.col("outcome") == "disagree") & (F.col("attempt") < max_retries)
         unasked = [(F.col("failed_stage") == s) & F.col(s).isNull() for s in STAGES]
@@ -123,12 +149,7 @@ def resolve_quorum(log: DataFrame, max_retries: int = 3, still_open: bool = Fals
 def _outcome_columns(max_retries: int) -> list[Column]:
     outcome, failed_stage = F.col("outcome"), F.col("failed_stage")
     agreed, errored = outcome == "agree", outcome == "error"
-    results = {
-        stage: F.when(~errored, parse_prefix(F.col(f"{stage}.body"))) for stage in STAGES
-    }
-    merged = F.coalesce(
-        json_null_as_missing(member(results["judge"], "$.merged_result")), results["pass1"]
-    )
+    results = {stage: F.when(~errored, F.col(f"{stage}.body")) for stage in STAGES}
     raw = F.coalesce(*[F.when(failed_stage == s, F.col(f"{s}.body")) for s in STAGES])
     error = (
         F.when(errored & (failed_stage == "judge"), JUDGE_ERROR)
@@ -140,10 +161,10 @@ def _outcome_columns(max_retries: int) -> list[Column]:
         F.when(agreed, COMPLETE).otherwise(FLAGGED).alias("status"),
         F.when(outcome == "disagree", max_retries).otherwise(F.col("attempt"))
         .cast("int").alias("retry_count"),
-        store_json(results["pass1"]).alias("pass1_result"),
-        store_json(results["pass2"]).alias("pass2_result"),
-        store_json(results["judge"]).alias("quorum_result"),
-        store_json(F.when(agreed, merged)).alias("merged_result"),
+        results["pass1"].alias("pass1_result"),
+        results["pass2"].alias("pass2_result"),
+        results["judge"].alias("quorum_result"),
+        F.when(agreed, F.coalesce(F.col("judge.merged"), F.col("pass1.body"))).alias("merged_result"),
         error.alias("error"),
         raw.alias("raw_output"),
     ]

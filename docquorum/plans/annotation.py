@@ -9,6 +9,7 @@ from docquorum.functions import prompts as pr
 from docquorum.functions.render import render_markdown
 from docquorum.operators import annotate as an
 from docquorum.operators import chunks as ch
+from docquorum.operators.long_files import LABEL_ROOM
 from docquorum.operators import quorum as q
 from docquorum.plans import views
 from docquorum.plans.discovery import _HINT_OF, _KEY_OF, LANGUAGES_SQL
@@ -166,6 +167,72 @@ def replayed_annotation(spark, sf):
     return _outcome_fields(run.outcomes)
 
 
+# A bound that a good part of the documents is over, so that they are asked in parts.
+BOUND = 700
+
+
+def _reading_client():
+    """Describes what it is sent by its first and last word, and notes how long the prompt was."""
+    import json
+    import re
+
+    def chat(system: str, user: str) -> str:
+        if system == pr.JUDGE_SYSTEM:
+            return '{"agree": true, "confidence": "high"}'
+        text = user.split(pr.TEXT_LABEL, 1)[1].removesuffix(pr.TEXT_END)
+        words = re.findall("[a-z]+", text)
+        tokens = -(-(len(system) + len(user)) // pr.CHARS_PER_TOKEN)
+        return json.dumps({
+            "purpose": words[0] if words else "", "exports": [words[-1] if words else ""], "imports": [str(tokens)],
+        })
+
+    return chat
+
+
+_FRAME = len(pr.PATH_LABEL + pr.TEXT_LABEL + pr.TEXT_END)
+
+
+@registered("bounded_annotation", needs=("corpus",), sql=f"""
+WITH RECURSIVE {LANGUAGES_SQL},
+framed AS (SELECT c.path, c.text, length({_lit(pr.SYSTEM_BEFORE_LANGUAGE)} || d.language || chr(10) || coalesce(h.hint, '')
+    || {_lit(pr.SYSTEM_AFTER_HINT)}) + length(c.path) + {_FRAME} AS frame
+  FROM corpus c JOIN detected_language d ON d.path = c.path
+  LEFT JOIN (VALUES {_KEY_OF}) k(language, key) ON k.language = d.language
+  LEFT JOIN (VALUES {_HINT_OF}) h(key, hint) ON h.key = k.key),
+roomy AS (SELECT path, text, CASE WHEN frame + length(text) <= {pr.CHARS_PER_TOKEN * BOUND} THEN greatest(length(text), 1)
+    ELSE {pr.CHARS_PER_TOKEN * BOUND - LABEL_ROOM} - frame END AS room FROM framed),
+pieces AS (
+  SELECT path, 0 AS chunk_no, room, text AS rest, CASE WHEN length(text) <= room THEN length(text)
+    WHEN contains(text[1:room], chr(10)) THEN room + 1 - strpos(reverse(text[1:room]), chr(10)) ELSE room END AS taken FROM roomy
+  UNION ALL
+  SELECT path, chunk_no + 1, room, left_over, CASE WHEN length(left_over) <= room THEN length(left_over)
+    WHEN contains(left_over[1:room], chr(10)) THEN room + 1 - strpos(reverse(left_over[1:room]), chr(10)) ELSE room END
+  FROM (SELECT *, rest[taken + 1:] AS left_over FROM pieces WHERE length(rest) > taken) p),
+words AS (SELECT path, chunk_no, regexp_extract(rest[1:taken], '[a-z]+') AS first,
+  regexp_extract(rest[1:taken], '([a-z]+)[^a-z]*$', 1) AS last FROM pieces),
+lasts AS (SELECT path, string_agg(last, ',' ORDER BY place) AS exports FROM (
+  SELECT path, last, min(chunk_no) AS place FROM words GROUP BY ALL) l GROUP BY path)
+SELECT w.path, 'complete' AS status, count(*) AS parts, coalesce(arg_min(first, chunk_no) FILTER (WHERE first <> ''), '') AS purpose,
+  any_value(l.exports) AS exports, true AS within_bound
+FROM words w JOIN lasts l ON l.path = w.path GROUP BY w.path""")
+def _(spark, sf):
+    """The live loop over whole documents: those over the bound are asked in parts and judged by their merged record."""
+    run = an.annotate(
+        views.corpus(spark, sf).select("path", "text"), scratch_dir(spark, "log"), _reading_client, max_tokens=BOUND
+    )
+    asked = run.log.filter("stage = 'pass1'").groupBy("path").agg(
+        F.count(F.lit(1)).alias("parts"), F.max(_get("raw", "imports[0]").cast("int")).alias("longest")
+    )
+    described = run.outcomes.select(
+        "path", "status", _get("merged_result", "purpose").alias("purpose"),
+        F.from_json(_get("merged_result", "exports"), "array<string>").alias("exports"),
+    )
+    return described.join(asked, "path").select(
+        "path", "status", "parts", "purpose", F.array_join("exports", ",").alias("exports"),
+        (F.col("longest") <= BOUND).alias("within_bound"),
+    )
+
+
 @registered("merged_records", needs=("resolved",), sql=f"""
 SELECT path, {_js('merged_result', 'purpose')} AS purpose, {_js('merged_result', 'type')} AS type FROM resolved WHERE status = 'complete'""")
 def _(spark, sf):

@@ -39,26 +39,39 @@ def _(spark, sf):
     return g.chunk_lines(views.corpus(spark, sf).select("path", "text"), LINES, OVERLAP)
 
 
-@registered("merged_chunk_records", needs=("records",), sql="""
-WITH pieces AS (SELECT string_split(path, '/')[1] AS module, doc_id, result FROM records),
-items AS (SELECT module, 'exports' AS field, doc_id, generate_subscripts(json_extract_string(result, '$.exports[*]'), 1) AS nth, unnest(json_extract_string(result, '$.exports[*]')) AS item FROM pieces
-  UNION ALL SELECT module, 'functions', doc_id, generate_subscripts(json_extract_string(result, '$.key_functions[*].name'), 1), unnest(json_extract_string(result, '$.key_functions[*].name')) FROM pieces),
-firsts AS (SELECT module, field, item, min((doc_id, nth)) AS place FROM items GROUP BY ALL),
-texts AS (SELECT module, arg_min(json_extract_string(result, '$.purpose'), doc_id) FILTER (WHERE json_extract_string(result, '$.purpose') <> '') AS purpose,
-  arg_min(json_extract_string(result, '$.complexity_notes'), doc_id) FILTER (WHERE json_extract_string(result, '$.complexity_notes') <> '') AS complexity FROM pieces GROUP BY module)
-SELECT t.module AS path, coalesce(purpose, '') AS purpose, coalesce(complexity, '') AS complexity,
-  (SELECT string_agg(item, ',' ORDER BY place) FROM firsts f WHERE f.module = t.module AND field = 'exports') AS exports,
-  coalesce((SELECT string_agg(item, ',' ORDER BY place) FROM firsts f WHERE f.module = t.module AND field = 'functions'), '') AS functions
-FROM texts t""")
+# What a model might say of one chunk: its first word is the purpose, its long words are exported, its last is a function.
+CHUNKS_SQL = f"""
+cut AS (SELECT path, string_split(text, chr(10)) AS lines FROM corpus),
+starts AS (SELECT path, lines, unnest(range(1, greatest(len(lines) - {OVERLAP}, 1) + 1, {LINES - OVERLAP})) AS first_line FROM cut),
+pieces AS (SELECT path, (first_line - 1) // {LINES - OVERLAP} AS chunk_no, array_to_string(lines[first_line:first_line + {LINES - 1}], chr(10)) AS text FROM starts)"""
+
+
+@registered("merged_chunk_records", needs=("corpus",), sql=f"""
+WITH {CHUNKS_SQL},
+words AS (SELECT path, chunk_no, regexp_extract(text, '[a-z]+') AS first, regexp_extract(text, '([a-z]+)[^a-z]*$', 1) AS last,
+  regexp_extract_all(text, '[a-z]{{9,}}') AS long FROM pieces),
+items AS (SELECT path, 'e' AS field, chunk_no, generate_subscripts(long, 1) AS nth, unnest(long) AS item FROM words
+  UNION ALL SELECT path, 'f', chunk_no, 1, last FROM words),
+firsts AS (SELECT path, field, item, min((chunk_no, nth)) AS place FROM items GROUP BY ALL)
+SELECT w.path, coalesce(arg_min(first, chunk_no) FILTER (WHERE first <> ''), '') AS purpose,
+  coalesce(any_value(e.names), '') AS exports, any_value(f.names) AS functions
+FROM words w
+LEFT JOIN (SELECT path, string_agg(item, ',' ORDER BY place) AS names FROM firsts WHERE field = 'e' GROUP BY path) e ON e.path = w.path
+LEFT JOIN (SELECT path, string_agg(item, ',' ORDER BY place) AS names FROM firsts WHERE field = 'f' GROUP BY path) f ON f.path = w.path
+GROUP BY w.path""")
 def _(spark, sf):
-    """Every document of a module stands for one chunk of it."""
-    pieces = views.records(spark, sf).select(
-        F.substring_index("path", "/", 1).alias("path"), F.col("doc_id").alias("chunk_no"), "result"
+    """The records of each file's own line chunks, merged per file."""
+    pieces = g.chunk_lines(views.corpus(spark, sf).select("path", "text"), LINES, OVERLAP)
+    name = F.struct(
+        F.regexp_extract("text", r"([a-z]+)[^a-z]*\z", 1).alias("name"), F.lit("ends").alias("purpose")
     )
+    record = F.to_json(F.struct(
+        F.regexp_extract("text", "[a-z]+", 0).alias("purpose"),
+        F.regexp_extract_all("text", F.lit("[a-z]{9,}"), 0).alias("exports"), F.array(name).alias("key_functions"),
+    ))
     names = F.array_join(F.transform("key_functions", lambda f: f["name"]), ",")
-    return g.merge_chunk_records(pieces).select(
-        "path", "purpose", F.col("complexity_notes").alias("complexity"),
-        F.array_join("exports", ",").alias("exports"), names.alias("functions"),
+    return g.merge_chunk_records(pieces.select("path", "chunk_no", record.alias("result"))).select(
+        "path", "purpose", F.array_join("exports", ",").alias("exports"), names.alias("functions"),
     )
 
 

@@ -90,6 +90,7 @@ def analyze(
     slices: int | None = None,
     log_name: str = "log",
     reannotate: bool = True,
+    max_tokens: int | None = None,
     **discovery,
 ) -> RunResult:
     """Annotate a tree, or continue where the last run into `output_dir` stopped.
@@ -98,6 +99,7 @@ def analyze(
     Each run commits only the job rows it changed. A new `log_name` asks the model afresh.
     Finished files are read again and annotated anew if their content changed; `reannotate=False`
     saves that reading. By default a step is logged in parts of about FILES_PER_PART files.
+    With `max_tokens` files whose prompt would be longer are asked in parts.
     """
     configure(spark)
     store = StateStore(spark, f"{output_dir}/state")
@@ -121,7 +123,7 @@ def analyze(
         slices = max(1, -(-todo.count() // FILES_PER_PART))
     run = annotate(
         todo, f"{output_dir}/{log_name}", client_factory, max_retries=max_retries, parallelism=parallelism,
-        reader=lambda paths: read_texts(paths, root), slices=slices,
+        reader=lambda paths: read_texts(paths, root), slices=slices, max_tokens=max_tokens,
     )
     outcomes = cut_lineage(run.outcomes.join(todo, "path", "left"))
 

@@ -162,3 +162,12 @@ def test_notes_and_labels(spark):
     assert notes == {"a": ("high", ""), "b": ("high", "[retry 1]")}
     labels = {r["path"]: r["label"] for r in outcomes.select("path", q.failure_label(F.col("error")).alias("label")).collect()}
     assert labels == {"a": None, "b": None, "c": "json_parse_failure"}
+
+
+def test_texts_are_shuffled_once_and_parsed_once(spark, tmp_path):
+    """The bare operator over a stored log: one exchange, one parser."""
+    log = spark.createDataFrame([("p", 0, "judge", 1, "{}")], "path string, attempt int, stage string, call_no int, raw string")
+    log.write.parquet(str(tmp_path / "log"))
+    resolved = q.resolve_quorum(spark.read.parquet(str(tmp_path / "log")))
+    plan = resolved._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("parseJson") == 1
