@@ -2,9 +2,11 @@
 
 1. *Sets.* A document's n-grams become 64-bit hashes. Equal sets are one node, named by a hash of the set.
 2. *Tiles.* Sizes are cut into bands. Sets in one band that reach the threshold differ in at most D elements, D known
-   from the band's largest size. Hashes are dealt out into D + 2 parts, so such sets agree in at least two parts.
-   A tile is a band, a part and the content of the part; a node lies in one tile for each of its parts, and near the
-   upper end of its band also in tiles of the next band. Parts without elements only count in pairs.
+   from the band's largest size. Hashes are dealt out into at least D + 2 parts. A set that fills D + 1 of them agrees
+   with every such set in one that it fills. A tile is a band, a part and the content of the part; a node lies in one
+   tile for each part it fills, and near the upper end of its band also in tiles of the next band. The few sets that
+   fill no more than D parts agree among themselves in at least two parts, empty ones counted: these lie in a further
+   tile for every pair of empty parts.
 3. *Bitmaps.* A node's bitmap holds the parity of the number of its hashes that fall on each bit. Two bitmaps differ
    in at most as many bits as the sets differ in elements, so counting bits bounds the overlap from above.
 4. *Verification.* In every tile nodes stand in an order drawn for that tile, and neighbours are candidates. What
@@ -13,18 +15,20 @@
    first by bitmaps, and only nodes with a passing partner in another component by their arrays. A block returns the
    links that join components, never its pairs.
 
-A group of near copies of any size so costs a sort and its own links. Texts are shuffled once, for the nodes that have
-a candidate; tiles are 8-byte hashes.
+A group of near copies of any size so costs a sort and its own links. Equal sets are folded before their tiles are
+shuffled; a node's tiles travel packed by range, six bytes each. Texts are shuffled once, for the nodes that have a
+candidate.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -33,8 +37,12 @@ from docquorum.session import cut_lineage
 from .components import components
 from .words import byte_words
 
-BITS = 1024
+BITS = 256
 BLOCK = 1500
+#: Tiles that a task is meant to look through; a range of them is one task's.
+RANGE_KEYS = 2_000_000
+CHARS_PER_KEY = 20
+LOW_BITS = 48
 _CACHE = 200_000
 
 
@@ -79,33 +87,50 @@ def band_of(size: int) -> tuple[int, int]:
         low = high
 
 
-def tile_keys(grams: np.ndarray, percent: int, bands: dict[int, tuple[int, int]]) -> np.ndarray:
+def parts_of(low: int, high: int, percent: int) -> tuple[int, int]:
+    """(D, number of parts) for sets of a band that are compared in it, which may be as small as the threshold allows.
+
+    So many parts that all but about one in a thousand of the smallest sets fill D + 1 of them.
+    """
+    differ = 2 * (high - 1) * (100 - percent) // (100 + percent)
+    least = max(1, percent * low // 100)
+    parts = differ + 2
+    while parts < 2 * differ + 16:
+        empty = (1 - 1 / parts) ** least
+        spread = math.sqrt(max(parts * (empty - empty**2 * (1 + least / parts)), 0.0))
+        if parts * (1 - empty) - 3 * spread >= differ + 1:
+            break
+        parts += 1
+    return differ, parts
+
+
+def tile_keys(grams: np.ndarray, percent: int, bands: dict) -> np.ndarray:
     """The tiles of a set, as 64-bit hashes."""
     size = len(grams)
     if not size:
         return np.empty(0, np.int64)
     if size not in bands:
-        bands[size] = band_of(size)
-    low, high = bands[size]
-    homes = [(low, high)]
-    if 100 * size >= percent * high:
-        homes.append((high, max(high + 1, (5 * high + 3) // 4)))
+        low, high = band_of(size)
+        above = max(high + 1, (5 * high + 3) // 4)
+        homes = [(low, *parts_of(low, high, percent))]
+        if 100 * size >= percent * high:
+            homes.append((high, *parts_of(high, above, percent)))
+        bands[size] = homes
     keys = []
-    for lowest, above in homes:
-        differ = 2 * (above - 1) * (100 - percent) // (100 + percent)
+    spread = mixed(grams) >> np.uint64(16)
+    content = mixed(grams + np.uint64(0xA5A5A5A5))
+    for lowest, differ, parts in bands[size]:
         if differ == 0:  # only equal sets reach the threshold
             continue
-        parts = differ + 2
-        part = (mixed(grams) >> np.uint64(16)) % np.uint64(parts)
+        part = spread % np.uint64(parts)
         order = np.argsort(part, kind="stable")
         dealt = part[order]
         begins = np.flatnonzero(np.r_[True, dealt[1:] != dealt[:-1]])
         with np.errstate(over="ignore"):
-            content = np.add.reduceat(mixed(grams[order] + np.uint64(0xA5A5A5A5)), begins)
             tag = np.uint64(lowest) * np.uint64(0x9E3779B97F4A7C15)
-            keys.append(mixed(content + mixed(dealt[begins] + tag)))
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), dealt[begins])
-            if len(empty) > 1:
+            keys.append(mixed(np.add.reduceat(content[order], begins) + mixed(dealt[begins] + tag)))
+            if len(begins) <= differ:  # too few parts hold anything: two such sets may agree in empty parts alone
+                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), dealt[begins])
                 first, second = np.triu_indices(len(empty), 1)
                 keys.append(mixed(mixed(empty[first] * np.uint64(1 << 24) + empty[second]) + ~tag))
     return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
@@ -120,14 +145,33 @@ def bitmap(grams: np.ndarray) -> np.ndarray:
 
 
 def folded(bits: np.ndarray, length: int) -> np.ndarray:
-    """The bitmap of the same set with fewer bits: halves of a parity bitmap add up."""
-    while len(bits) > length:
-        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    """The bitmaps of the same sets with fewer bits: halves of a parity bitmap add up."""
+    while bits.shape[-1] > length:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
     return bits
 
 
-def _described(n: int, percent: int):
-    @F.pandas_udf("size int, node long, keys array<long>, bits array<long>")
+def packed(keys: np.ndarray, ranges: int) -> list[tuple[int, bytes]]:
+    """(range, keys) of a set's tiles. A range is told by the upper bits; of the lower ones six bytes are kept."""
+    dealt = ((keys.view(np.uint64) >> np.uint64(LOW_BITS)) % np.uint64(ranges)).astype(np.int32)
+    order = np.argsort(dealt, kind="stable")
+    dealt = dealt[order]
+    low = keys[order].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    begins = np.flatnonzero(np.r_[True, dealt[1:] != dealt[:-1]]) if len(dealt) else np.empty(0, np.int64)
+    ends = np.r_[begins[1:], len(dealt)]
+    return [(int(r), low[6 * i:6 * j]) for r, i, j in zip(dealt[begins], begins.tolist(), ends.tolist())]
+
+
+def unpacked(range_no: int, keys: bytes) -> np.ndarray:
+    """Keys of a range as numbers that are unlike those of any other range."""
+    wide = np.zeros((len(keys) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
+    return wide.view(np.int64)[:, 0] | (np.int64(range_no) << LOW_BITS)
+
+
+def _described(n: int, percent: int, ranges: int):
+    @F.pandas_udf("size int, node long, tiles array<struct<range:int,keys:binary>>, bits array<long>")
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         cache, bands = _Hashes(), {}
         for texts in batches:
@@ -135,12 +179,46 @@ def _described(n: int, percent: int):
             for text in texts:
                 grams = gram_set(text, n, cache)
                 node = xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
-                rows.append((len(grams), node, tile_keys(grams, percent, bands), bitmap(grams)))
-            yield pd.DataFrame(rows, columns=["size", "node", "keys", "bits"])
+                tiles = [{"range": r, "keys": k} for r, k in packed(tile_keys(grams, percent, bands), ranges)]
+                rows.append((len(grams), node, tiles, bitmap(grams)))
+            yield pd.DataFrame(rows, columns=["size", "node", "tiles", "bits"])
 
     return describe
 
 
+def _shared_tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Tiles with several nodes, each node with the one before it in the order drawn for the tile (or itself)."""
+    keys, nodes = [], []
+    for frame in frames:
+        for range_no, packed_keys, node in zip(frame["range"], frame["keys"], frame["node"]):
+            keys.append(unpacked(range_no, packed_keys))
+            nodes.append(np.full(len(keys[-1]), node, np.int64))
+    if not keys:
+        return
+    key, node = np.concatenate(keys), np.concatenate(nodes)
+    del keys, nodes
+    # Those alone in their tile, nearly all, go before the sort by drawn order.
+    order = np.argsort(key, kind="stable")
+    key, node = key[order], node[order]
+    same = key[1:] == key[:-1]
+    several = np.r_[False, same] | np.r_[same, False]
+    key, node = key[several], node[several]
+    drawn = mixed(key.view(np.uint64) ^ mixed(node.view(np.uint64)))
+    order = np.lexsort((node, drawn, key))
+    key, node = key[order], node[order]
+    if len(key):  # copies of a node that were not folded yet
+        new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+        key, node = key[new], node[new]
+        same = key[1:] == key[:-1]
+        several = np.r_[False, same] | np.r_[same, False]
+        key, node = key[several], node[several]
+    first = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, bool)
+    before = np.where(first, node, np.roll(node, 1))
+    for at in range(0, len(key), 100_000):
+        part = slice(at, at + 100_000)
+        yield pd.DataFrame({"key": key[part], "node": node[part], "before": before[part]})
+
+
 def _grams(n: int):
     @F.pandas_udf("array<long>")
     def grams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -205,18 +283,17 @@ def _across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def link_nodes(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
     """(one row per input row: ``doc_id, text_hash, node, size``; ``node, component`` of all linked nodes)."""
+    spark = docs.sparkSession
+    length = docs.agg(F.sum(F.length(text).cast("long")).alias("n")).first()["n"] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), length // (CHARS_PER_KEY * RANGE_KEYS) + 1)
     described = cut_lineage(docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
-        _described(n, percent)(F.col(text)).alias("d"),
-    ).select("doc_id", "text_hash", "d.*"))
+        _described(n, percent, ranges)(F.col(text)).alias("d"), F.monotonically_increasing_id().alias("row_no"),
+    ).select("doc_id", "text_hash", "row_no", "d.*"))
     members = described.select("doc_id", "text_hash", "node", "size")
 
-    drawn = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
-    tiles = (
-        described.select("node", F.explode("keys").alias("key"))
-        .select("key", "node", F.lag("node").over(drawn).alias("before"), F.lead("node").over(drawn).alias("after"))
-        .filter("before <> node or after <> node").select("key", "node", "before")
-    )
+    tiles = _once(described).select("node", F.inline("tiles")).repartitionById(ranges, "range").mapInPandas(
+        _shared_tiles, "key long, node long, before long")
     tiles = cut_lineage(tiles)
     candidates = tiles.filter("before <> node").select(
         F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).distinct()
@@ -252,6 +329,14 @@ def link_nodes(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) ->
     return members, labels
 
 
+def _once(described: DataFrame) -> DataFrame:
+    """One row of each node; the rows left out are known by their numbers, so no set is shuffled to find them."""
+    first = described.groupBy("node").agg(F.min("row_no").alias("first"))
+    surplus = cut_lineage(
+        described.select("node", "row_no").join(first, "node").filter("row_no > first").select("row_no"))
+    return described if surplus.isEmpty() else described.join(surplus, "row_no", "left_anti")
+
+
 def _sets(docs: DataFrame, chosen: DataFrame, n: int, text: str, doc_id: str, *hints: str) -> DataFrame:
     """``node, size, grams`` of chosen nodes, made anew from one text of each."""
     # Written, so that Spark knows its size: a small selection is broadcast and no text is shuffled.
@@ -283,48 +368,116 @@ def _remaining(docs, tiles, nodes, labels, n, percent, text, doc_id) -> DataFram
     if rows.isEmpty():
         return rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
     grouped = ["key", "left", "right"]
-
-    def by_bits(frame: pd.DataFrame) -> pd.DataFrame:
-        length = min(map(len, frame["bits"]))
-        bits = np.stack([folded(x, length) for x in frame["bits"]]).view(np.uint64)
-        size, inside = frame["size"].to_numpy(), frame["component"].to_numpy()
-        marked = np.zeros(len(frame), bool)
-        for i in range(len(frame)):
-            differ = np.bitwise_count(bits[i + 1:] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            total = size[i + 1:] + size[i]
-            hit = reaches((total - differ) / 2, total, percent) & (inside[i + 1:] != inside[i])
-            if hit.any():
-                marked[i] = True
-                marked[i + 1:] |= hit
-        return frame.loc[marked, [*grouped, "node", "component", "size"]]
-
-    flagged = cut_lineage(rows.groupBy(*grouped).applyInPandas(
-        by_bits, "key long, left int, right int, node long, component long, size int"))
+    flagged = cut_lineage(_by_tile(rows, grouped).mapInPandas(
+        _near_by_bits(percent), "key long, left int, right int, node long, component long"))
     chosen = nodes.join(flagged.select("node").distinct(), "node", "left_semi")
     sets = _sets(docs, chosen, n, text, doc_id).select("node", "grams")
+    return cut_lineage(_by_tile(flagged.join(sets, "node"), grouped).mapInPandas(
+        _links_by_grams(percent), "a long, b long"))
+
 
-    def by_grams(frame: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.get(x, x) != x:
-                x = parent[x]
-            return x
-
-        rows_, out = list(zip(frame["node"], frame["component"], frame["grams"])), []
-        for i, (a, in_a, grams_a) in enumerate(rows_):
-            for b, in_b, grams_b in rows_[i + 1:]:
-                low, high = root(in_a), root(in_b)
-                small, large = sorted((len(grams_a), len(grams_b)))
-                if low == high or 100 * small < percent * large:
-                    continue
-                common = len(np.intersect1d(grams_a, grams_b, assume_unique=True))
-                if reaches(common, small + large, percent):
-                    parent[max(low, high)] = min(low, high)
-                    out.append((min(a, b), max(a, b)))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return cut_lineage(flagged.join(sets, "node").groupBy(*grouped).applyInPandas(by_grams, "a long, b long"))
+def _by_tile(rows: DataFrame, grouped: list[str]) -> DataFrame:
+    """Rows so that a block of a tile, which is bounded, lies together in one task."""
+    return rows.repartition(*grouped).sortWithinPartitions(*grouped)
+
+
+def _whole_tiles(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows in frames of whole blocks, with the position each block begins at."""
+    held = None
+    for frame in frames:
+        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        begins = _begins(frame)
+        if len(begins) > 1:
+            ready = frame.iloc[:begins[-1]]
+            yield ready, begins[:-1]
+        held = frame.iloc[begins[-1]:] if len(frame) else None
+    if held is not None:
+        yield held, np.zeros(1, np.int64)
+
+
+def _begins(frame: pd.DataFrame) -> np.ndarray:
+    by = frame[["key", "left", "right"]].to_numpy()
+    return np.flatnonzero(np.r_[True, (by[1:] != by[:-1]).any(axis=1)][:len(by)])
+
+
+def _near_by_bits(percent: int):
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, begins in _whole_tiles(frames):
+            marked = near_rows(frame["bits"].to_numpy(), frame["size"].to_numpy(), frame["component"].to_numpy(),
+                               begins, percent)
+            yield frame.loc[marked, ["key", "left", "right", "node", "component"]]
+
+    return near
+
+
+def near_rows(bits: np.ndarray, size: np.ndarray, inside: np.ndarray, begins: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows have a partner of another component in their tile whose bitmap leaves the threshold within reach.
+
+    Rows at the same distance are compared at once, across all tiles whose narrowest bitmap is as wide.
+    """
+    count = len(bits)
+    tile = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, count]))
+    width = np.fromiter(map(len, bits), np.int64, count)
+    narrow = np.minimum.reduceat(width, begins)[tile]
+    marked = np.zeros(count, bool)
+    for w in np.unique(narrow):
+        rows = np.flatnonzero(narrow == w)
+        matrix = np.empty((len(rows), w), np.uint64)
+        for own in np.unique(width[rows]):
+            here = np.flatnonzero(width[rows] == own)
+            matrix[here] = folded(np.stack([bits[i] for i in rows[here]]).view(np.uint64), w)
+        t, s, c = tile[rows], size[rows], inside[rows]
+        left, apart = np.arange(len(rows)), 0
+        while True:
+            apart += 1
+            left = left[left + apart < len(rows)]
+            left = left[t[left] == t[left + apart]]
+            if not len(left):
+                break
+            a = left[c[left] != c[left + apart]]
+            for i in range(0, len(a), 20_000):
+                x = a[i:i + 20_000]
+                y = x + apart
+                differ = np.bitwise_count(matrix[x] ^ matrix[y]).sum(axis=1, dtype=np.int64)
+                total = s[x] + s[y]
+                hit = reaches((total - differ) / 2, total, percent)
+                marked[rows[x[hit]]] = marked[rows[y[hit]]] = True
+    return marked
+
+
+def _links_by_grams(percent: int):
+    def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, begins in _whole_tiles(frames):
+            node, inside, grams = frame["node"].tolist(), frame["component"].tolist(), frame["grams"].tolist()
+            out = []
+            for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(frame)]):
+                out += _links_of_tile(node[begin:end], inside[begin:end], grams[begin:end], percent)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return links
+
+
+def _links_of_tile(node: list[int], inside: list[int], grams: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of one tile between components; once two are linked, their members are not compared again."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for i, a in enumerate(node):
+        for k in range(i + 1, len(node)):
+            low, high = root(inside[i]), root(inside[k])
+            small, large = sorted((len(grams[i]), len(grams[k])))
+            if low == high or 100 * small < percent * large:
+                continue
+            common = len(np.intersect1d(grams[i], grams[k], assume_unique=True))
+            if reaches(common, small + large, percent):
+                parent[max(low, high)] = min(low, high)
+                out.append((min(a, node[k]), max(a, node[k])))
+    return out
 
 
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text",
