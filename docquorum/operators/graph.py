@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from docquorum.functions.jsonx import typed_analysis
 from docquorum.functions.language import LANGUAGE_OF_EXTENSION
@@ -12,7 +13,7 @@ from docquorum.functions.paths import top_level
 from docquorum.functions.prompts import estimated_tokens
 from docquorum.operators.report import disagreement_summary
 from docquorum.operators.skew import HOT_ROWS, hot_keys, known_hot_keys, spread_join
-from docquorum.session import cut_lineage
+from docquorum.session import Scratch, cut_lineage
 
 ROOT_MODULE = "."
 # Default number of files in a batch.
@@ -261,8 +262,8 @@ def module_imports(edges: DataFrame) -> DataFrame:
     )
 
 
-def _counted(df: DataFrame) -> tuple[DataFrame, int]:
-    kept = cut_lineage(df)
+def _counted(scratch: Scratch, df: DataFrame) -> tuple[DataFrame, int]:
+    kept = scratch.write(df)
     return kept, kept.count()
 
 
@@ -274,25 +275,104 @@ def _trim(edges: DataFrame) -> DataFrame:
     return edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst")
 
 
-def _trim_while_useful(edges: DataFrame, size: int) -> tuple[DataFrame, int]:
+def _trim_while_useful(scratch: Scratch, edges: DataFrame, size: int) -> tuple[DataFrame, int]:
     """Trim as long as a pass removes a good part of the edges."""
     while size:
-        edges, left = _counted(_trim(edges))
+        trimmed, left = _counted(scratch, _trim(edges))
+        scratch.drop(edges)
+        edges = trimmed
         if left > TRIM_WHILE_ABOVE * size:
             return edges, left
         size = left
     return edges, size
 
 
-def _spread_labels(edges: DataFrame, hot: DataFrame | bool) -> DataFrame:
+def _low(node: str = "node") -> Column:
+    """Nodes compare by a hash, so that few rounds are needed whatever their names."""
+    return F.struct(F.xxhash64(node).alias("h"), F.col(node).alias("root"))
+
+
+def _followed(scratch: Scratch, chain: DataFrame) -> DataFrame:
+    """(node, ptr, tail, low) of chain nodes after following their ways to the end.
+
+    Every round doubles the stretch a pointer spans, so a chain takes as many rounds as its length has binary digits.
+    `tail` is the chain's last node and `ptr` null; on a ring, which has no end, `ptr` stays and `low` is the
+    least node of the ring.
+    """
+    ahead = chain.select(F.col("node").alias("nxt"), F.lit(True).alias("goes_on"))
+    on_chain = F.col("goes_on").isNotNull()
+    now = scratch.write(chain.join(ahead, "nxt", "left").select(
+        "node", F.when(on_chain, F.col("nxt")).alias("ptr"), F.when(~on_chain, F.col("node")).alias("tail"),
+        _low().alias("low"),
+    ))
+    mark = None
+    while True:
+        state = now.filter("ptr IS NOT NULL").agg(
+            F.count(F.lit(1)).alias("open"), F.expr("bit_xor(xxhash64(node, low.h))").alias("lows")
+        ).first()
+        if not state["open"] or state == mark:
+            # No chain is open, or no pointer ended and no least node fell: what is open are rings.
+            return now
+        mark = state
+        # Every node has one way in, so at most one pointer arrives at a node: the join cannot be skewed.
+        there = now.select(
+            F.col("node").alias("ptr"), F.col("ptr").alias("far"), F.col("tail").alias("far_tail"), F.col("low").alias("far_low")
+        )
+        met = now.join(there, "ptr", "left")
+        further = scratch.write(met.select(
+            "node", F.col("far").alias("ptr"), F.coalesce("tail", "far_tail").alias("tail"),
+            F.least("low", F.coalesce("far_low", "low")).alias("low"),
+        ))
+        scratch.drop(now)
+        now = further
+
+
+def _contract(
+    scratch: Scratch, edges: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None:
+    """Take nodes with one way in and one way out off the graph.
+
+    Returns the edges that are left, each chain as one edge from the node before it to the node behind it;
+    (node, before, behind) of the chains' nodes; (node, root) of rings; and the nodes a chain leads back to.
+    None when there is no such node.
+    """
+    ways_in = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("src").alias("prev"))
+    ways_out = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("dst").alias("nxt"))
+    chain = scratch.write(
+        ways_in.filter("n_in = 1").join(ways_out.filter("n_out = 1"), "node").select("node", "prev", "nxt")
+    )
+    if chain.isEmpty():
+        scratch.drop(chain)
+        return None
+    ended = _followed(scratch, chain)
+    rings = scratch.write(ended.filter("ptr IS NOT NULL").select("node", F.col("low.root").alias("root")))
+    members = chain.join(ended.filter("ptr IS NULL").select("node", "tail"), "node")
+    names = chain.select(F.col("node").alias("prev"))
+    before = members.join(names, "prev", "left_anti").select("tail", F.col("prev").alias("before"))
+    behind = members.filter("node = tail").select("tail", F.col("nxt").alias("behind"))
+    ends = scratch.write(before.join(behind, "tail"))
+    # A chain of a third of all nodes is a hot tail.
+    placed = spread_join(members.select("node", "tail"), ends, "tail", "node").select("node", "before", "behind")
+    attached = scratch.write(placed)
+    loops = scratch.write(ends.filter("before = behind").select(F.col("before").alias("node")).distinct())
+    off = chain.select("node")
+    straight = (
+        edges.join(off.withColumnRenamed("node", "src"), "src", "left_anti")
+        .join(off.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+    )
+    bridged = ends.filter("before <> behind").select(F.col("before").alias("src"), F.col("behind").alias("dst"))
+    rest = scratch.write(straight.unionByName(bridged).distinct())
+    scratch.drop(chain, ended, ends)
+    return rest, attached, rings, loops
+
+
+def _spread_labels(scratch: Scratch, edges: DataFrame, hot: DataFrame | bool) -> DataFrame:
     """(node, root): per node the least label among the nodes that reach it.
 
-    Only changed labels travel on. Labels are ordered by a hash, so that few rounds are
-    needed whatever the names.
+    Only changed labels travel on.
     """
     ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
-    own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("root"))
-    changed = labels = cut_lineage(ends.distinct().withColumn("label", own))
+    changed = labels = scratch.write(ends.distinct().withColumn("label", _low()))
     while True:
         travelling = changed.select(F.col("node").alias("src"), "label")
         arriving = (
@@ -300,18 +380,24 @@ def _spread_labels(edges: DataFrame, hot: DataFrame | bool) -> DataFrame:
             .groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("arriving"))
         )
         lower = labels.join(arriving, "node").filter(F.col("arriving") < F.col("label"))
-        changed = cut_lineage(lower.select("node", F.col("arriving").alias("label")))
+        now = scratch.write(lower.select("node", F.col("arriving").alias("label")))
+        if changed is not labels:
+            scratch.drop(changed)
+        changed = now
         if changed.isEmpty():
+            scratch.drop(changed)
             return labels.select("node", "label.root")
         newer = changed.withColumnRenamed("label", "newer")
-        labels = cut_lineage(
+        updated = scratch.write(
             labels.join(newer, "node", "left").select("node", F.coalesce("newer", "label").alias("label"))
         )
+        scratch.drop(labels)
+        labels = updated
 
 
-def _reach_back(edges: DataFrame, roots: DataFrame, hot: DataFrame | bool) -> DataFrame:
+def _reach_back(scratch: Scratch, edges: DataFrame, roots: DataFrame, hot: DataFrame | bool) -> DataFrame:
     """Nodes that reach their own root along (src, dst, root) edges within its group."""
-    reached = frontier = cut_lineage(roots)
+    reached = frontier = scratch.write(roots)
     while True:
         # A node has one root, so the node alone is the key.
         ahead = frontier.select(F.col("node").alias("dst"))
@@ -320,51 +406,93 @@ def _reach_back(edges: DataFrame, roots: DataFrame, hot: DataFrame | bool) -> Da
             .select(F.col("src").alias("node"), "root").distinct()
             .join(reached.select("node"), "node", "left_anti")
         )
-        frontier = cut_lineage(step)
+        now = scratch.write(step)
+        if frontier is not reached:
+            scratch.drop(frontier)
+        frontier = now
         if frontier.isEmpty():
             return reached
-        reached = cut_lineage(reached.unionByName(frontier))
+        more = scratch.write(reached.unionByName(frontier))
+        scratch.drop(reached)
+        reached = more
 
 
-def _groups_of_roots(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _groups_of_roots(scratch: Scratch, edges: DataFrame, hot_rows: int) -> DataFrame:
     """(node, root): for every root, all nodes it reaches and that reach it back."""
     hot_src, hot_dst = known_hot_keys(edges, "src", hot_rows), known_hot_keys(edges, "dst", hot_rows)
-    labels = _spread_labels(edges, hot_src)
+    labels = _spread_labels(scratch, edges, hot_src)
     source = labels.select(F.col("node").alias("src"), "root")
     target = labels.select(F.col("node").alias("dst"), F.col("root").alias("dst_root"))
     placed = spread_join(spread_join(edges, source, "src", "dst", hot=hot_src), target, "dst", "src", hot=hot_dst)
-    within = cut_lineage(placed.filter("root = dst_root").select("src", "dst", "root"))
-    return _reach_back(within, labels.filter("node = root"), hot_dst)
+    within = scratch.write(placed.filter("root = dst_root").select("src", "dst", "root"))
+    found = _reach_back(scratch, within, labels.filter("node = root"), hot_dst)
+    scratch.drop(within)
+    return found
+
+
+def _back_on(scratch: Scratch, groups: DataFrame, attached: DataFrame, rings: DataFrame, loops: DataFrame) -> DataFrame:
+    """Groups with the nodes of one contraction put back: a chain is on a cycle if both its ends are in one group.
+
+    A node that a chain leads back to is in a group of its own if it is in no other.
+    """
+    alone = loops.join(groups.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
+    known = groups.unionByName(alone)
+    before = known.select(F.col("node").alias("before"), "root")
+    behind = known.select(F.col("node").alias("behind"), F.col("root").alias("behind_root"))
+    met = spread_join(spread_join(attached, before, "before", "node"), behind, "behind", "node")
+    return scratch.write(
+        known.unionByName(met.filter("root = behind_root").select("node", "root")).unionByName(rings)
+    )
 
 
 def circular_dependencies(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, cycle_id) for nodes on a circular dependency; cycle_id is the least member.
 
-    Edges that cannot lie on a cycle are trimmed. Then labels spread forward, and the nodes
-    that reach their label's root back form one strongly connected group each; the groups
-    leave the graph and the rest goes round again. No list of reachable pairs is ever built.
+    Edges that cannot lie on a cycle are trimmed, and nodes with one way in and one way out are taken off, by pointer
+    doubling, so that long rings and detours cost rounds by the digits of their length. On what is left labels spread
+    forward, and the nodes that reach their label's root back form one strongly connected group each; the groups leave
+    the graph and the rest goes round again. No list of reachable pairs is ever built.
     """
-    unique = cut_lineage(edges.select("src", "dst").distinct())
-    groups = None
-    rest, size = _counted(unique.filter("src <> dst"))
+    scratch = Scratch(edges.sparkSession, "cycles")
+    unique = scratch.write(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    kind = unique.schema["src"].dataType
+    rest, size = _counted(scratch, unique.filter("src <> dst"))
+    groups = edges.sparkSession.createDataFrame([], StructType([StructField(c, kind) for c in ("node", "root")]))
+    taken_off = []
     while True:
-        rest, size = _trim_while_useful(rest, size)
+        rest, size = _trim_while_useful(scratch, rest, size)
+        if not size:
+            break
+        contracted = _contract(scratch, rest)
+        if contracted is not None:
+            left, *parts = contracted
+            scratch.drop(rest)
+            taken_off.append(parts)
+            rest, before, size = left, size, left.count()
+            if size <= TRIM_WHILE_ABOVE * before:
+                continue  # what hung on the chains may be a chain now
         if not size:
             break
-        found = _groups_of_roots(rest, hot_rows)
+        found = _groups_of_roots(scratch, rest, hot_rows)
         # A root that nothing else reaches back is passed by, not part of a cycle.
         shared = found.filter("node <> root").select("root").distinct()
         cyclic = spread_join(found, shared, "root", "node").select("node", "root")
-        groups = cyclic if groups is None else cut_lineage(groups.unionByName(cyclic))
+        groups = scratch.write(groups.unionByName(cyclic))
         done = found.select("node")
-        rest, size = _counted(
+        left, size = _counted(
+            scratch,
             rest.join(done.withColumnRenamed("node", "src"), "src", "left_anti")
             .join(done.withColumnRenamed("node", "dst"), "dst", "left_anti")
             .select("src", "dst")
         )
-    members = unique.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("root"))
-    if groups is not None:
-        members = groups.unionByName(members.join(groups.select("node"), "node", "left_anti"))
+        scratch.drop(rest)
+        rest = left
+    for attached, rings, loops in reversed(taken_off):
+        whole = _back_on(scratch, groups, attached, rings, loops)
+        scratch.drop(groups, attached, rings, loops)
+        groups = whole
+    own = unique.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("root"))
+    members = groups.unionByName(own.join(groups.select("node"), "node", "left_anti"))
     names = members.groupBy("root").agg(F.min("node").alias("cycle_id"))
     return spread_join(members, names, "root", "node").select("node", "cycle_id")
 

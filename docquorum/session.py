@@ -64,6 +64,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+class Scratch:
+    """Tables that rounds write and the next round supersedes, all below one folder.
+
+    `write` is `cut_lineage`; `drop` removes tables that nothing will read any more.
+    """
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self._root = scratch_dir(spark, purpose)
+        self._folders: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        folder = f"{self._root}/{len(self._folders)}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(folder)
+        table = df.sparkSession.read.schema(df.schema).parquet(folder)
+        self._folders[id(table)] = (table, folder)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _, folder = self._folders.pop(id(table), (None, None))
+            if folder is not None:
+                fs, path = hadoop_path(table.sparkSession, folder)
+                fs.delete(path, True)
+
+
 def posix_path(path: str) -> str:
     """Mounted-folder form of a path, for connectors that use plain file calls."""
     if path.startswith("file:"):

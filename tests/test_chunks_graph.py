@@ -187,3 +187,22 @@ def test_flagged_prompts(spark):
     )
     prompt = g.flagged_prompts(rows).collect()
     assert len(prompt) == 1 and "why" in prompt[0]["prompt"] and '{"x":1}' in prompt[0]["prompt"] and "Second" not in prompt[0]["prompt"]
+
+
+def test_long_rings_take_few_rounds(spark, monkeypatch):
+    """A ring of 1,000 nodes with a long detour and a tail: rounds follow the digits of the length, tables are removed."""
+    from docquorum import session
+
+    writes, drops = [], []
+    write, drop = session.Scratch.write, session.Scratch.drop
+    monkeypatch.setattr(session.Scratch, "write", lambda self, df: writes.append(1) or write(self, df))
+    monkeypatch.setattr(session.Scratch, "drop", lambda self, *tables: drops.extend(tables) or drop(self, *tables))
+    ring = [(i, (i + 1) % 1000) for i in range(1000)]
+    detour = [(10, 2000), *((i, i + 1) for i in range(2000, 2300)), (2300, 500)]
+    apart = [(5000 + i, 5000 + (i + 1) % 37) for i in range(37)]
+    tail = [(7, 9000), *((i, i + 1) for i in range(9000, 9005))]
+    edges = ring + detour + apart + tail
+    found = g.circular_dependencies(spark.createDataFrame(edges, "src long, dst long").repartition(4))
+    want = {**{i: 0 for i in range(1000)}, **{i: 0 for i in range(2000, 2301)}, **{5000 + i: 5000 for i in range(37)}}
+    assert {r["node"]: r["cycle_id"] for r in found.collect()} == want
+    assert len(writes) <= 45 and len(drops) >= len(writes) - 12
