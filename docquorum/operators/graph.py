@@ -16,8 +16,6 @@ from docquorum.operators.skew import HOT_ROWS, hot_keys, known_hot_keys, spread_
 from docquorum.session import Scratch, cut_lineage
 
 ROOT_MODULE = "."
-# Default number of files in a batch.
-BATCH_FILES = 50
 # Trimming goes on while a pass leaves less than this share of the edges.
 TRIM_WHILE_ABOVE = 0.9
 TEXT_FIELDS = (
@@ -161,43 +159,6 @@ def ordered_position(rows: DataFrame, group: str, order: str) -> DataFrame:
     return numbered.select(*rows.columns, position.alias("position"))
 
 
-def module_batches(records: DataFrame, batch_files: int = BATCH_FILES) -> DataFrame:
-    """(module, batch, path, tokens): files of a module in path order, `batch_files` at a time."""
-    slim = records.select(
-        module_of(F.col("path")).alias("module"), "path",
-        estimated_tokens(F.col("text")).alias("tokens"),
-    )
-    numbered = ordered_position(slim, "module", "path")
-    batch = F.floor(F.col("position") / batch_files).cast("bigint")
-    return numbered.select("module", batch.alias("batch"), "path", "tokens")
-
-
-def batch_sizes(batches: DataFrame) -> DataFrame:
-    return batches.groupBy("module", "batch").agg(
-        F.count(F.lit(1)).alias("files"), F.sum("tokens").alias("tokens")
-    )
-
-
-PROMPT_INTRO = "Describe how the files of this module work together, and name what they depend on.\n"
-
-
-def relationship_prompts(records: DataFrame, batch_files: int = BATCH_FILES) -> DataFrame:
-    """One prompt text per batch of (path, text) descriptions; a batch bounds the group."""
-    batches = module_batches(records, batch_files).select("module", "batch", "path")
-    described = batches.join(records.select("path", "text"), "path")
-    ordered = F.array_sort(F.collect_list(F.struct("path", "text")))
-    return (
-        described.groupBy("module", "batch").agg(ordered.alias("files"))
-        .select(
-            "module", "batch",
-            F.concat(
-                F.lit("# Module "), "module", F.lit("\n\n"), F.lit(PROMPT_INTRO), F.lit("\n"),
-                F.array_join(F.transform("files", lambda f: f["text"]), "\n"),
-            ).alias("prompt"),
-        )
-    )
-
-
 FLAGGED_INTRO = "Two independent descriptions of this file could not be reconciled. Settle them.\n"
 
 
@@ -230,22 +191,89 @@ def import_key(name: Column) -> Column:
     return F.regexp_replace(F.translate(bare, "/", "."), r"\.__init__\z", "")
 
 
+def _walked(folder: Column, target: Column) -> Column:
+    """The path that a relative one leads to from a folder; null when it leads out of the tree."""
+    none = F.array().cast("array<string>")
+
+    def step(at: Column, name: Column) -> Column:
+        up = F.when(F.size(at) > 0, F.slice(at, F.lit(1), F.size(at) - 1))
+        return F.when(name.isin("", "."), at).when(name == "..", up).otherwise(F.array_append(at, name))
+
+    return F.array_join(F.aggregate(F.split(F.concat(folder, F.lit("/"), target), "/"), none, step), "/")
+
+
+def _shortened(key: Column) -> Column:
+    """A dotted name without its last part, which may be something the file offers; null when nothing is left."""
+    parts = F.split(key, r"\.")
+    return F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "."))
+
+
+def _candidates(src_path: Column, target: Column) -> Column:
+    """What an import may mean, best first: structs of rank, key, and whether the key may be the end of a path.
+
+    `./a` and `../a` start from the importing file's folder, as do leading dots before a dotted name. Any other name
+    is looked for from the root, beside the importing file, then as the end of one file's path; then all this for
+    the name without its last part. Ends of paths have two parts at least, longer names go first.
+    """
+    folder = F.when(src_path.contains("/"), F.regexp_replace(src_path, "/[^/]*$", "")).otherwise("")
+    by_path = target.rlike(r"\A\.{1,2}(/|\z)")
+    dots = F.length(F.regexp_extract(target, r"\A(\.+)[^./]", 1))
+    by_dots = ~by_path & (dots > 0)
+    climbed = F.concat(F.repeat(F.lit("../"), dots - 1), F.translate(F.substring(target, dots + 1, F.length(target)), ".", "/"))
+    relative = import_key(_walked(folder, F.when(by_path, target).otherwise(climbed)))
+    free = ~by_path & ~by_dots & (target != "")
+    name = import_key(target)
+    beside = import_key(_walked(folder, target))
+    several = name.contains(".")
+    wanted = [
+        (by_path | by_dots, relative, False),
+        (free, name, False), (free, beside, False), (free & several, name, True),
+        (by_dots, _shortened(relative), False),
+        (free & several, _shortened(name), False), (free & several, _shortened(beside), False),
+        (free & _shortened(name).contains("."), _shortened(name), True),
+        (by_path, name, False),
+    ]
+    kinds = F.array(*[
+        F.struct(F.lit(rank).alias("rank"), F.when(given, key).alias("key"), F.lit(end).alias("may_end"))
+        for rank, (given, key, end) in enumerate(wanted)
+    ])
+    return F.filter(kinds, lambda c: c["key"] != "")
+
+
+def _owners(paths: DataFrame) -> DataFrame:
+    """(key, whole, ending): the file whose whole key it is, and the only file whose key ends with it."""
+    parts = F.split("key", r"\.")
+    endings = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
+        lambda first: F.struct(
+            F.array_join(F.slice(parts, first, F.size(parts)), ".").alias("key"), (first == 1).alias("is_whole")
+        ),
+    )
+    keyed = paths.withColumn("key", import_key(F.col("path"))).select("path", F.explode(endings).alias("e"))
+    return keyed.groupBy(F.col("e.key").alias("key")).agg(
+        F.min(F.when(F.col("e.is_whole"), F.col("path"))).alias("whole"),
+        F.when(F.count(F.lit(1)) == 1, F.min("path")).alias("ending"),
+    )
+
+
 def dependency_edges(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Resolve (path, imports_from) into edges (src_path, target, dst_path, modules, cross_module).
 
-    Names that match no file stay external, with a null dst_path. A large part of all files
-    may import the same name, so frequent names are spread over many tasks.
+    Names that match no file, or the end of several files' paths, stay external, with a null dst_path. A large part of
+    all files may import the same name, so frequent names are spread over many tasks.
     """
     edges = (
         records.select(F.col("path").alias("src_path"), F.explode("imports_from").alias("target"))
-        .distinct()
-        .withColumn("key", import_key(F.col("target")))
+        .filter("target IS NOT NULL").distinct()
     )
-    owners = (
-        records.select(import_key(F.col("path")).alias("key"), F.col("path").alias("dst_path"))
-        .groupBy("key").agg(F.min("dst_path").alias("dst_path"))
+    asked = edges.select("src_path", "target", F.inline(_candidates(F.col("src_path"), F.col("target"))))
+    owners = _owners(records.select("path"))
+    met = spread_join(asked, owners, "key", "src_path", "inner", hot_keys(asked, "key", hot_rows))
+    dst_path = F.when(F.col("may_end"), F.col("ending")).otherwise(F.col("whole"))
+    best = met.withColumn("dst_path", dst_path).filter("dst_path IS NOT NULL").groupBy("src_path", "target").agg(
+        F.min_by("dst_path", "rank").alias("dst_path")
     )
-    joined = spread_join(edges, owners, "key", "src_path", "left", hot_keys(edges, "key", hot_rows))
+    joined = edges.join(best, ["src_path", "target"], "left")
     src, dst = module_of(F.col("src_path")), module_of(F.col("dst_path"))
     dst = F.when(F.col("dst_path").isNotNull(), dst)
     return joined.select(

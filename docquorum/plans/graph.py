@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 from docquorum.functions.language import detect_language
 from docquorum.functions.render import render_markdown
 from docquorum.operators import graph as g
+from docquorum.operators import relationships as rel
 from docquorum.operators import state
 from docquorum.plans import views
 from docquorum.plans.annotation import MARKDOWN_SQL
 from docquorum.plans.discovery import LANGUAGES_SQL
 from docquorum.plans.registry import registered
 from docquorum.plans.state import SUMMARY_SQL
+from docquorum.session import scratch_dir
 
 MODULE_SQL = "CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '.' END"
-BATCH = 20
+BATCH, TOKENS, PROMPT_TOKENS = 20, 6_000, 1_500
 LINES, OVERLAP = 10, 3
 _SOURCE = (
     "bash|c|cc|cfg|cjs|clj|cljs|conf|cpp|cs|css|cxx|dart|dockerfile|ejs|erb|erl|ex|exs|"
@@ -84,30 +86,6 @@ def _(spark, sf):
     return g.module_rollup(corpus.withColumn("language", detect_language(F.col("path"), F.col("text"))))
 
 
-BATCHES_SQL = f"""batched AS (SELECT module, (row_number() OVER (PARTITION BY module ORDER BY path) - 1) // {BATCH} AS batch, path, tokens
-  FROM (SELECT {MODULE_SQL} AS module, path, (length(text) + 3) // 4 AS tokens FROM corpus) c)"""
-
-
-@registered("module_batches", needs=("corpus",), sql=f"WITH {BATCHES_SQL} SELECT module, batch, path, tokens FROM batched")
-def _(spark, sf):
-    return g.module_batches(views.corpus(spark, sf), BATCH)
-
-
-@registered("batch_sizes", needs=("corpus",), sql=f"""
-WITH {BATCHES_SQL} SELECT module, batch, count(*) AS files, CAST(sum(tokens) AS BIGINT) AS tokens FROM batched GROUP BY ALL""")
-def _(spark, sf):
-    return g.batch_sizes(g.module_batches(views.corpus(spark, sf), BATCH))
-
-
-@registered("relationship_prompts", needs=("records",), sql=f"""
-WITH {BATCHES_SQL}, described AS ({MARKDOWN_SQL})
-SELECT b.module, b.batch, '# Module ' || b.module || chr(10) || chr(10) || '{g.PROMPT_INTRO.strip()}' || chr(10) || chr(10)
-  || string_agg(d.text, chr(10) ORDER BY b.path) AS prompt
-FROM batched b JOIN described d ON d.path = b.path GROUP BY b.module, b.batch""")
-def _(spark, sf):
-    return g.relationship_prompts(render_markdown(views.records(spark, sf), "result"), BATCH)
-
-
 @registered("flagged_prompts", needs=("jobs",), sql=f"""
 SELECT file_path, concat('# ', file_path, chr(10), chr(10), '{g.FLAGGED_INTRO.strip()}', chr(10),
   chr(10), '## Points in conflict', chr(10), chr(10), {SUMMARY_SQL}, chr(10),
@@ -118,21 +96,36 @@ def _(spark, sf):
     return g.flagged_prompts(views.jobs(spark, sf))
 
 
-IMPORTS_SQL = f"""imports AS (SELECT c.path AS src_path, unnest(['common', CASE WHEN c.doc_id % 2 = 0 THEN t.path ELSE replace(t.path, '/', '.') END]) AS target
-  FROM corpus c JOIN corpus t ON t.doc_id = (c.doc_id * 3 + 1) % (SELECT count(*) FROM corpus)),
+# Each file imports a name that nobody has and one other file, which is named in one of five ways.
+IMPORTS_SQL = f"""imports AS (
+  SELECT c.path AS src_path, CASE c.doc_id % 5 WHEN 0 THEN t.path WHEN 1 THEN replace(t.path, '/', '.')
+      WHEN 2 THEN CASE WHEN contains(c.path, '/') THEN repeat('../', len(string_split(c.path, '/')) - 1) ELSE './' END || t.path
+      WHEN 3 THEN CASE WHEN contains(t.path, '/') THEN regexp_replace({_key_sql('t.path')}, '^[^.]*\\.', '') ELSE {_key_sql('t.path')} END
+      ELSE CASE WHEN contains({_key_sql('t.path')}, '..') THEN t.path ELSE repeat('.', len(string_split(c.path, '/'))) || {_key_sql('t.path')} || '.thing' END END AS target, {_key_sql('t.path')} AS key
+  FROM corpus c JOIN corpus t ON t.doc_id = (c.doc_id * 3 + 1) % (SELECT count(*) FROM corpus)
+  UNION ALL SELECT path, 'common', NULL FROM corpus),
 owners AS (SELECT {_key_sql('path')} AS key, min(path) AS dst_path FROM corpus GROUP BY 1),
 edges AS (SELECT i.src_path, i.target, o.dst_path, {MODULE_SQL.replace('path', 'i.src_path')} AS src_module,
   CASE WHEN o.dst_path IS NOT NULL THEN {MODULE_SQL.replace('path', 'o.dst_path')} END AS dst_module
-  FROM (SELECT DISTINCT * FROM imports) i LEFT JOIN owners o ON o.key = {_key_sql('i.target')})"""
+  FROM (SELECT DISTINCT * FROM imports) i LEFT JOIN owners o ON o.key = i.key)"""
 
 
 def _import_records(spark, sf):
-    """Every file imports one common name and one other file, by path or by dotted name."""
+    """Every file imports one common name and one other file: by path, dotted, from its own folder by path or by dots, or
+    without the top folder."""
     corpus = views.corpus(spark, sf).select("doc_id", "path")
     n = corpus.count()
     other = corpus.select(F.col("doc_id").alias("other_id"), F.col("path").alias("other"))
-    name = F.when(F.col("doc_id") % 2 == 0, F.col("other")).otherwise(F.translate("other", "/", "."))
     pairs = corpus.join(other, F.col("other_id") == (F.col("doc_id") * 3 + 1) % n)
+    way, depth, key = F.col("doc_id") % 5, F.size(F.split("path", "/")), g.import_key(F.col("other"))
+    up = F.when(depth > 1, F.repeat(F.lit("../"), depth - 1)).otherwise("./")
+    name = (
+        F.when(way == 0, F.col("other")).when(way == 1, F.translate("other", "/", "."))
+        .when(way == 2, F.concat(up, "other"))
+        .when(way == 3, F.when(F.col("other").contains("/"), F.regexp_replace(key, r"\A[^.]*\.", "")).otherwise(key))
+        .when(key.contains(".."), F.col("other"))  # hidden folders have no dotted name
+        .otherwise(F.concat(F.repeat(F.lit("."), depth), key, F.lit(".thing")))
+    )
     return pairs.select("path", F.array(F.lit("common"), name).alias("imports_from"))
 
 
@@ -142,6 +135,78 @@ def _(spark, sf):
     return g.dependency_edges(_import_records(spark, sf))
 
 
+def _packed_sql(rows: str, group: str, order: str, files: int, most: int) -> str:
+    """Greedy batches, one row after the other: rows are (group, order, tokens)."""
+    full = f"p.files >= {files} OR p.held + x.tokens > {most}"
+    return f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS n FROM ({rows}) r),
+packed AS (SELECT {group}, {order}, tokens, n, 0 AS batch, 1 AS files, tokens AS held FROM numbered WHERE n = 1
+  UNION ALL SELECT x.{group}, x.{order}, x.tokens, x.n, CASE WHEN {full} THEN p.batch + 1 ELSE p.batch END,
+    CASE WHEN {full} THEN 1 ELSE p.files + 1 END, CASE WHEN {full} THEN x.tokens ELSE p.held + x.tokens END
+  FROM packed p JOIN numbered x ON x.{group} = p.{group} AND x.n = p.n + 1)"""
+
+
+BATCHES_SQL = _packed_sql(
+    f"SELECT {MODULE_SQL} AS module, path, (length(text) + 3) // 4 AS tokens FROM corpus", "module", "path", BATCH, TOKENS)
+
+
+@registered("module_batches", needs=("corpus",), sql=f"WITH RECURSIVE {BATCHES_SQL} SELECT module, batch, path, tokens FROM packed")
+def _(spark, sf):
+    return rel.module_batches(views.corpus(spark, sf), BATCH, TOKENS)
+
+
+@registered("batch_sizes", needs=("corpus",), sql=f"""
+WITH RECURSIVE {BATCHES_SQL} SELECT module, batch, count(*) AS files, CAST(sum(tokens) AS BIGINT) AS tokens FROM packed GROUP BY ALL""")
+def _(spark, sf):
+    return rel.batch_sizes(rel.module_batches(views.corpus(spark, sf), BATCH, TOKENS))
+
+
+PROMPTS_SQL = f"""{IMPORTS_SQL}, described AS ({MARKDOWN_SQL}),
+linked AS (SELECT src_path AS path, string_agg(line, chr(10) ORDER BY line) AS links FROM (
+  SELECT DISTINCT src_path, '- ' || src_path || ' -> ' || dst_path AS line FROM edges WHERE src_module <> dst_module) l GROUP BY 1),
+whole AS (SELECT d.path, d.text, l.links, {MODULE_SQL.replace('path', 'd.path')} AS module,
+  (length(d.text) + 3) // 4 + coalesce((length(l.links) + 3) // 4, 0) AS tokens FROM described d LEFT JOIN linked l ON l.path = d.path),
+{_packed_sql("SELECT module, path, tokens FROM whole", "module", "path", BATCH, PROMPT_TOKENS - rel.HEAD_TOKENS)}"""
+
+
+@registered("relationship_prompts", needs=("records",), sql=f"""
+WITH RECURSIVE {PROMPTS_SQL}
+SELECT p.module, p.batch, '# Module ' || p.module || chr(10) || chr(10) || '{rel.PROMPT_INTRO.strip()}' || chr(10) || chr(10)
+  || string_agg(w.text, chr(10) ORDER BY p.path)
+  || coalesce(chr(10) || '## Imports from other modules' || chr(10) || chr(10) || string_agg(w.links, chr(10) ORDER BY p.path), '') AS prompt
+FROM packed p JOIN whole w ON w.path = p.path GROUP BY p.module, p.batch""")
+def _(spark, sf):
+    described = render_markdown(views.records(spark, sf), "result")
+    return rel.relationship_prompts(described, g.dependency_edges(_import_records(spark, sf)), BATCH, PROMPT_TOKENS)
+
+
+def _counting_client():
+    """Counts the described files, and adds up the counts of summaries."""
+    import json
+    import re
+
+    def chat(system: str, user: str) -> str:
+        if user.startswith("# Module "):
+            return json.dumps({"summary": f"{len(re.findall('(?m)^# ', user)) - 1} files in 1 batches"})
+        counts = re.findall("(?m)^([0-9]+) files in ([0-9]+) batches$", user)
+        return json.dumps({"summary": f"{sum(int(a) for a, _ in counts)} files in {sum(int(b) for _, b in counts)} batches"})
+
+    return chat
+
+
+@registered("relationship_map", needs=("records",), sql=f"""
+WITH RECURSIVE {PROMPTS_SQL},
+batches AS (SELECT module, batch, count(*) AS files FROM packed GROUP BY ALL)
+SELECT printf('%s#%06d', module, batch) AS name, printf('%d files in 1 batches', files) AS summary FROM batches
+UNION ALL SELECT 'all', printf('%d files in %d batches', CAST(sum(files) AS BIGINT), count(*)) FROM batches""")
+def _(spark, sf):
+    """Module prompts, then prompts over their summaries until one is left; level 0 and the last one."""
+    found = rel.relationship_map(
+        render_markdown(views.records(spark, sf), "result"), g.dependency_edges(_import_records(spark, sf)),
+        scratch_dir(spark, "map"), _counting_client, BATCH, PROMPT_TOKENS)
+    top = found.agg(F.max_by("summary", "level").alias("summary")).select(F.lit("all").alias("name"), "summary")
+    return found.filter("level = 0").select("name", "summary").unionByName(top)
+
+
 @registered("module_imports", needs=("corpus",), sql=f"""
 WITH {IMPORTS_SQL} SELECT src_module, dst_module, count(*) AS edges FROM edges WHERE src_module <> dst_module GROUP BY ALL""")
 def _(spark, sf):

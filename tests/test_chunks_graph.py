@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docquorum.operators import chunks as ch
 from docquorum.operators import graph as g
+from docquorum.operators import relationships as rel
 from docquorum.operators import state as s
 from docquorum.sources.state_store import StateStore
 from docquorum.streaming import arrivals
@@ -107,18 +108,18 @@ def test_batches_of_a_dominant_module(spark):
     names = [f"big/f{i:05d}" for i in range(3000)] + [f"m{i}/x" for i in range(30)] + ["root.txt"]
     rows = spark.createDataFrame([(n, "t" * 8) for n in names], "path string, text string").repartition(9)
     found = {}
-    for r in g.module_batches(rows, 50).collect():
+    for r in rel.module_batches(rows, 50).collect():
         found.setdefault((r["module"], r["batch"]), []).append(r["path"])
     big = sorted(n for n in names if n.startswith("big/"))
     assert [sorted(found[("big", b)]) for b in range(60)] == [big[i:i + 50] for i in range(0, 3000, 50)]
     assert found[(".", 0)] == ["root.txt"] and sum(map(len, found.values())) == len(names)
-    sizes = g.batch_sizes(g.module_batches(rows, 50)).filter("module = 'big'").collect()
+    sizes = rel.batch_sizes(rel.module_batches(rows, 50)).filter("module = 'big'").collect()
     assert {r["files"] for r in sizes} == {50} and {r["tokens"] for r in sizes} == {100}
 
 
 def test_relationship_prompts(spark):
     rows = spark.createDataFrame([(f"m/f{i}", f"text {i}") for i in (2, 0, 1)], "path string, text string")
-    prompts = g.relationship_prompts(rows, 2).orderBy("batch").collect()
+    prompts = rel.relationship_prompts(rows, None, 2).orderBy("batch").collect()
     assert len(prompts) == 2 and prompts[0]["prompt"].endswith("text 0\ntext 1") and prompts[1]["prompt"].endswith("text 2")
 
 
