@@ -39,8 +39,11 @@ from .words import byte_words
 
 BITS = 256
 BLOCK = 1500
-#: Tiles that a task is meant to look through; a range of them is one task's.
+#: Tiles that a task is meant to look through; a range of them is one task's. At least so many ranges.
 RANGE_KEYS = 2_000_000
+LEAST_RANGES = 64
+#: Texts described at a time.
+AT_ONCE = 256
 CHARS_PER_KEY = 20
 LOW_BITS = 48
 _CACHE = 200_000
@@ -163,18 +166,19 @@ def packed(keys: np.ndarray, ranges: int) -> list[tuple[int, bytes]]:
     return [(int(r), low[6 * i:6 * j]) for r, i, j in zip(dealt[begins], begins.tolist(), ends.tolist())]
 
 
-def unpacked(range_no: int, keys: bytes) -> np.ndarray:
-    """Keys of a range as numbers that are unlike those of any other range."""
-    wide = np.zeros((len(keys) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
-    return wide.view(np.int64)[:, 0] | (np.int64(range_no) << LOW_BITS)
+def unpacked(ranges: np.ndarray, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, position of the row each is from); keys of different ranges are different numbers."""
+    wide = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 6)
+    wide = np.concatenate([wide, np.zeros((len(wide), 2), np.uint8)], axis=1).view(np.int64)[:, 0]
+    row = np.repeat(np.arange(len(keys)), [len(k) // 6 for k in keys])
+    return wide | (ranges.astype(np.int64)[row] << LOW_BITS), row
 
 
 def _described(n: int, percent: int, ranges: int):
     @F.pandas_udf("size int, node long, tiles array<struct<range:int,keys:binary>>, bits array<long>")
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         cache, bands = _Hashes(), {}
-        for texts in batches:
+        for texts in (batch.iloc[i:i + AT_ONCE] for batch in batches for i in range(0, len(batch), AT_ONCE)):
             rows = []
             for text in texts:
                 grams = gram_set(text, n, cache)
@@ -190,9 +194,10 @@ def _shared_tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Tiles with several nodes, each node with the one before it in the order drawn for the tile (or itself)."""
     keys, nodes = [], []
     for frame in frames:
-        for range_no, packed_keys, node in zip(frame["range"], frame["keys"], frame["node"]):
-            keys.append(unpacked(range_no, packed_keys))
-            nodes.append(np.full(len(keys[-1]), node, np.int64))
+        if len(frame):
+            own, row = unpacked(frame["range"].to_numpy(), frame["keys"].tolist())
+            keys.append(own)
+            nodes.append(frame["node"].to_numpy(np.int64)[row])
     if not keys:
         return
     key, node = np.concatenate(keys), np.concatenate(nodes)
@@ -283,9 +288,8 @@ def _across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def link_nodes(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
     """(one row per input row: ``doc_id, text_hash, node, size``; ``node, component`` of all linked nodes)."""
-    spark = docs.sparkSession
     length = docs.agg(F.sum(F.length(text).cast("long")).alias("n")).first()["n"] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), length // (CHARS_PER_KEY * RANGE_KEYS) + 1)
+    ranges = max(LEAST_RANGES, length // (CHARS_PER_KEY * RANGE_KEYS) + 1)
     described = cut_lineage(docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
         _described(n, percent, ranges)(F.col(text)).alias("d"), F.monotonically_increasing_id().alias("row_no"),

@@ -226,3 +226,46 @@ def test_secrets(docs, odd, nothing, spark):
     assert secrets.fit(labelled.filter("label = 1")) is None
     assert secrets.scan(found, None).filter("secret").count() == 96
     assert secrets.candidates(odd, path="source").count() == 0 and secrets.candidates(nothing, path="source").count() == 0
+
+
+def test_packed_tiles_come_back():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-2**63, 2**63 - 1, 500)
+    keys[:20] = keys[20:40]
+    back = []
+    for ranges in (1, 7, 64, 5000):
+        rows = ngram_join.packed(keys, ranges)
+        assert len({r for r, _ in rows}) == len(rows) <= ranges
+        found, row = ngram_join.unpacked(np.array([r for r, _ in rows]), [k for _, k in rows])
+        assert len(found) == 500 and len(set(found.tolist())) == 480
+        low = {int(k) & (1 << ngram_join.LOW_BITS) - 1 for k in keys}
+        assert {int(k) & (1 << ngram_join.LOW_BITS) - 1 for k in found} == low
+        back.append(len(row))
+    assert ngram_join.packed(np.empty(0, np.int64), 64) == [] and back == [500] * 4
+
+
+def test_bulk_comparison_marks_what_pairs_mark():
+    """Tiles of several sizes, sets of several widths: the same marks as one pair after the other."""
+    rng = np.random.default_rng(4)
+    sets, begins, inside = [], [], []
+    for size in (1, 2, 5, 40, 3):
+        begins.append(len(sets))
+        base = rng.integers(0, 2**63, int(rng.integers(20, 900)), dtype=np.uint64)
+        for _ in range(size):
+            kept = base[rng.random(len(base)) < rng.choice([0.5, 0.93])]
+            sets.append(np.unique(np.r_[kept, rng.integers(0, 2**63, len(base) // 30, dtype=np.uint64)]))
+            inside.append(int(rng.integers(0, 4)))
+    bits = np.empty(len(sets), object)
+    bits[:] = [ngram_join.bitmap(s) for s in sets]
+    sizes, inside = np.array([len(s) for s in sets]), np.array(inside)
+    marked = ngram_join.near_rows(bits, sizes, inside, np.array(begins), 80)
+    want = np.zeros(len(sets), bool)
+    for begin, end in zip(begins, [*begins[1:], len(sets)]):
+        width = min(len(b) for b in bits[begin:end])
+        for i in range(begin, end):
+            for j in range(i + 1, end):
+                a, b = (ngram_join.folded(bits[k].view(np.uint64), width) for k in (i, j))
+                total, differ = sizes[i] + sizes[j], int(np.bitwise_count(a ^ b).sum())
+                if inside[i] != inside[j] and 100 * (total - differ) / 2 >= 80 * (total - (total - differ) / 2):
+                    want[i] = want[j] = True
+    assert (marked == want).all() and 0 < want.sum() < len(want)
