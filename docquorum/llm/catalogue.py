@@ -228,7 +228,7 @@ def op4_decontamination(spark, sf_dir):
 def op8_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = toxicity.held_out(F.col("doc_id"), 5, 0)
-    model = toxicity.fit(toxicity.labelled_sample(docs, labels.filter(~out), "toxic"))
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels.filter(~out), "toxic", zeros=toxicity.ZEROS))
     return toxicity.score_toxicity(docs, model).select(
         "doc_id", out.alias("held_out"), F.col("toxic_score").alias("score"),
         (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))

@@ -9,11 +9,11 @@ match. Strings are marked at both ends and compared by the cosine of their featu
 *Landmarks.* Strings that occur in labelled toxic documents rather than in others are the landmarks z. A string x is
 mapped to ``K(x, z) K(z, z)^(-1/2)``, where the kernel of all strings becomes a plain scalar product.
 
-*Machine.* A document is as toxic as its worst string. Labels belong to documents, so training alternates: in every
-toxic document the strings that stand out from nearly all clean documents stand for it, from every other document come
-its highest ones; a
-linear machine with squared hinge loss learns to part them. A logistic slope turns the highest score of a document
-into a probability.
+*Machine.* A document is as toxic as its worst string. Labels belong to documents, so training alternates: for a toxic
+document speak the strings that toxic documents hold far beyond chance, counted after copies are folded and over all
+labelled clean documents, or, without any, the one most like other insults; from every clean document come its highest
+strings, and all near the boundary. A linear machine with squared hinge loss learns to part them. A quarter of the sample
+only sets the boundary, where a logistic slope turns the highest score of a document into a probability of a half.
 
 *Scoring.* The decision is linear in the features, so landmarks and weights fold into one table of weights per
 subsequence, whose size is fixed. Every string of every whole text is scored with it.
@@ -21,6 +21,7 @@ subsequence, whose size is fixed. Every string of every whole text is scored wit
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,8 @@ SLOTS = 1 << 16
 LONGEST = 40
 PIECES = 6
 MOST = 1_500
+#: Clean documents counted for each toxic one of the sample; toxic documents that hold a string worth counting.
+ZEROS, LEAST_HELD = 4, 3
 _CACHE = 300_000
 _MARKS = {c: None for c in range(128) if not chr(c).isalnum()} | {ord(c): None for c in "…–—«»“”‘’¡¿·•­​"}
 
@@ -136,6 +139,10 @@ class Model:
         row, slot, weight = Features(self.decay)(many)
         return np.bincount(row, weights=weight * self.weights[slot], minlength=len(many)) + self.bias
 
+    def highest(self, bag: set[str]) -> float:
+        """A document's score: that of its worst string."""
+        return float(self.string_scores(sorted(bag)).max()) if bag else self.bias
+
     def probability(self, highest: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * highest + self.shift, -30, 30)))
 
@@ -147,40 +154,134 @@ def sample(labelled: DataFrame, most: int, label: str = "toxic", text: str = "te
     known = labelled.filter(F.col(label).isin(0, 1)).select(
         F.col(text).alias("text"), F.col(label).cast("int").alias("label"), order.alias("draw"))
     halves = [known.filter(F.col("label") == v).orderBy("draw", "text").limit(most) for v in (0, 1)]
-    return halves[0].union(halves[1]).select("text", "label")
+    return halves[0].union(halves[1])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST, text: str = "text",
-                    doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, text`` and label of at most ``most`` labelled ids of either label, drawn by a hash of the id.
+                    doc_id: str = "doc_id", zeros: int = 1) -> DataFrame:
+    """``doc_id, text`` and label of at most ``most`` labelled ids with label 1, and ``zeros`` times as many with label 0,
+    drawn by a hash of the id.
 
-    The ids are drawn before their texts are looked up. There are at most two times ``most``, so they are broadcast and
-    no text is shuffled.
+    The ids are drawn before their texts are looked up. Their number is bounded, so they are broadcast and no text is
+    shuffled.
     """
     known = labels.filter(F.col(label).isin(0, 1)).select(doc_id, label)
     draw = F.xxhash64(F.col(doc_id).cast("string"))
-    halves = [known.filter(F.col(label) == v).orderBy(draw, doc_id).limit(most) for v in (0, 1)]
+    halves = [known.filter(F.col(label) == v).orderBy(draw, doc_id).limit(n) for v, n in ((0, zeros * most), (1, most))]
     return docs.select(doc_id, text).join(F.broadcast(halves[0].union(halves[1])), doc_id)
 
 
 def fit(labelled: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", most: int = MOST,
-        landmarks: int = 400, rounds: int = 3, decay: float = 0.5, most_chars: int = 2_000_000) -> Model:
-    """Train on a bounded sample of labelled documents: ``most`` of either label, and of these in the order of their
-    draw as many as fit into ``most_chars`` characters of either label, each text whole. With a single label, or
-    without rows, the model knows that label's share alone.
+        landmarks: int = 400, rounds: int = 5, decay: float = 0.5, most_chars: int = 2_000_000) -> Model:
+    """Train on a bounded sample of labelled documents: ``most`` of either label, and of these, in the order of their
+    draw and whatever their length, as many as fit into ``most_chars`` characters of either label (one at least), each
+    text whole. How many clean documents hold what looks like an insult is counted over all labelled rows. With a
+    single label, or without rows, the model knows that label's share alone.
     """
     rows = sample(labelled, most, label, text, doc_id).collect()
-    room = {0: most_chars, 1: most_chars}
     texts, labels = [], []
-    for row in sorted(rows, key=lambda r: (r["label"], len(r["text"] or ""))):
-        room[row["label"]] -= len(row["text"] or "")
-        if room[row["label"]] >= 0:
+    for value in (0, 1):
+        room = most_chars
+        for row in sorted((r for r in rows if r["label"] == value), key=lambda r: r["draw"]):
+            room -= len(row["text"] or "")
+            if room < 0 and value in labels:
+                break
             texts.append(row["text"])
-            labels.append(row["label"])
-    return train([strings(t) for t in texts], np.array(labels, int), landmarks, rounds, decay)
+            labels.append(value)
+    first = first_of_copies([strings(t) for t in texts])
+    bags, labels = [bag for bag in first if bag is not None], [v for v, bag in zip(labels, first) if bag is not None]
+    held: dict[str, int] = {}
+    for bag, value in zip(bags, labels):
+        for s in bag if value else ():
+            held[s] = held.get(s, 0) + 1
+    often = {s for s, n in held.items() if n >= LEAST_HELD}
+    return train(bags, np.array(labels, int), landmarks, rounds, decay, clean_counts(labelled, often, label, text))
+
+
+def first_of_copies(bags: list[set[str]], sketch: int = 16, shared: int = 8) -> list[set[str] | None]:
+    """The bags, with None for (near) copies of an earlier one, whose every string would else look like an insult.
+
+    Copies are told by the rarer strings with the least hashes, of which they share half.
+    """
+    held: dict[str, int] = {}
+    for bag in bags:
+        for s in bag:
+            held[s] = held.get(s, 0) + 1
+    common = max(20, len(bags) // 50)
+    seen: dict[int, list[int]] = {}
+    out: list[set[str] | None] = []
+    for n, bag in enumerate(bags):
+        least = sorted(zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in bag if held[s] <= common)[:sketch]
+        met: dict[int, int] = {}
+        for h in least:
+            for other in seen.get(h, ()):
+                met[other] = met.get(other, 0) + 1
+        if least and max(met.values(), default=0) >= min(shared, len(least)):
+            out.append(None)
+            continue
+        for h in least:
+            seen.setdefault(h, []).append(n)
+        out.append(bag)
+    return out
+
+
+def clean_counts(labelled: DataFrame, often: set[str], label: str, text: str) -> tuple[int, dict[str, int]]:
+    """(number of all rows with label 0, how many of them hold each of these strings, which a sample bounds)."""
+    clean = labelled.filter(F.col(label) == 0).select(F.col(text).alias("text"))
+    shared = labelled.sparkSession.sparkContext.broadcast(often)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, found = 0, {}
+        for frame in frames:
+            rows += len(frame)
+            for t in frame["text"]:
+                for s in strings(t) & shared.value:
+                    found[s] = found.get(s, 0) + 1
+        if rows:
+            yield pd.DataFrame([("", rows), *found.items()], columns=["string", "n"])
+
+    sums = clean.mapInPandas(count, "string string, n long").groupBy("string").agg(F.sum("n").alias("n"))
+    found = {r["string"]: r["n"] for r in sums.collect()}
+    return found.pop("", 0), found
+
+
+def train(bags: list[set[str]], labels: np.ndarray, landmarks: int, rounds: int, decay: float,
+          clean: tuple[int, dict[str, int]] | None = None) -> Model:
+    """Train on strings of documents; ``clean`` tells how many clean documents, of how many, hold strings that several
+    toxic ones do, by default those given.
+
+    A quarter of either label's documents only sets the boundary, where there are twenty for it at least."""
+    turn = np.empty(len(labels), int)
+    for value in set(labels.tolist()):
+        turn[labels == value] = np.arange((labels == value).sum())
+    aside = turn % 4 == 3
+    if len(labels) and min((aside & (labels == v)).sum() for v in (0, 1)) < 20:
+        aside[:] = False
+    learnt = [bag for bag, out in zip(bags, aside) if not out]
+    model = _train(learnt, labels[~aside], landmarks, rounds, decay, clean)
+    judged = aside if aside.any() else ~aside
+    highest = np.array([model.highest(bag) for bag, own in zip(bags, judged) if own])
+    if model.slope:
+        boundary = _boundary(highest, labels[judged]) if aside.any() else 0.0
+        model.slope = max(_logistic(highest, labels[judged])[0], 1.0)
+        model.shift = -model.slope * boundary
+    return model
 
 
-def train(bags: list[set[str]], labels: np.ndarray, landmarks: int, rounds: int, decay: float) -> Model:
+def _boundary(highest: np.ndarray, labels: np.ndarray) -> float:
+    """The middle of the best stretch of scores to part held-out documents, a false alarm counting as two misses."""
+    cuts = np.unique(highest)
+    cuts = np.r_[cuts[0] - 1, cuts, cuts[-1] + 1]
+    middle = (cuts[1:] + cuts[:-1]) / 2
+    caught = 1 - np.searchsorted(np.sort(highest[labels == 1]), middle) / max((labels == 1).sum(), 1)
+    alarms = 1 - np.searchsorted(np.sort(highest[labels == 0]), middle) / max((labels == 0).sum(), 1)
+    gain = caught - 2 * alarms
+    best = np.flatnonzero(gain >= gain.max() - 1e-12)
+    return float(np.clip((cuts[best[0]] + cuts[best[-1] + 1]) / 2, -0.5, 0.8))
+
+
+def _train(bags: list[set[str]], labels: np.ndarray, landmarks: int, rounds: int, decay: float,
+           clean: tuple[int, dict[str, int]] | None) -> Model:
     share = float((labels.sum() + 0.5) / (len(labels) + 1))
     flat = Model(np.zeros(SLOTS), 0.0, 0.0, float(np.log(share / (1 - share))), decay)
     if len(set(labels.tolist())) < 2:
@@ -215,30 +316,50 @@ def train(bags: list[set[str]], labels: np.ndarray, landmarks: int, rounds: int,
     counts = np.array([[seen[v].get(s, 0) for s in kinds] for v in (0, 1)], float)
     score = per_string(apart(held)) / np.maximum(per_string(np.ones(SLOTS)), 1e-9) + apart(counts)
 
-    # A string that clean documents hold about as often is no insult, however much it looks like one.
-    telling = (counts[1] + 0.5) / totals[1] >= 4 * (counts[0] + 0.5) / totals[0]
-    model = flat
+    # A string that clean documents hold about as often is no insult, however much it looks like one; one that toxic
+    # documents hold so often that chance would bring forth no such string among all is one, however rare its language.
+    of_all = totals.copy()
+    if clean is not None and clean[0] >= totals[0]:
+        of_all[0] = clean[0]
+        counts[0] = [clean[1].get(s, 0) if c >= LEAST_HELD else n * clean[0] / totals[0]
+                     for s, c, n in zip(kinds, counts[1], counts[0])]
+    telling = (counts[1] + 0.5) / of_all[1] >= 4 * (counts[0] + 0.5) / of_all[0]
+    certain = telling & (counts[1] >= LEAST_HELD) & beyond_chance(counts, of_all)
+    toxic = [bag for bag, label in zip(members, labels) if label]
+    spotless = [bag for bag, label in zip(members, labels) if not label and len(bag)]
+    # Where such strings tell most toxic documents, the others' labels are not pinned on words that chance picks.
+    mostly = 2 * sum(certain[bag].any() for bag in toxic) >= len(toxic)
+    model, known = flat, np.empty(0, np.int64)
     for turn in range(rounds):
-        worst = [bag[np.argmax(score[bag])] if len(bag) else -1 for bag in members]
-        clean = [score[w] for w, label in zip(worst, labels) if not label and w >= 0]
-        limit = np.quantile(clean, 0.99) if clean else -np.inf
+        highest = [score[bag].max() for bag in spotless]
+        limit = np.quantile(highest, 0.99) if highest else -np.inf
         if turn:  # scores now are margins; half of one is clear enough
-            limit = min(limit, 0.5)
-        above = [bag[score[bag] > limit] for bag, label in zip(members, labels) if label]
-        positive = np.concatenate(above) if above else np.empty(0, np.int64)
-        positive = positive[telling[positive]]
-        if not len(positive):  # no string stands out, so each toxic document is spoken for by its highest one
-            positive = np.array([w for w, label in zip(worst, labels) if label and w >= 0], np.int64)
+            limit = max(min(limit, 0.5), 0.3)
+        speaking = []
+        for bag in toxic:
+            own = bag[certain[bag]]
+            if not len(own) and len(bag):  # what is like the others' insults, or just the highest string, speaks for it
+                own = bag[telling[bag]]
+                own = own[np.argsort(-score[own], kind="stable")[:1 if mostly else 3]]
+                own = own[score[own] > limit] if mostly or (score[own] > limit).any() else own[:1]
+            speaking.append(own)
+        positive = np.concatenate(speaking) if speaking else np.empty(0, np.int64)
+        if not len(positive):
+            positive = np.array([bag[np.argmax(score[bag])] for bag in toxic if len(bag)], np.int64)
         negative = np.unique(np.concatenate([
-            bag[np.argsort(-score[bag], kind="stable")[:6]] for bag, label in zip(members, labels) if not label and len(bag)
+            bag[np.argsort(-score[bag], kind="stable")[:6]] if not turn
+            else np.union1d(bag[np.argsort(-score[bag], kind="stable")[:6]], bag[score[bag] > -0.3]) for bag in spotless
         ] or [np.empty(0, np.int64)]))
-        negative = np.setdiff1d(negative, positive)
+        negative = known = np.setdiff1d(np.union1d(negative, known), positive)
         if not len(positive) or not len(negative):
             break
         hits, times = np.unique(positive, return_counts=True)
-        top = hits[np.argsort(-times, kind="stable")][:landmarks // 2]
-        spread = np.linspace(0, len(negative) - 1, min(landmarks // 2, len(negative))).astype(int)
-        marks = np.concatenate([top, negative[spread]])
+        top = _covering(speaking, hits, landmarks // 2)
+        # Half of the clean landmarks are those that look most like insults, half are from anywhere.
+        hard = negative[np.argsort(-score[negative], kind="stable")[:landmarks // 4]] if turn else negative[:0]
+        others = np.setdiff1d(negative, hard)
+        spread = np.linspace(0, len(others) - 1, min(landmarks // 2 - len(hard), len(others))).astype(int)
+        marks = np.concatenate([top, hard, others[spread]])
         phi = np.zeros((len(marks), SLOTS), np.float32)
         for n, i in enumerate(marks):
             phi[n, slot[begins[i]:begins[i + 1]]] = weight[begins[i]:begins[i + 1]]
@@ -255,32 +376,80 @@ def train(bags: list[set[str]], labels: np.ndarray, landmarks: int, rounds: int,
             return out @ root
 
         x, y = mapped(used), np.r_[np.ones(len(hits)), -np.ones(len(negative))]
-        cost = np.r_[0.5 * times / times.sum(), np.full(len(negative), 0.5 / len(negative))]
+        # Frequent words weigh more, but do not drown the rest. Both labels have one scale: a clean word that looks like
+        # an insult counts as much as the insult.
+        often = np.sqrt(np.r_[times, 1 + counts[0][negative]])
+        cost = often / often[:len(hits)].sum()
         theta, bias = _squared_hinge(x, y, cost)
         folded = (root @ theta) @ phi
         score = per_string(folded.astype(np.float64)) + bias
         model = Model(folded.astype(np.float64), float(bias), 1.0, 0.0, decay)
-    highest = np.array([score[bag].max() if len(bag) else model.bias for bag in members])
-    # A probability of a half stands at the machine's own boundary; documents whose insults nothing told apart would
-    # else pull it towards clean strings.
-    model.slope, model.shift = max(_logistic(highest, labels)[0], 1.0), 0.0
     return model
 
 
+def beyond_chance(counts: np.ndarray, totals: np.ndarray, expected: float = 0.001) -> np.ndarray:
+    """Strings held by toxic documents so much more often than by clean ones that fewer than ``expected`` of all strings
+    as frequent would be so by chance (likelihood ratio of the split, times the number of such strings)."""
+    both = counts.sum(axis=0)
+    share = totals / totals.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(counts > 0, counts * np.log(counts / (both * share[:, None])), 0.0).sum(axis=0)
+    at_least = len(both) - np.searchsorted(np.sort(both), both)
+    return (counts[1] > both * share[1]) & (np.log(at_least) - ratio < np.log(expected))
+
+
+def _covering(speaking: list[np.ndarray], hits: np.ndarray, most: int) -> np.ndarray:
+    """Landmarks from the strings that speak for documents: each next one where fewest have been taken so far, so that
+    the insults of a rare language get theirs beside those of a frequent one."""
+    if len(hits) <= most:
+        return hits
+    where = [np.searchsorted(hits, own) for own in speaking]
+    held = [[] for _ in hits]
+    for n, own in enumerate(where):
+        for i in own.tolist():
+            held[i].append(n)
+    held = [np.array(h, np.int64) for h in held]
+    taken = np.zeros(len(speaking))
+    gain = np.array([float(len(h)) for h in held])
+    chosen = []
+    for _ in range(most):
+        best = int(np.argmax(gain))
+        chosen.append(best)
+        for n in held[best].tolist():
+            old, taken[n] = (1 + taken[n]) ** -2.0, taken[n] + 1
+            gain[where[n]] -= old - (1 + taken[n]) ** -2.0
+        gain[best] = -np.inf
+    return hits[np.sort(chosen)]
+
+
 def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Linear machine by Newton's method on the squared hinge; only margins below one count."""
     design = np.c_[x, np.ones(len(x))]
     theta = np.zeros(design.shape[1])
     penalty = np.full(len(theta), ridge)
     penalty[-1] = 1e-8
-    for _ in range(30):
+
+    def objective(t: np.ndarray) -> float:
+        missing = np.maximum(1 - y * (design @ t), 0)
+        return float((cost * missing * missing).sum() + (penalty * t * t).sum())
+
+    now = objective(theta)
+    for _ in range(100):
         short = 1 - y * (design @ theta) > 0
         part = design[short]
-        step = np.linalg.solve(
+        goal = np.linalg.solve(
             part.T @ (part * cost[short, None]) + np.diag(penalty), part.T @ (cost[short] * y[short]))
-        if np.allclose(step, theta, atol=1e-9):
+        # A full step may overshoot as examples enter the margin, so it is shortened until it helps.
+        length, better = 1.0, now
+        while length > 1e-6:
+            step = theta + length * (goal - theta)
+            better = objective(step)
+            if better < now:
+                break
+            length /= 2
+        if not better < now * (1 - 1e-10):
             break
-        theta = step
+        theta, now = step, better
     return theta[:-1], float(theta[-1])
 
 
@@ -326,7 +495,8 @@ def scorer(spark, model: Model):
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All rows and columns, and ``toxic_score``.
 
-    A null or empty text, or one without a word of three characters, gets the score of no evidence. Repeated rows are
+    A null or empty text, or one whose words are all marks or make no string of three characters even put together, gets
+    the score of no evidence. Repeated rows are
     scored alike; an empty table gives an empty result; a column of the input named ``toxic_score`` is replaced.
     """
     return docs.withColumn("toxic_score", scorer(docs.sparkSession, model)(F.col(text)))

@@ -269,3 +269,45 @@ def test_bulk_comparison_marks_what_pairs_mark():
                 if inside[i] != inside[j] and 100 * (total - differ) / 2 >= 80 * (total - (total - differ) / 2):
                     want[i] = want[j] = True
     assert (marked == want).all() and 0 < want.sum() < len(want)
+
+
+def test_kernel_against_plain_subsequences():
+    """Cosines of the hashed features are those of all subsequences of three characters within the span."""
+    def plain(s):
+        out = {}
+        for i in range(len(s)):
+            for j in range(i + 1, min(i + toxicity.SPAN, len(s))):
+                for k in range(j + 1, min(i + toxicity.SPAN, len(s))):
+                    key = s[i] + s[j] + s[k]
+                    out[key] = out.get(key, 0.0) + 0.5 ** (k - i + 1 - 3)
+        return out
+
+    many = ["^idiot$", "^idiiot$", "^xixdxixoxtx$", "^fool$", "^aaaaa$", "^łódź$"]
+    row, slot, weight = toxicity.Features(0.5)(many)
+    vectors = np.zeros((len(many), toxicity.SLOTS))
+    vectors[row, slot] = weight
+    for i, a in enumerate(map(plain, many)):
+        for k, b in enumerate(map(plain, many)):
+            dot = sum(v * b.get(key, 0.0) for key, v in a.items())
+            cosine = dot / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+            assert abs(vectors[i] @ vectors[k] - cosine) < 1e-5
+    assert vectors[0] @ vectors[1] > 0.5 > vectors[0] @ vectors[3]
+
+
+def test_copies_are_folded_before_strings_are_counted():
+    rng = random.Random(2)
+    bags = [{f"w{rng.randrange(10_000)}" for _ in range(60)} for _ in range(50)]
+    copy = set(bags[3])
+    near = set(sorted(bags[4])[:-3]) | {"new"}
+    found = toxicity.first_of_copies([*bags, copy, near, set(), set()])
+    assert found[:50] == bags and found[50] is None and found[51] is None and found[52:] == [set(), set()]
+
+
+def test_strings_beyond_chance():
+    counts = np.array([[0, 0, 500, 40, 3], [30, 2, 60, 4, 40]], float)
+    assert toxicity.beyond_chance(counts, np.array([4000, 500])).tolist() == [True, False, False, False, True]
+
+
+def test_boundary_stands_between_held_out_documents():
+    highest, labels = np.array([-1.0, -0.5, 0.1, 0.9, 1.1, 1.2]), np.array([0, 0, 0, 1, 1, 1])
+    assert 0.1 < toxicity._boundary(highest, labels) < 0.9
