@@ -22,8 +22,8 @@ STYLES = tuple(WHOLE_REPLY)
 BLOCK = 4096
 
 
-def parse_chunks(lines: DataFrame, style: str) -> DataFrame:
-    """Stateless part: (request_id, seq, token, stop) per line.
+def parse_chunks(lines: DataFrame, style: str, *more: str) -> DataFrame:
+    """Stateless part: (request_id, seq, token, stop) per line, and `more` columns of it.
 
     Works the same on a batch and on a stream. `token` is null for lines without text. A
     ``data:`` end marker carries no token; in the line format the final line's token counts.
@@ -39,7 +39,7 @@ def parse_chunks(lines: DataFrame, style: str) -> DataFrame:
         token = member(parsed, LINES_TOKEN, "string")
     else:
         raise ValueError(f"style must be one of {STYLES}")
-    return lines.select("request_id", "seq", token.alias("token"), stop.alias("stop"))
+    return lines.select("request_id", "seq", token.alias("token"), stop.alias("stop"), *more)
 
 
 def _cut_and_join(items: Column, text: str) -> Column:

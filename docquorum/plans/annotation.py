@@ -16,6 +16,7 @@ from docquorum.plans.discovery import _HINT_OF, _KEY_OF, LANGUAGES_SQL
 from docquorum.plans.registry import registered
 from docquorum.session import scratch_dir
 from docquorum.streaming.arrivals import stream_chunks, streamed_replies
+from docquorum.streaming.replies import REPLY_DDL, stream_replies
 
 
 def _lit(text: str) -> str:
@@ -323,3 +324,15 @@ def _(spark, sf):
         "conv_id", "turn", ch.complete_reply(F.col("data"), "data").alias("from_data"),
         ch.complete_reply(F.col("lines"), "lines").alias("from_lines"),
     )
+
+
+@registered("streamed_replies", needs=("chunks",), sql=_DATA_SQL)
+def _(spark, sf):
+    """Replies given out on the stream as they end; those without an end when the watermark has passed them."""
+    schema = views.table(spark, sf, "conversations").schema
+    conversations = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    at = F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("seq") * 60_000)
+    lines = views.chunk_lines_of(conversations).withColumn("at", at)
+    out = scratch_dir(spark, "replies")
+    stream_replies(lines, "data", "0 seconds", f"{out}/table", f"{out}/progress").awaitTermination()
+    return spark.read.schema(REPLY_DDL).parquet(f"{out}/table").select("request_id", "text")

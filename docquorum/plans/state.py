@@ -16,7 +16,7 @@ from docquorum.plans.discovery import (
 from docquorum.plans.registry import registered
 from docquorum.session import scratch_dir
 from docquorum.sources.state_store import StateStore
-from docquorum.sources.text_tree import flagged_json
+from docquorum.sources.text_tree import flagged_json, write_report
 from docquorum.streaming.arrivals import track_arrivals
 
 
@@ -319,6 +319,15 @@ def run_report(spark, sf):
     return r.run_report(views.jobs(spark, sf), started, discovered_files(spark, sf, ordered=False), F.lit("2024-06-01T14:30:00Z"))
 
 
+@registered("written_report", needs=("jobs",), sql=f"""
+SELECT string_agg(line, chr(10) ORDER BY section, position) || chr(10) AS text FROM ({REPORT_SQL}) r""")
+def _(spark, sf):
+    """The report as one file, read back whole."""
+    path = f"{scratch_dir(spark, 'report')}/run_report.md"
+    write_report(run_report(spark, sf), path)
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
+
+
 @registered("resumed_run_report", needs=("jobs",), sql=REPORT_SQL.replace("Started:** 2024-06-01T12:00:00Z", "Started:** 2024-06-01T14:10:00Z").replace("2h 30m", "20m"))
 def _(spark, sf):
     """A run that was resumed reports its own start, not the first one."""

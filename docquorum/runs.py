@@ -135,7 +135,7 @@ def analyze(
     )
     write_flagged(changed, output_dir)
     report = run_report(store.jobs(), store.metadata(), found, started_at=F.lit(started))
-    write_report(report, f"{output_dir}/run_report")
+    write_report(report, f"{output_dir}/run_report.md")
     return RunResult(store.jobs(), outcomes, report, rules.names, run.connection_lost)
 
 

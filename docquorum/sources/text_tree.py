@@ -16,7 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from docquorum.functions.jsonx import parse_field
 from docquorum.functions.render import render_markdown
-from docquorum.session import posix_path
+from docquorum.session import hadoop_path, posix_path
 
 
 def safe_target(root: str, path: str) -> str:
@@ -84,6 +84,30 @@ def write_flagged(jobs: DataFrame, output_dir: str) -> None:
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """Report lines in order, as the parts of one text folder."""
-    ordered = lines.orderBy("section", "position")
-    ordered.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+    """Report lines in order, as one text file that appears when it is complete.
+
+    Tasks write the ordered parts; the commit joins them in partition order, byte by byte and in constant memory, and
+    puts the file in place by renaming, so an earlier report stays until then. Any storage Spark can write will do.
+    """
+    spark = lines.sparkSession
+    parts = f"{path}.{uuid.uuid4().hex}.parts"
+    lines.orderBy("section", "position").select(F.col("line").alias("value")).write.text(parts)
+    fs, folder = hadoop_path(spark, parts)
+    _, partial = hadoop_path(spark, f"{parts}.joined")
+    _, target = hadoop_path(spark, path)
+    copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    names = sorted(status.getPath().getName() for status in fs.listStatus(folder))
+    out = fs.create(partial, True)
+    try:
+        for name in (n for n in names if n.startswith("part-")):
+            source = fs.open(hadoop_path(spark, f"{parts}/{name}")[1])
+            try:
+                copy(source, out, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+    fs.delete(target, True)
+    if not fs.rename(partial, target):
+        raise OSError(f"could not put the report in place: {path}")
+    fs.delete(folder, True)

@@ -163,8 +163,12 @@ def test_written_trees(spark, tmp_path):
     assert list(history) == ["file_path", "status", "retry_count", "pass1_result", "pass2_result", "quorum_result", "error_log"]
     assert not (tmp_path / "out/flagged/b.json").exists()
     lines = spark.createDataFrame([(1, "b", "three"), (0, "01", "two"), (0, "00", "one")], "section int, position string, line string")
-    tt.write_report(lines, f"{out}/report")
-    assert [r["value"] for r in spark.read.text(f"{out}/report").orderBy(F.input_file_name()).collect()] == ["one", "two", "three"]
+    tt.write_report(lines, f"{out}/run_report.md")
+    assert (tmp_path / "out/run_report.md").read_text() == "one\ntwo\nthree\n"
+    many = spark.range(5_000).selectExpr("1 section", "format_string('%05d', id) position", "concat('line ', id) line").repartition(7)
+    tt.write_report(many, f"{out}/run_report.md")
+    assert (tmp_path / "out/run_report.md").read_text() == "".join(f"line {i}\n" for i in range(5_000))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if "report" in p.name and not p.name.startswith(".")) == ["run_report.md"]
 
 
 @pytest.mark.parametrize("path", ["../x", "/etc/x", "a/../../x", "a//b"])
