@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docquorum.operators.chunks import assemble_chunks, parse_chunks
 from docquorum.operators.state import jobs_to_add
-from docquorum.sources.state_store import StateStore
+from docquorum.sources.state_store import StateStore, bucket_of
 
 TOKEN_DDL = "request_id bigint, seq bigint, token string, stop boolean"
 
@@ -18,12 +18,17 @@ def track_arrivals(
 ) -> StreamingQuery:
     """Add each batch of arriving paths to the job table, as a delta of the new rows.
 
-    Inserting only absent paths makes a repeated batch harmless. Every `compact_every`
-    batches the deltas are folded into a snapshot.
+    A batch reads only the buckets of the job table that its paths fall into. Inserting only absent paths makes a
+    repeated batch harmless. Every `compact_every` batches the deltas are folded into a snapshot, and folders it
+    supersedes are removed.
     """
     def add(batch: DataFrame, number: int) -> None:
-        fresh = jobs_to_add(store.jobs(), batch.select(F.col(batch.columns[0]).alias("file_path")))
-        store.append(fresh)
+        arrived = batch.select(F.col(batch.columns[0]).alias("file_path")).distinct()
+        arrived.persist()  # a batch may not be read twice from every source
+        touched = [row["bucket"] for row in arrived.select(bucket_of(F.col("file_path")).alias("bucket")).distinct().collect()]
+        if touched:
+            store.append(jobs_to_add(store.jobs(touched), arrived))
+        arrived.unpersist()
         if number and number % compact_every == 0:
             store.compact()
 

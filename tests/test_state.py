@@ -185,3 +185,30 @@ def test_store_fills_columns_its_caller_does_not_have(spark, tmp_path):
     assert statuses(store.jobs()) == {"a": "complete", "b": "error"}
     assert store.jobs().columns == [f.strip().split(" ")[0] for f in s.JOB_DDL.split(",")]
     assert {r["content_hash"] for r in store.jobs().collect()} == {None}
+
+
+def test_buckets_and_superseded_folders(spark, tmp_path):
+    """Some buckets read alone; folders before the last snapshot but one go; plain folders of earlier stores are read."""
+    from docquorum.sources.state_store import BUCKETS, bucket_of
+
+    names = [f"d/f{i}" for i in range(300)]
+    store = StateStore(spark, str(tmp_path / "state"))
+    jobs(spark, *[(n, "pending") for n in names]).write.parquet(str(tmp_path / "state/jobs/full-00000001"))  # an old store
+    store.append(jobs(spark, *[(n, "complete") for n in names[:100]]))
+    where = {r["file_path"]: r["b"] for r in paths(spark, *names).toDF("file_path").withColumn("b", bucket_of(F.col("file_path"))).collect()}
+    assert set(where.values()) <= set(range(BUCKETS)) and len(set(where.values())) > BUCKETS // 2
+    want = {n: "complete" if i < 100 else "pending" for i, n in enumerate(names)}
+    some = [where[names[0]], where[names[200]]]
+    assert statuses(store.jobs()) == want
+    assert statuses(store.jobs(some)) == {n: s_ for n, s_ in want.items() if where[n] in some}
+    store.set_metadata(s.run_started(store.metadata(), "/r", "m", F.lit("2024-06-01 12:00:00").cast("timestamp")))
+    assert store.compact() == 3 and statuses(store.jobs(some)) == {n: s_ for n, s_ in want.items() if where[n] in some}
+    files = store.jobs(some).inputFiles()
+    assert files and all(any(f"/bucket={b}/" in f for b in some) for f in files)
+    store.append(jobs(spark, (names[5], "flagged")))
+    assert statuses(store.jobs([where[names[5]]]))[names[5]] == "flagged"
+    assert store.compact() == 5
+    left = sorted(p.name for p in (tmp_path / "state/jobs").iterdir() if not p.name.startswith("."))
+    assert left == ["delta-00000004", "full-00000003", "full-00000005"]
+    assert statuses(store.jobs()) == {**want, names[5]: "flagged"} and store.version() == 5
+    assert {r["key"] for r in store.metadata().collect()} == {"repo_path", "model", "started_at"}
