@@ -1,123 +1,89 @@
-"""``file_tree``: a file tree on a mounted folder as rows of (path, size, content).
+"""A file tree on a mounted folder as rows of (path, size, content).
 
-Hidden names and dotfiles are included, links to directories are not followed. Options:
-``path``; ``withContent`` (``none``, ``head`` for the sniffed bytes, ``full``, the default);
-``pruneDirs``, a comma-separated list of directory names never entered; ``targetPartitions``.
-A directory without read permission is one row without a size, its path ending in a slash.
+Hidden names and dotfiles are included, links to directories are not followed. A directory without read permission is
+one row without a size, its path ending in a slash.
+
+Folders are rows: each job lists one level of the tree, every folder once, in the task it was dealt to, and its
+folders are the rows of the next job. Files of all levels are then dealt out anew to be read, so that neither a deep
+subtree nor a wide folder holds up a single task. A folder's own listing cannot be split; it streams.
 """
 
 from __future__ import annotations
 
 import os
-from collections import deque
 from collections.abc import Iterator
-from itertools import chain
-from typing import NamedTuple
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from docquorum.functions.paths import decode_text
-from docquorum.session import posix_path
+from docquorum.session import Scratch, posix_path
 
 HEAD_BYTES = 8192
-# Files of one wide directory per partition, rows and bytes per Arrow batch.
-FILES_PER_SLICE = 2_000
-PIECES_PER_PARTITION = 8
+# Rows and bytes per Arrow batch of contents, rows per batch of a listing.
 BATCH_ROWS = 256
 BATCH_BYTES = 32 << 20
-# The driver opens at most this many directories while it looks for subtrees.
-MAX_EXPANDED = 10_000
-
-
-class Piece(NamedTuple):
-    """A directory to read: everything below it, or one slice of the files directly in it."""
-
-    folder: str
-    deep: bool
-    index: int = 0
-    slices: int = 1
-
+LISTED_ROWS = 10_000
+FOLDER, FILE, UNREADABLE = "folder", "file", "unreadable"
+CONTENTS = ("none", "head", "full")
 
-class Pieces(InputPartition):
-    def __init__(self, pieces: list[Piece]):
-        super().__init__([tuple(piece) for piece in pieces])
 
+def _entries(root: str, folder: str, prune: frozenset[str]) -> Iterator[tuple[str, str]]:
+    """(path, kind) of what stands in one folder, as it is listed; paths are relative to the root.
 
-class _Settings(NamedTuple):
-    root: str
-    content: str
-    prune: frozenset[str]
-    target: int
-
-
-def _entries(folder: str, prune: frozenset[str]) -> tuple[list[str], list[str]] | None:
-    """(directories to enter, file names) of one folder, sorted; None if it may not be read.
-
-    A folder that went away since its parent was listed is empty. Any other fault, such as one of a network
-    mount, is raised: its files must not look deleted.
+    A folder that may not be read stands for itself, with a slash at its end. One that went away since its parent
+    was listed is empty. Any other fault, such as one of a network mount, is raised: its files must not look deleted.
     """
-    dirs, files = [], []
+    before = f"{folder}/" if folder else ""
     try:
-        with os.scandir(folder) as found:
+        with os.scandir(os.path.join(root, folder)) as found:
             for entry in found:
                 if entry.is_dir(follow_symlinks=False):
                     if entry.name not in prune:
-                        dirs.append(entry.name)
+                        yield before + entry.name, FOLDER
                 elif not entry.is_dir():
-                    files.append(entry.name)
+                    yield before + entry.name, FILE
     except PermissionError:
-        return None
+        yield before, UNREADABLE
     except FileNotFoundError:
-        return [], []
-    return sorted(dirs), sorted(files)
-
+        return
 
-def _plan(settings: _Settings) -> list[Pieces]:
-    """Open directories breadth-first until there are enough pieces, then deal them out.
 
-    Several pieces per partition even out subtrees of unknown size.
-    """
-    waiting, pieces = deque([settings.root]), []
-    opened = 0
-    wanted = PIECES_PER_PARTITION * settings.target
-    while waiting and len(waiting) + len(pieces) < wanted and opened < MAX_EXPANDED:
-        folder = waiting.popleft()
-        opened += 1
-        listed = _entries(folder, settings.prune)
-        if listed is None:
-            pieces.append(Piece(folder, True))
-            continue
-        dirs, files = listed
-        slices = -(-len(files) // FILES_PER_SLICE)
-        pieces.extend(Piece(folder, False, i, slices) for i in range(slices))
-        waiting.extend(os.path.join(folder, name) for name in dirs)
-    pieces.extend(Piece(folder, True) for folder in waiting)
-    dealt = [pieces[i::settings.target] for i in range(min(settings.target, len(pieces)))]
-    return [Pieces(share) for share in dealt or [[Piece(settings.root, True)]]]
-
-
-def _files(part: Piece, prune: frozenset[str]) -> Iterator[str]:
-    """Files of a piece; a folder that may not be read stands for its files, with a slash at its end."""
-    if not part.deep:
-        listed = _entries(part.folder, prune)
-        if listed is None:
-            yield os.path.join(part.folder, "")
-            return
-        yield from (os.path.join(part.folder, n) for n in listed[1][part.index::part.slices])
-        return
-    pending = [part.folder]
-    while pending:
-        folder = pending.pop()
-        listed = _entries(folder, prune)
-        if listed is None:
-            yield os.path.join(folder, "")
-            continue
-        dirs, files = listed
-        yield from (os.path.join(folder, name) for name in files)
-        pending.extend(os.path.join(folder, name) for name in dirs)
+def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], most: int) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(value) for value in row if isinstance(value, bytes))
+        if len(held) >= most or size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held), types)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held), types)], names=names)
+
+
+def list_tree(spark: SparkSession, path: str, prune: frozenset[str] = frozenset(), tasks: int | None = None) -> DataFrame:
+    """(path, kind) of all files and unreadable folders; one job per level of the tree."""
+    root = posix_path(path)
+    os.scandir(root).close()  # a root that cannot be read is an error, not an empty tree
+    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folders = (folder for batch in batches for folder in batch.column("path").to_pylist())
+        found = (entry for folder in folders for entry in _entries(root, folder, prune))
+        yield from _batches(found, ["path", "kind"], [pa.string(), pa.string()], LISTED_ROWS)
+
+    scratch = Scratch(spark, "tree")
+    folders, waiting, levels = spark.createDataFrame([("",)], "path string"), 1, []
+    while waiting:
+        level = scratch.write(
+            folders.repartition(min(tasks, waiting), "path").mapInArrow(listed, "path string, kind string")
+        )
+        levels.append(level)
+        folders = level.filter(F.col("kind") == FOLDER).select("path")
+        waiting = folders.count()
+    return reduce(DataFrame.unionByName, levels).filter(F.col("kind") != FOLDER)
 
 
 def _size(path: str) -> int | None:
@@ -137,65 +103,35 @@ def _content(path: str, mode: str) -> bytes | None:
         return None
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, settings: _Settings):
-        self.settings = settings
-
-    def partitions(self) -> list[Pieces]:
-        os.scandir(self.settings.root).close()  # a root that cannot be read is an error, not an empty tree
-        return _plan(self.settings)
-
-    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
-        pieces = [Piece(*fields) for fields in partition.value]
-        for full in chain.from_iterable(_files(piece, self.settings.prune) for piece in pieces):
-            relative = os.path.relpath(full, self.settings.root).replace(os.sep, "/")
-            if full.endswith(os.sep):
-                content = b""
-                rows.append((f"{relative}/", None, content))
-            else:
-                content = _content(full, self.settings.content)
-                rows.append((relative, _size(full), content))
-            held += len(content or b"")
-            if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
-                yield _batch(rows)
-                rows, held = [], 0
-        if rows:
-            yield _batch(rows)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    paths, sizes, contents = zip(*rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(contents, pa.binary())],
-        names=["path", "size", "content"],
-    )
-
-
-class FileTree(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "file_tree"
-
-    def schema(self) -> str:
-        return "path string, size bigint, content binary"
-
-    def reader(self, schema) -> _Reader:
-        content = self.options.get("withContent", "full")
-        content = {"true": "full", "false": "none"}.get(content.lower(), content.lower())
-        prune = [name for name in self.options.get("pruneDirs", "").split(",") if name]
-        return _Reader(_Settings(
-            posix_path(self.options["path"]), content, frozenset(prune),
-            int(self.options.get("targetPartitions", "200")),
-        ))
-
-
-def read_tree(spark: SparkSession, path: str, **options: str):
-    """(path, size, content) of a file tree."""
-    spark.dataSource.register(FileTree)
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    reader = spark.read.format("file_tree").option("path", path).option("targetPartitions", tasks)
-    return reader.options(**options).load()
+def read_tree(
+    spark: SparkSession, path: str, withContent: str = "full", pruneDirs: str = "", targetPartitions: int | str | None = None,
+) -> DataFrame:
+    """(path, size, content) of a file tree, listed now and read when used.
+
+    `withContent` is ``none``, ``head`` for the sniffed bytes, or ``full``; `pruneDirs` is a comma-separated list of
+    directory names never entered; `targetPartitions` the number of tasks.
+    """
+    if withContent not in CONTENTS:
+        raise ValueError(f"withContent must be one of {CONTENTS}")
+    root = posix_path(path)
+    tasks = int(targetPartitions or 4 * spark.sparkContext.defaultParallelism)
+    prune = frozenset(name for name in pruneDirs.split(",") if name)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for name, kind in zip(batch.column("path").to_pylist(), batch.column("kind").to_pylist()):
+                    if kind == UNREADABLE:
+                        yield name, None, b""
+                    else:
+                        full = os.path.join(root, name)
+                        content = _content(full, withContent)
+                        yield name, _size(full), content
+
+        yield from _batches(rows(), ["path", "size", "content"], [pa.string(), pa.int64(), pa.binary()], BATCH_ROWS)
+
+    spread = list_tree(spark, path, prune, tasks).repartition(tasks, "path")
+    return spread.mapInArrow(read, "path string, size bigint, content binary")
 
 
 def root_entries(spark: SparkSession, root: str, names: set[str]) -> DataFrame:
@@ -213,28 +149,16 @@ def read_texts(paths: DataFrame, root: str) -> DataFrame:
     folder = posix_path(root)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "content", "error"]
-        types = [pa.string(), pa.binary(), pa.string()]
-
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(values, kind) for values, kind in zip(zip(*rows), types)], names=names
-            )
-
-        for batch in batches:
-            rows, held = [], 0
-            for path in batch.column("path").to_pylist():
-                try:
-                    with open(os.path.join(folder, path), "rb") as handle:
-                        rows.append((path, handle.read(), None))
-                except OSError as failure:
-                    rows.append((path, None, str(failure)))
-                held += len(rows[-1][1] or b"")
-                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
-                    yield flush(rows)
-                    rows, held = [], 0
-            if rows:
-                yield flush(rows)
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for path in batch.column("path").to_pylist():
+                    try:
+                        with open(os.path.join(folder, path), "rb") as handle:
+                            yield path, handle.read(), None
+                    except OSError as failure:
+                        yield path, None, str(failure)
+
+        yield from _batches(rows(), ["path", "content", "error"], [pa.string(), pa.binary(), pa.string()], BATCH_ROWS)
 
     tasks = 4 * paths.sparkSession.sparkContext.defaultParallelism
     spread = paths.select("path").repartition(tasks, "path")

@@ -55,16 +55,28 @@ def test_partitioning_does_not_change_the_listing(spark, tmp_path, target):
     assert sorted(found) == sorted(names)
 
 
-def test_wide_directories_are_sliced(spark, tmp_path, monkeypatch):
+def test_one_huge_nested_folder_fills_all_tasks(spark, tmp_path):
+    deep = tmp_path / "a/b/c/d"
+    deep.mkdir(parents=True)
+    for i in range(200):
+        (deep / f"f{i}").write_text("x")
+    rows = read_tree(spark, str(tmp_path), withContent="none", targetPartitions=8)
+    per_task = rows.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in per_task) == 200 and len(per_task) == 8 and max(r["count"] for r in per_task) < 60
+
+
+def test_every_folder_is_listed_once(spark, tmp_path, monkeypatch):
     from docquorum.sources import file_tree
-    monkeypatch.setattr(file_tree, "FILES_PER_SLICE", 10)
-    for i in range(95):
-        (tmp_path / f"f{i}").write_text("x")
-    parts = file_tree._plan(file_tree._Settings(str(tmp_path), "none", frozenset(), 4))
-    pieces = [file_tree.Piece(*x) for part in parts for x in part.value]
-    assert len(parts) == 4 and len(pieces) == 10
-    listed = [f for piece in pieces for f in file_tree._files(piece, frozenset())]
-    assert len(listed) == len(set(listed)) == 95
+
+    for name in ("a/x", "a/b/y", "c/z", "w"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    monkeypatch.setattr(file_tree, "LISTED_ROWS", 1)
+    listed = file_tree.list_tree(spark, str(tmp_path)).collect()
+    assert sorted((r["path"], r["kind"]) for r in listed) == [("a/b/y", "file"), ("a/x", "file"), ("c/z", "file"), ("w", "file")]
+    assert file_tree.list_tree(spark, str(tmp_path), frozenset(["a", "c"])).count() == 1
+    with pytest.raises(FileNotFoundError):
+        read_tree(spark, str(tmp_path / "nowhere"))
 
 
 def found_in(spark, tree, rules=None, **kw):
@@ -192,11 +204,12 @@ def test_unreadable_folders_are_told_and_faults_raised(monkeypatch, tmp_path):
         return real(folder)
 
     monkeypatch.setattr(file_tree.os, "scandir", scandir)
-    piece = file_tree.Piece(str(tmp_path), True)
-    assert sorted(file_tree._files(piece, frozenset())) == [f"{tmp_path}/a/shut/", f"{tmp_path}/a/x.py"]
+    assert sorted(file_tree._entries(str(tmp_path), "a", frozenset())) == [("a/shut", "folder"), ("a/x.py", "file")]
+    assert list(file_tree._entries(str(tmp_path), "a/shut", frozenset())) == [("a/shut/", "unreadable")]
     monkeypatch.setattr(file_tree.os, "scandir", lambda folder: scandir(folder, OSError))
     with pytest.raises(OSError):
-        list(file_tree._files(piece, frozenset()))
+        list(file_tree._entries(str(tmp_path), "a/shut", frozenset()))
+    assert list(file_tree._entries(str(tmp_path), "a/gone", frozenset())) == []
 
 
 def test_jobs_below_unreadable_folders_are_found(spark):
