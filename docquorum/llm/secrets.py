@@ -21,6 +21,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquorum.session import cut_lineage
+
 ASSIGNED = re.compile(
     r"""([A-Za-z][A-Za-z0-9_.-]{1,40})\\?["'`]?[ \t]{0,3}(?:[:=]=|=>|[=:])[ \t]{0,3}\\?(["'`]?)"""
     r"""(?:(?:[Bb]earer|[Bb]asic|[Tt]oken)[ \t]+)?([^\s"'`]{6,})""")
@@ -45,6 +47,8 @@ HINTS = (
     "id", "hash", "sha", "commit", "version", "url", "http", "example", "test", "uuid", "checksum", "session",
 )
 PATH_HINTS = ("env", "config", "conf", "settings", "deploy", "test", "example", "doc", "lock", "src")
+#: Names of the forest's own columns, unlike those of tables.
+VECTOR, PROBABILITY = "__secret_vector", "__secret_probability"
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _KNOWN = re.compile(KNOWN)
 _CLASS = re.compile(r"([a-z])|([A-Z])|([0-9])|([+/=])|([-_.])")
@@ -106,7 +110,11 @@ def features(value: str, name: str, before: str, after: str, path: str, words: f
 
 
 def dictionary(docs: DataFrame, text: str = "text", documents: int = 5, most: int = 50_000) -> frozenset[str]:
-    """The ``most`` words that stand in most documents of the corpus, each in ``documents`` or more."""
+    """The words that stand in most documents of the corpus, in ``documents`` at least: as many classes of equally frequent
+    words as together stay within ``most``.
+
+    The classes' sizes come first, so that only the words of the dictionary reach the driver.
+    """
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
         for frame in frames:
@@ -118,8 +126,15 @@ def dictionary(docs: DataFrame, text: str = "text", documents: int = 5, most: in
         yield pd.DataFrame(list(held.items()), columns=["word", "n"])
 
     counts = docs.select(F.col(text).alias("text")).mapInPandas(count, "word string, n long").filter("length(word) <= 40")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= documents)
-    return frozenset(r["word"] for r in top.orderBy(F.desc("n"), "word").limit(most).collect())
+    top = cut_lineage(counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= documents))
+    least, room = None, most
+    for row in sorted(top.groupBy("n").count().collect(), key=lambda r: -r["n"]):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["n"]
+    return frozenset() if least is None else frozenset(
+        r["word"] for r in top.filter(F.col("n") >= least).select("word").collect())
 
 
 def candidates(docs: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
@@ -163,26 +178,28 @@ def evidence(found: DataFrame) -> DataFrame:
 
 def fit(labelled: DataFrame, label: str = "label", most: int = 20_000, trees: int = 30, depth: int = 8,
         seed: int = 3) -> RandomForestClassificationModel | None:
-    """A forest from labelled candidates (``features`` and a 0/1 label), at most ``most`` of either label, drawn by
-    hash. None if there are no labels of both kinds; ``scan`` then keeps every candidate.
+    """A forest from labelled candidates (``features`` and a 0/1 label), about ``most`` of either label, drawn by a hash
+    below the share that these are of all. None if there are no labels of both kinds; ``scan`` then keeps every
+    candidate.
     """
-    draw = F.xxhash64("value", "name", "features")
-    known = labelled.filter(F.col(label).isin(0, 1)).select(
-        "features", F.col(label).cast("double").alias("label"), draw.alias("draw"))
-    halves = [known.filter(F.col("label") == v).orderBy("draw").limit(most) for v in (0, 1)]
-    if any(h.isEmpty() for h in halves):
+    share = (F.xxhash64("value", "name", "features").bitwiseAND(F.lit(2**31 - 1)) / float(2**31)).alias("draw")
+    known = labelled.filter(F.col(label).isin(0, 1)).select("features", F.col(label).cast("double").alias("label"), share)
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    if len(sizes) < 2:
         return None
-    rows = halves[0].union(halves[1]).select(array_to_vector("features").alias("vector"), "label")
+    kept = F.when(F.col("label") == 1, most / sizes[1.0]).otherwise(most / sizes[0.0])
+    rows = known.filter(F.col("draw") < kept).select(array_to_vector("features").alias(VECTOR), "label")
     return RandomForestClassifier(
-        featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
+        featuresCol=VECTOR, labelCol="label", probabilityCol=PROBABILITY, rawPredictionCol="", predictionCol="",
+        numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
 
 
 def scan(found: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
     """``found`` with ``probability`` of being a secret, and ``secret``: whether it is at least a half, or the value
-    is of a known key format."""
+    is of a known key format. Columns of these two names are replaced, others stay."""
     if model is None:
         return found.withColumns({"probability": F.lit(None).cast("double"), "secret": F.lit(True)}).drop("features")
-    scored = model.transform(found.withColumn("vector", array_to_vector("features")).drop("probability"))
-    return scored.withColumn("probability", vector_to_array("probability")[1]).withColumn(
+    scored = model.transform(found.withColumn(VECTOR, array_to_vector("features")))
+    return scored.withColumn("probability", vector_to_array(PROBABILITY)[1]).withColumn(
         "secret", (F.col("probability") >= 0.5) | F.col("value").rlike(KNOWN)
-    ).drop("features", "vector", "rawPrediction", "prediction")
+    ).drop("features", VECTOR, PROBABILITY)

@@ -311,3 +311,22 @@ def test_strings_beyond_chance():
 def test_boundary_stands_between_held_out_documents():
     highest, labels = np.array([-1.0, -0.5, 0.1, 0.9, 1.1, 1.2]), np.array([0, 0, 0, 1, 1, 1])
     assert 0.1 < toxicity._boundary(highest, labels) < 0.9
+
+
+def test_secret_scan_keeps_columns_of_its_own_names(docs, spark):
+    rows = docs([(i, f"token = 'a{i}B7xQ9zK4mW2pL8vN{i}' and version = 1.2.{i}00000 of word{i % 3} again again") for i in range(60)])
+    found = secrets.candidates(rows.withColumn("path", F.lit("p"))).withColumns(
+        {c: F.lit(c) for c in ("prediction", "rawPrediction", "probability", "vector", "draw", "count")})
+    model = secrets.fit(secrets.evidence(found))
+    judged = secrets.scan(found, model)
+    row = judged.first()
+    assert (row["prediction"], row["rawPrediction"], row["vector"], row["draw"]) == ("prediction", "rawPrediction", "vector", "draw")
+    assert 0 <= row["probability"] <= 1 and judged.filter("secret").count() >= 60
+
+
+def test_dictionary_takes_whole_classes_of_frequency(docs):
+    rows = docs([(0, "often often twice onea"), (1, "often twice oneb"), (2, "often onec")])
+    assert secrets.dictionary(rows, documents=1, most=2) == {"often", "twice"}
+    assert secrets.dictionary(rows, documents=1, most=4) == {"often", "twice"}
+    assert secrets.dictionary(rows, documents=1, most=9) == {"often", "twice", "onea", "oneb", "onec"}
+    assert secrets.dictionary(rows, documents=100) == frozenset()

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docquorum.llm.catalogue import QUERIES
@@ -44,6 +45,25 @@ def test_stages_of_nothing(spark, nothing, odd, tmp_path):
         assert stage(spark, odd, str(tmp_path)).count() <= odd.count()
 
 
+def test_stages_keep_columns_of_the_operators_names(spark, docs, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ("repeated", "quality", "size", "taken", "mix", "target", "doc", "node", "key", "row", "copies", "label", "bits", "first")
+    plain = docs([(i, words(f"w{i}x", 120)) for i in range(8)])
+    crowded = plain.drop("n_chars").withColumns({c: F.lit(f"own {c}") for c in names})
+    for name, stage in corpus_pipeline.STAGES:
+        want = {r["doc_id"]: r["text"] for r in stage(spark, plain, str(tmp_path)).collect()}
+        got = stage(spark, crowded, str(tmp_path))
+        assert len(set(got.columns)) == len(got.columns)
+        rows = got.collect()
+        assert {r["doc_id"]: r["text"] for r in rows} == want and len(want) > 0
+        if name != "mixing":
+            assert got.columns == crowded.columns and all(r[c] == f"own {c}" for r in rows for c in names)
+        else:
+            assert all(r["repeated"] == "own repeated" and r["size"] == 120 for r in rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, plain.select("doc_id", "text", "source"), str(tmp_path)).count() > 0
+
+
 @tables
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_runs(spark, name):
