@@ -22,29 +22,44 @@ from docquorum.session import configure, cut_lineage  # noqa: E402
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _with_text(docs: DataFrame, text: F.Column) -> DataFrame:
-    """The documents with another text; ``n_chars`` follows where it is a column."""
-    out = docs.withColumn("text", text)
-    return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])) if (
-        "n_chars" in docs.columns) else out
+#: Where a stage keeps the columns it does not work on, so that none clashes with the operator's own.
+OTHERS = "__others"
+
+
+def _packed(docs: DataFrame, *own: str) -> DataFrame:
+    """The named columns as they are, all others in one struct."""
+    others = [F.col(c) for c in docs.columns if c not in own]
+    packed = F.struct(*others) if others else F.lit(None)
+    return docs.select(*(c for c in own if c in docs.columns), packed.alias(OTHERS))
+
+
+def _unpacked(worked: DataFrame, docs: DataFrame, own: tuple[str, ...], text: F.Column, changed: F.Column) -> DataFrame:
+    """The columns of the documents in order, with another text; ``n_chars``, where it is a column, follows a change."""
+    kinds, values = dict(docs.dtypes), []
+    for name in docs.columns:
+        value = F.col(name) if name in own else F.col(f"{OTHERS}.{name}")
+        if name == "text":
+            value = text
+        elif name == "n_chars":
+            value = F.when(changed, F.char_length(text).cast(kinds[name])).otherwise(value)
+        values.append(value.alias(name))
+    return worked.select(*values)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail a rule go; documents that the rules reject go. Nulls count as empty and are rejected."""
     configure(spark)
-    judged = quality_rules.clean(docs).filter("quality.kept")
-    return _with_text(judged, F.col("quality.clean_text")).select(docs.columns)
+    judged = quality_rules.clean(_packed(docs, "text")).filter("quality.kept")
+    return _unpacked(judged, docs, ("text",), F.col("quality.clean_text"), F.lit(True))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of 50 words and more go; a document of which no word is left goes with them."""
     configure(spark)
-    deduped = line_dedup.dedup_lines(docs)
+    deduped = line_dedup.dedup_lines(_packed(docs, "doc_id", "text"))
     hit = F.size("repeated") > 0
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
-    return deduped.filter(~hit | worded).withColumn(
-        "n_chars", F.when(hit, F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
-    ).select(docs.columns)
+    return _unpacked(deduped.filter(~hit | worded), docs, ("doc_id", "text"), F.col("text"), hit)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +75,18 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes words from, with ``size``, ``source_size``, ``target``, ``taken`` and ``copies``."""
+    """What the mix takes words from, with ``size``, ``source_size``, ``target``, ``taken`` and ``copies``.
+
+    Columns of these names, or named ``mix``, are replaced.
+    """
     configure(spark)
-    return mixing.mix(docs).filter("mix.taken > 0").select(*docs.columns, "mix.*")
+    own = ("doc_id", "text", "source")
+    mixed = mixing.mix(_packed(docs, *own)).filter("mix.taken > 0")
+    figures = ("size", "source_size", "target", "taken", "copies")
+    kept = [c for c in docs.columns if c not in (*figures, "mix")]
+    return mixed.select(
+        *(F.col(c if c in own else f"{OTHERS}.{c}").alias(c) for c in kept), *(f"mix.{c}" for c in figures)
+    )
 
 
 STAGES: list[tuple[str, Stage]] = [
