@@ -22,7 +22,7 @@ from docquorum.operators.long_files import bounded_requests, is_part, merge_part
 from docquorum.operators.quorum import (
     CALLS_PER_STAGE, STAGES, attempt_outcomes, first_usable_replies, resolve_quorum,
 )
-from docquorum.session import hadoop_path
+from docquorum.session import hadoop_path, scratch_dir
 
 # Retry and back-off of lost connections, in tries and seconds.
 CONNECTION_TRIES = 5
@@ -225,11 +225,21 @@ def _answered_parts(log: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _with_recorded(requests: DataFrame, recorded: DataFrame, attempt: int) -> DataFrame:
-    """Attach each path's recorded replies of an attempt; at most nine per path."""
+def _by_attempt(recorded: DataFrame, max_retries: int) -> DataFrame:
+    """The recorded log, written by attempt and stage, so that each step reads its own replies only."""
+    folder = scratch_dir(recorded.sparkSession, "recorded")
+    columns = ["path", "attempt", "stage", "call_no", "raw"]
+    wanted = recorded.filter(
+        F.col("attempt").between(0, max_retries) & F.col("call_no").between(1, CALLS_PER_STAGE) & F.col("stage").isin(*STAGES)
+    ).select(*columns)
+    wanted.write.partitionBy("attempt", "stage").parquet(folder)
+    return recorded.sparkSession.read.schema(wanted.schema).parquet(folder).select(*columns)
+
+
+def _with_recorded(requests: DataFrame, recorded: DataFrame, attempt: int, stages: tuple[str, ...]) -> DataFrame:
+    """Attach each path's recorded replies of a step; at most three per path and stage."""
     replies = (
-        recorded.filter((F.col("attempt") == attempt) & F.col("call_no").between(1, CALLS_PER_STAGE))
-        .filter(F.col("stage").isin(*STAGES))
+        recorded.filter((F.col("attempt") == attempt) & F.col("stage").isin(*stages))
         .groupBy("path", "stage", "call_no").agg(F.min("raw").alias("raw"))
         .groupBy("path").agg(F.collect_list(F.struct("stage", "call_no", "raw")).alias("recorded"))
     )
@@ -266,6 +276,8 @@ def annotate(
         raise ValueError("give either client_factory or recorded")
     if max_tokens is not None and client_factory is None:
         raise ValueError("a bound on prompts needs a client")
+    if recorded is not None:
+        recorded = _by_attempt(recorded, max_retries)
     log = ResponseLog(files.sparkSession, log_dir)
     earlier = log.is_written(0, "passes")
     lost = False
@@ -309,7 +321,7 @@ def annotate(
                     requests = requests.join(done, ["path", "n_chunks", "chunk_no"], "left_anti")
             else:
                 numbered = (paths if chosen is None else chosen).withColumn("attempt", F.lit(attempt))
-                requests = with_hash(_with_recorded(numbered, recorded, attempt))
+                requests = with_hash(_with_recorded(numbered, recorded, attempt, stages))
             log.append(attempt, name, call_model(requests, stages, client_factory, parallelism, sleep))
         written = mine(log.read((attempt, name)))
         if recorded is None:

@@ -192,17 +192,24 @@ def below_folders(jobs: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def reopen_changed(jobs: DataFrame, hashes: DataFrame, now: Column | None = None) -> DataFrame:
-    """Pending rows for finished jobs whose file has another content now.
+    """Rows to store for finished jobs by the present content of their file: pending ones where it changed.
 
-    `hashes` is (path, content_hash) of the present files. A job or file without a hash stays as it is.
+    `hashes` is (path, content_hash) of the present files. A job stored without a hash takes the present one and stays
+    as it is otherwise, so that the next change is seen. A file without a hash changes nothing.
     """
     now = F.current_timestamp() if now is None else now
     seen = hashes.select(F.col("path").alias("file_path"), F.col("content_hash").alias("present"))
     finished = jobs_by_status(jobs, *(status for status in TERMINAL if status != "removed"))
-    changed = finished.join(seen, "file_path").filter(F.col("content_hash") != F.col("present"))
-    fresh = {name: F.lit(None).cast(kind) for name, kind in jobs.dtypes if name in UPDATABLE}
-    fresh |= {"status": F.lit("pending"), "retry_count": F.lit(0), "updated_at": now, "content_hash": F.col("present")}
-    return changed.withColumns(fresh).select(*jobs.columns)
+    met = finished.join(seen, "file_path").filter(F.col("present").isNotNull() & ~F.col("content_hash").eqNullSafe(F.col("present")))
+    changed = F.col("content_hash").isNotNull()
+    fresh = {name: F.when(~changed, F.col(name)).cast(kind) for name, kind in jobs.dtypes if name in UPDATABLE}
+    fresh |= {
+        "status": F.when(changed, "pending").otherwise(F.col("status")),
+        "retry_count": F.when(changed, 0).otherwise(F.col("retry_count")),
+        "updated_at": F.when(changed, now).otherwise(F.col("updated_at")),
+        "content_hash": F.col("present"),
+    }
+    return met.withColumns(fresh).select(*jobs.columns)
 
 
 def reconcile(

@@ -234,6 +234,43 @@ def _(spark, sf):
     )
 
 
+CLIENTS = 3
+
+
+def _failing_client():
+    """Refuses some files and names itself in its replies."""
+    import json
+    import uuid
+
+    own = uuid.uuid4().hex
+
+    def chat(system: str, user: str) -> str:
+        if system == pr.JUDGE_SYSTEM:
+            return json.dumps({"agree": True, "by": own})
+        path = user.removeprefix(pr.PATH_LABEL).split("\n", 1)[0]
+        if "/build/" in path:
+            raise RuntimeError(f"refused {path}")
+        return json.dumps({"purpose": path, "by": own})
+
+    return chat
+
+
+@registered("live_annotation", needs=("corpus",), sql=f"""
+SELECT path, CASE WHEN contains(path, '/build/') THEN 'error' ELSE 'complete' END AS status,
+  CASE WHEN contains(path, '/build/') THEN 'refused ' || path END AS error,
+  CASE WHEN NOT contains(path, '/build/') THEN path END AS purpose, true AS few_clients FROM corpus""")
+def _(spark, sf):
+    """A failing call ends its own file only, and no step has more clients than asked for, the judge's included."""
+    run = an.annotate(
+        views.corpus(spark, sf).select("path", "text"), scratch_dir(spark, "log"), _failing_client, parallelism=CLIENTS
+    )
+    clients = run.log.filter("kind = 'reply'").groupBy("stage").agg(F.count_distinct(_get("raw", "by")).alias("clients"))
+    most = max(row["clients"] for row in clients.collect())
+    return run.outcomes.select(
+        "path", "status", "error", _get("merged_result", "purpose").alias("purpose"), F.lit(most <= CLIENTS).alias("few_clients")
+    )
+
+
 @registered("merged_records", needs=("resolved",), sql=f"""
 SELECT path, {_js('merged_result', 'purpose')} AS purpose, {_js('merged_result', 'type')} AS type FROM resolved WHERE status = 'complete'""")
 def _(spark, sf):

@@ -212,3 +212,14 @@ def test_buckets_and_superseded_folders(spark, tmp_path):
     assert left == ["delta-00000004", "full-00000003", "full-00000005"]
     assert statuses(store.jobs()) == {**want, names[5]: "flagged"} and store.version() == 5
     assert {r["key"] for r in store.metadata().collect()} == {"repo_path", "model", "started_at"}
+
+
+def test_jobs_stored_without_a_hash_take_the_present_one(spark):
+    """They stay finished; only the next change of their file opens them again."""
+    start = jobs(
+        spark, ("old", "complete", {"pass1_result": "{}"}), ("same", "complete", {"content_hash": "h"}),
+        ("new", "flagged", {"content_hash": "g", "pass1_result": "{}"}), ("gone", "removed"), ("open", "pending"), ("unread", "complete"))
+    hashes = spark.createDataFrame(
+        [(n, "h") for n in ("old", "same", "new", "gone", "open")] + [("unread", None)], "path string, content_hash string")
+    found = {r["file_path"]: (r["status"], r["pass1_result"], r["content_hash"]) for r in s.reopen_changed(start, hashes).collect()}
+    assert found == {"old": ("complete", "{}", "h"), "new": ("pending", None, "h")}
