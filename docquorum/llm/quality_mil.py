@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .toxicity import sample
+from .toxicity import drawn, sample
 
 CHARS = 800
 HIDDEN = 16
@@ -133,16 +133,10 @@ def train(bags: list[np.ndarray], labels: np.ndarray, steps: int = 300, seed: in
 
 def fit(labelled: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id",
         most: int = 1_500, most_chars: int = 6_000_000) -> Model:
-    """Train on a bounded sample: ``most`` documents of either label, drawn by hash, and of these, shortest first, as
-    many whole texts as fit into ``most_chars`` characters of either label."""
-    rows = sorted(sample(labelled, most, label, text, doc_id).collect(), key=lambda r: (r["label"], len(r["text"] or "")))
-    room, bags, labels = {0: most_chars, 1: most_chars}, [], []
-    for row in rows:
-        room[row["label"]] -= len(row["text"] or "")
-        if room[row["label"]] >= 0:
-            bags.append(passages(row["text"]))
-            labels.append(row["label"])
-    return train(bags, np.array(labels, float))
+    """Train on a bounded sample: ``most`` documents of either label, drawn by hash, and of these, in the order of their
+    draw and whatever their length, as many whole texts as fit into ``most_chars`` characters of either label."""
+    texts, labels = drawn(sample(labelled, most, label, text, doc_id).collect(), most_chars)
+    return train([passages(t) for t in texts], np.array(labels, float))
 
 
 def score_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -157,6 +157,21 @@ def sample(labelled: DataFrame, most: int, label: str = "toxic", text: str = "te
     return halves[0].union(halves[1])
 
 
+def drawn(rows: list, most_chars: int) -> tuple[list[str | None], list[int]]:
+    """(texts, labels) of sampled rows: of either label those drawn first, whatever their length, until the next would
+    pass ``most_chars``; one at least."""
+    texts, labels = [], []
+    for value in (0, 1):
+        room = most_chars
+        for row in sorted((r for r in rows if r["label"] == value), key=lambda r: r["draw"]):
+            room -= len(row["text"] or "")
+            if room < 0 and value in labels:
+                break
+            texts.append(row["text"])
+            labels.append(value)
+    return texts, labels
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST, text: str = "text",
                     doc_id: str = "doc_id", zeros: int = 1) -> DataFrame:
     """``doc_id, text`` and label of at most ``most`` labelled ids with label 1, and ``zeros`` times as many with label 0,
@@ -178,16 +193,7 @@ def fit(labelled: DataFrame, label: str = "toxic", text: str = "text", doc_id: s
     text whole. How many clean documents hold what looks like an insult is counted over all labelled rows. With a
     single label, or without rows, the model knows that label's share alone.
     """
-    rows = sample(labelled, most, label, text, doc_id).collect()
-    texts, labels = [], []
-    for value in (0, 1):
-        room = most_chars
-        for row in sorted((r for r in rows if r["label"] == value), key=lambda r: r["draw"]):
-            room -= len(row["text"] or "")
-            if room < 0 and value in labels:
-                break
-            texts.append(row["text"])
-            labels.append(value)
+    texts, labels = drawn(sample(labelled, most, label, text, doc_id).collect(), most_chars)
     first = first_of_copies([strings(t) for t in texts])
     bags, labels = [bag for bag in first if bag is not None], [v for v, bag in zip(labels, first) if bag is not None]
     held: dict[str, int] = {}
