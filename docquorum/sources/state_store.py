@@ -20,7 +20,7 @@ from docquorum.session import hadoop_path
 
 COMMIT_NAME = re.compile(r"(full|delta)-\d{8}")
 # Fixed value: the number of buckets is part of the stored form.
-BUCKETS = 64
+BUCKETS = 16
 
 
 def bucket_of(path: Column) -> Column:
