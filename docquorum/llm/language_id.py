@@ -94,12 +94,23 @@ def declared_language(html: Column) -> Column:
 
 
 def identify(rows: DataFrame, model: TextModel, strength: float = 8.0, trust: float = 0.5) -> DataFrame:
-    """``lang, probability, text_lang`` added to rows of ``text, host, declared`` (all may be null).
+    """``lang, probability, text_lang`` added to rows of ``text, host, declared`` (all may be null), without the text.
 
     ``host`` may be any name of an origin. Rows without text, host and markup get the language that all rows share
     most. Ties go to the first language by code point. Without languages, ``lang`` is null. An empty table gives an
     empty result. ``trust`` smooths the declared languages. A hot host is folded to one row of sums before any join.
+    Texts are read whole, repeated rows are judged alike. Columns of the input with the three names are replaced, all
+    others stay, whatever their names.
     """
+    added = ("lang", "probability", "text_lang")
+    others = [c for c in rows.columns if c not in ("text", "host", "declared", *added)]
+    packed = rows.select("text", "host", "declared", (F.struct(*others) if others else F.lit(None)).alias("__others"))
+    found = _identified(packed, model, strength, trust)
+    kept = [c for c in rows.columns if c != "text" and c not in added]
+    return found.select(*(F.col(f"__others.{c}" if c in others else c).alias(c) for c in kept), *added)
+
+
+def _identified(rows: DataFrame, model: TextModel, strength: float, trust: float) -> DataFrame:
     languages = model.languages
     k = len(languages)
     shared = rows.sparkSession.sparkContext.broadcast(model)

@@ -330,3 +330,58 @@ def test_dictionary_takes_whole_classes_of_frequency(docs):
     assert secrets.dictionary(rows, documents=1, most=4) == {"often", "twice"}
     assert secrets.dictionary(rows, documents=1, most=9) == {"often", "twice", "onea", "oneb", "onec"}
     assert secrets.dictionary(rows, documents=100) == frozenset()
+
+
+def plain_posterior(rows, model, strength=8.0, trust=0.5):
+    """(language, probability) of (text, host, declared) rows: likelihood, priors by host and its parts, markup."""
+    k = len(model.languages)
+    logs = [np.asarray(model.likelihood(t or ""), float) for t, _, _ in rows]
+    own = [np.exp(x) / np.exp(x).sum() for x in logs]
+    total = np.sum(own, axis=0)
+
+    def names(host, declared):
+        parts = host.split(".") if host is not None else None
+        return {"host": host, "domain": ".".join(parts[-2:]) if parts else None, "suffix": parts[-1] if parts else None,
+                "declared": declared}
+
+    keys = [names(h, d) for _, h, d in rows]
+    sums = {}
+    for key, x in zip(keys, own):
+        for name, value in key.items():
+            if value is not None:
+                sums[name, value] = sums.get((name, value), 0) + x
+    out = []
+    for key, log, x in zip(keys, logs, own):
+        share = (total - x + 1) / (total.sum() - 1 + k)
+        for name in ("suffix", "domain", "host"):
+            if key[name] is not None:
+                held = sums[name, key[name]]
+                share = (np.maximum(held - x, 0) + strength * share) / (max(held.sum() - 1, 0) + strength)
+        said = 0.0
+        if key["declared"] is not None:
+            said = np.log((np.maximum(sums["declared", key["declared"]] - x, 0) + trust) / (total + k * trust))
+        post = log + np.log(share) + said
+        p = np.exp(post - post.max()) / np.exp(post - post.max()).sum()
+        out.append((model.languages[int(np.argmax(p))], float(p.max())))
+    return out
+
+
+def test_language_posterior_and_clashing_names(docs, spark):
+    known = [(i, t, lang, "s", 0) for i, (t, lang) in enumerate(
+        [("the house on the hill", "en"), ("das haus auf dem berg", "de"), ("la casa en la colina", "es")] * 9)]
+    model = language_id.fit_text(docs(known))
+    rng = random.Random(6)
+    words = "the das la house haus casa hill berg on auf en zzz".split()
+    rows = [(" ".join(rng.choices(words, k=rng.randrange(5))) or None, rng.choice(["a.b.de", "x.de", "c.com", "b.de", "lone", None]),
+             rng.choice(["de", "en", "xx", None])) for _ in range(120)]
+    rows += [rows[0]] * 40 + [("berg haus " * 20_000, "x.de", "de")]
+    own = ("w", "own", "log", "share", "said", "post", "suffix", "domain", "host_sums", "_host", "s0")
+    frame = spark.createDataFrame([(i, *x, "old") for i, x in enumerate(rows)],
+                                  "page_id int, text string, host string, declared string, lang string").withColumns(
+        {c: F.lit(f"own {c}") for c in own})
+    found = language_id.identify(frame, model)
+    assert found.columns == ["page_id", "host", "declared", *own, "lang", "probability", "text_lang"]
+    got = {r["page_id"]: r for r in found.collect()}
+    for i, (language, probability) in enumerate(plain_posterior(rows, model)):
+        assert abs(got[i]["probability"] - probability) < 1e-9 and all(got[i][c] == f"own {c}" for c in own)
+        assert got[i]["lang"] == language or abs(probability - 0.5) < 1e-9
