@@ -1,7 +1,9 @@
 """The live loop with small stand-in clients."""
 
 import json
+import os
 import sys
+import uuid
 
 import pytest
 from pyspark import cloudpickle
@@ -145,3 +147,31 @@ def test_stop_rule_agrees_with_resolution(spark, raw, stage, usable):
 def test_needs_exactly_one_source(spark, tmp_path):
     with pytest.raises(ValueError):
         an.annotate(files(spark, "a"), str(tmp_path))
+
+
+def test_a_client_is_sent_a_bounded_share_at_once(spark, tmp_path, monkeypatch):
+    """More requests mean more portions of a step, not more in one task; there are never more clients at once than asked for."""
+    monkeypatch.setattr(an, "BYTES_PER_CLIENT", 30_000)
+    monkeypatch.setattr(an, "ROWS_PER_FILE", 5)
+    bodies = [os.urandom(2_000).hex() for _ in range(120)]  # 4 kB of text each, half of that when compressed
+    texts = spark.createDataFrame([(f"f{i}.py", body) for i, body in enumerate(bodies)], "path string, text string")
+    sizes = []
+
+    def noting():
+        own = uuid.uuid4().hex
+
+        def chat(system, user):
+            return AGREE if system == JUDGE_SYSTEM else json.dumps({"purpose": own, "size": len(system) + len(user)})
+        return chat
+
+    run = an.annotate(texts, str(tmp_path / "log"), noting, max_retries=0, parallelism=2)
+    rows = by_path(run)
+    assert len(rows) == 120 and {r["status"] for r in rows.values()} == {"complete"} and run.log.count() == 120 * 3
+    parts = sorted((tmp_path / "log" / "attempt=0" / "passes").iterdir())
+    assert len(parts) > 3
+    for part in parts:
+        said = [json.loads(r["raw"]) for r in spark.read.parquet(str(part)).filter("stage = 'pass1'").collect()]
+        assert len({s["purpose"] for s in said}) <= 2
+        sizes.append(sum(s["size"] for s in said))
+    # Before, all 120 files were one job of two tasks.
+    assert max(sizes) < sum(sizes) / 3
