@@ -175,3 +175,37 @@ def test_a_client_is_sent_a_bounded_share_at_once(spark, tmp_path, monkeypatch):
         sizes.append(sum(s["size"] for s in said))
     # Before, all 120 files were one job of two tasks.
     assert max(sizes) < sum(sizes) / 3
+
+
+def test_replay_is_folded_where_the_log_lies(spark, tmp_path, monkeypatch):
+    """A replay gives the rows that a client saying the same would, without Python workers and with one shuffle of the log."""
+    plans, append = [], an.ResponseLog.append
+
+    def noting(log, attempt, step, rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        append(log, attempt, step, rows)
+
+    monkeypatch.setattr(an.ResponseLog, "append", noting)
+    fine = '{"purpose": "p"}'
+    said = [
+        ("a", "pass1", 1, "none"), ("a", "pass1", 2, fine), ("a", "pass1", 3, "unheard"), ("a", "pass2", 2, fine),
+        ("a", "judge", 1, '{"merged_result": 1}'), ("a", "judge", 2, AGREE), ("b", "pass1", 1, "x"), ("b", "pass1", 2, "y"),
+        ("b", "pass2", 1, fine), ("c", "pass1", 1, None), ("c", "pass1", 2, None), ("c", "pass1", 2, fine), ("c", "pass2", 1, fine),
+        ("c", "judge", 1, DISAGREE), ("elsewhere", "pass1", 1, fine),
+    ]
+    recorded = spark.createDataFrame(said, "path string, stage string, call_no int, raw string").selectExpr("*", "0 AS attempt")
+    run = an.annotate(files(spark, "a", "b", "c", "d"), str(tmp_path / "log"), recorded=recorded, max_retries=0)
+    logged = {(r["path"], r["stage"], r["call_no"]): r["raw"] for r in run.log.filter("kind = 'reply'").collect()}
+    assert logged == {
+        ("a", "pass1", 1): "none", ("a", "pass1", 2): fine, ("a", "pass2", 1): "", ("a", "pass2", 2): fine,
+        ("a", "judge", 1): '{"merged_result": 1}', ("a", "judge", 2): AGREE,
+        ("b", "pass1", 1): "x", ("b", "pass1", 2): "y", ("b", "pass1", 3): "",
+        ("c", "pass1", 1): "None", ("c", "pass1", 2): fine, ("c", "pass2", 1): fine, ("c", "judge", 1): DISAGREE,
+        ("d", "pass1", 1): "", ("d", "pass1", 2): "", ("d", "pass1", 3): "",
+    }
+    assert run.log.count() == len(logged)
+    assert {p: (r["status"], r["error"]) for p, r in by_path(run).items()} == {
+        "a": ("complete", None), "b": ("flagged", q.PASS_ERROR), "c": ("flagged", q.DISAGREEMENT % 1), "d": ("flagged", q.PASS_ERROR),
+    }
+    assert all("MapInPandas" not in plan for plan in plans)
+    assert plans[0].count("Exchange hashpartitioning") <= 2  # the files and the log
