@@ -248,6 +248,14 @@ def _candidates(tokens: list[list[bytes]], hashes: list[np.ndarray], space: np.n
     first = np.repeat(begin[:-1] // STEP, steps)
     sums = space[flat].reshape(-1, STEP, space.shape[1]).sum(axis=1)
     last = first + np.repeat(steps, steps) - 1
+    totals = np.vstack([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
+    # The same slots with so many blanks around each document that no window reaches another one.
+    spare = int(items.sizes.max(initial=0)) + max(WIDTHS)
+    wide = np.full(len(flat) + 2 * spare * len(tokens), blank, np.int16)
+    shift = (2 * np.arange(len(tokens)) + 1) * spare
+    for d in range(len(tokens)):
+        wide[begin[d] + shift[d]:begin[d + 1] + shift[d]] = flat[begin[d]:begin[d + 1]]
+    holds = items.holds.ravel()
     for width, (numbers, vectors) in items.by_width.items():
         many = width // STEP
         at = np.arange(len(sums))
@@ -255,19 +263,15 @@ def _candidates(tokens: list[list[bytes]], hashes: list[np.ndarray], space: np.n
         if not len(starts):
             continue
         reach = np.minimum(starts + many, last[starts] + 1)
-        totals = np.vstack([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
         near = _unit((totals[reach] - totals[starts]).astype(np.float32)) @ vectors
-        p, c = np.nonzero(near >= min_cosine)
+        p, c = np.divmod(np.flatnonzero(near >= min_cosine), near.shape[1])
         s, n = starts[p], numbers[c]
         for part in range(0, len(p), 20_000):
             at_once = slice(part, part + 20_000)
             reach_out = int(items.sizes[n[at_once]].max())
-            offset = np.arange(-reach_out, width + reach_out)
-            place = s[at_once, None] * STEP + offset
-            lowest, highest = first[s[at_once], None] * STEP, (last[s[at_once], None] + 1) * STEP
-            inside = (place >= lowest) & (place < highest)
-            slots = np.where(inside, flat[np.clip(place, 0, len(flat) - 1)], blank)
-            shared = items.holds[n[at_once, None], slots].sum(axis=1)
+            windows = np.lib.stride_tricks.sliding_window_view(wide, width + 2 * reach_out)
+            slots = windows[s[at_once] * STEP + shift[owner[s[at_once]]] - reach_out]
+            shared = holds.take(slots + n[at_once, None] * (SLOTS + 1)).sum(axis=1)
             for i in np.flatnonzero(shared >= weak * items.sizes[n[at_once]]) + part:
                 yield int(owner[s[i]]), int(n[i]), int((s[i] - first[s[i]]) * STEP), width, float(near[p[i], c[i]])
 
@@ -317,7 +321,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.4, s
                         if cosine is None:
                             at, width = max(0, at), width + min(0, at)
                         around = tokens[d][max(0, at - len(wanted)):at + width + len(wanted)]
-                        common = (ready.counts[n] & Counter(around)).total()  # no subsequence is longer
+                        counts = ready.counts[n]
+                        held = list(filter(counts.__contains__, around))
+                        if len(held) < weak * len(wanted):
+                            continue
+                        common = sum(min(k, counts[w]) for w, k in Counter(held).items())  # no subsequence is longer
                         if common < weak * len(wanted):
                             continue
                         overlap = lcs(wanted, around) / len(wanted)
